@@ -16,6 +16,10 @@ WS = (
     r"[\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}"
     r"\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 )
+WS_CHARS = (
+    " \t\n\x0b\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 # ASCII word edges (Java's \b would also see letters such as é).
 EDGE_L = r"(?<![A-Za-z0-9_])"
 EDGE_R = r"(?![A-Za-z0-9_])"
@@ -41,6 +45,10 @@ ROLE_WORDS = (
     "consultant", "officer", "specialist", "supervisor", "assistant", "chief",
     "trainee", "senior", "junior", "lead", "bookkeeper",
 )
+LABELLED = (
+    "date of birth", r"d\.?o\.?b\.?", "born", "birthday", "nationality", "citizenship",
+    "gender", "sex", "marital status",
+)
 PLACEHOLDERS = (
     "NAME", "EMAIL", "PHONE", "LINKEDIN", "NATIONALITY", "AGE", "GENDER",
     "MARITAL STATUS", "PHOTO", "DATE OF BIRTH",
@@ -67,7 +75,7 @@ YEAR_UNITS = r"(?:years?|yrs?|سنة|سنوات|عام|أعوام)"
 
 
 def trim_ws(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def squeeze_ws(c: Column) -> Column:
@@ -103,39 +111,72 @@ def looks_like_name(c: Column) -> Column:
 
 def header_name(text: Column) -> Column:
     """First of the first eight filled lines that reads like a personal name."""
-    filled = F.filter(F.transform(lines(text), trim_ws), lambda x: F.length(x) > 0)
+    # take only the part of the text that holds those lines
+    top = F.regexp_extract(text, rf"\A(?:{WS}*+[^\n]++\n?+){{0,8}}", 0)
+    filled = F.filter(F.transform(lines(top), trim_ws), lambda x: F.length(x) > 0)
     return F.get(F.filter(F.slice(filled, 1, 8), looks_like_name), F.lit(0))
 
 
 def scrub(text: Column) -> Column:
     """Replace personal data by placeholders; the order of the steps matters."""
     name = header_name(text)
-    # \Q..\E quotes the name; a name made of letters cannot contain \E.
+    # \\Q..\\E quotes the name; a name made of letters cannot contain \\E.
     out = F.coalesce(
         F.regexp_replace(text, F.concat(F.lit(r"(?iu)\Q"), name, F.lit(r"\E")), F.lit("[NAME]")),
         text,
     )
-    label_tail = rf"{WS}*[:：\-]{WS}*[^\n]*"
-    steps = (
-        (rf"(?iu){PROFILE_URL}", "[LINKEDIN]"),
-        (rf"(?iu){EDGE}{MAIL}{EDGE_R}", "[EMAIL]"),
-        (rf"(?iu){PHONE_LABEL}{WS}*[:\-]?{WS}*[+0-9](?:[0-9().-]|{WS}){{6,}}", "[PHONE]"),
+    tail = rf"{WS}*[:：\-]{WS}*[^\n]*"
+    label = rf"(?:{'|'.join(LABELLED)}){WS}*[:：\-]"
+    # (cheap test, steps): most texts fail the test and skip the costly patterns
+    groups = (
+        (r"(?i)linkedin\.com/", [(rf"(?i){PROFILE_URL}", "[LINKEDIN]")]),
+        ("@", [(rf"(?i){EDGE}{MAIL}{EDGE_R}", "[EMAIL]")]),
         (
-            rf"(?:\+|00)[0-9]{{1,3}}(?:{WS}|[.-])?\(?[0-9]{{2,4}}\)?(?:{WS}|[.-])?"
-            rf"[0-9]{{3,4}}(?:{WS}|[.-])?[0-9]{{3,4}}{EDGE_R}",
-            "[PHONE]",
+            "[0-9]",
+            [
+                (rf"(?i){PHONE_LABEL}{WS}*[:\-]?{WS}*[+0-9](?:[0-9().-]|{WS}){{6,}}", "[PHONE]"),
+                (
+                    rf"(?:\+|00)[0-9]{{1,3}}(?:{WS}|[.-])?\(?[0-9]{{2,4}}\)?(?:{WS}|[.-])?"
+                    rf"[0-9]{{3,4}}(?:{WS}|[.-])?[0-9]{{3,4}}{EDGE_R}",
+                    "[PHONE]",
+                ),
+                (rf"\(?[0-9]{{3}}\)?(?:{WS}|[.-])[0-9]{{3}}(?:{WS}|[.-])[0-9]{{4}}{EDGE_R}", "[PHONE]"),
+            ],
         ),
-        (rf"\(?[0-9]{{3}}\)?(?:{WS}|[.-])[0-9]{{3}}(?:{WS}|[.-])[0-9]{{4}}{EDGE_R}", "[PHONE]"),
-        (rf"(?iu){EDGE_L}(?:date of birth|d\.?o\.?b\.?|born|birthday){label_tail}", "[DATE OF BIRTH]"),
-        (rf"(?iu)(?:\A|\n){WS}*age{WS}*[:\-]?{WS}*[0-9]{{1,2}}{EDGE_R}", "\n[AGE]"),
-        (rf"(?iu){EDGE_L}(?:nationality|citizenship){label_tail}", "[NATIONALITY]"),
-        (rf"(?iu){EDGE_L}(?:gender|sex){EDGE_R}{label_tail}", "[GENDER]"),
-        (rf"(?iu){EDGE_L}marital status{EDGE_R}{label_tail}", "[MARITAL STATUS]"),
-        (rf"(?iu)(?:profile{WS}*)?(?:photo|photograph|headshot|passport photo){EDGE_R}", "[PHOTO]"),
-        (r"\n{3,}", "\n\n"),
+        (
+            f"(?i){label}",
+            [(rf"(?i){EDGE_L}(?:date of birth|d\.?o\.?b\.?|born|birthday){tail}", "[DATE OF BIRTH]")],
+        ),
+        (
+            rf"(?i)(?:\A|\n){WS}*age",
+            [(rf"(?i)(?:\A|\n){WS}*age{WS}*[:\-]?{WS}*[0-9]{{1,2}}{EDGE_R}", "\n[AGE]")],
+        ),
+        (
+            f"(?i){label}",
+            [
+                (rf"(?i){EDGE_L}(?:nationality|citizenship){tail}", "[NATIONALITY]"),
+                (rf"(?i){EDGE_L}(?:gender|sex){EDGE_R}{tail}", "[GENDER]"),
+                (rf"(?i){EDGE_L}marital status{EDGE_R}{tail}", "[MARITAL STATUS]"),
+            ],
+        ),
+        (
+            "(?i)photo|headshot",
+            [(rf"(?i)(?:profile{WS}*)?(?:photo|photograph|headshot|passport photo){EDGE_R}", "[PHOTO]")],
+        ),
+        ("\n\n\n", [(r"\n{3,}", "\n\n")]),
     )
-    for pattern, mark in steps:
-        out = F.regexp_replace(out, pattern, mark)
+
+    def guarded(value: Column, test: str, steps: list[tuple[str, str]]) -> Column:
+        def apply(t: Column) -> Column:
+            new = t
+            for pattern, mark in steps:
+                new = F.regexp_replace(new, pattern, mark)
+            return F.when(t.rlike(test), new).otherwise(t)
+
+        return bind(value, apply)
+
+    for test, steps in groups:
+        out = guarded(out, test, steps)
     return trim_ws(out)
 
 
@@ -144,20 +185,20 @@ def contains_placeholder(text: Column) -> Column:
 
 
 def has_raw_pii(text: Column) -> Column:
-    return text.rlike(rf"(?iu){EDGE}{MAIL}{EDGE_R}") | text.rlike(rf"(?iu){PROFILE_URL_HEAD}")
+    return (F.contains(text, F.lit("@")) & text.rlike(rf"(?i){EDGE}{MAIL}{EDGE_R}")) | text.rlike(rf"(?i){PROFILE_URL_HEAD}")
 
 
 def first_mail(text: Column) -> Column:
-    return blank_to_null(trim_ws(F.regexp_extract(text, rf"(?iu){EDGE}{MAIL}{EDGE_R}", 0)))
+    return blank_to_null(trim_ws(F.regexp_extract(text, rf"(?i){EDGE}{MAIL}{EDGE_R}", 0)))
 
 
 def first_profile_url(text: Column) -> Column:
-    return blank_to_null(trim_ws(F.regexp_extract(text, rf"(?iu){PROFILE_URL}", 0)))
+    return blank_to_null(trim_ws(F.regexp_extract(text, rf"(?i){PROFILE_URL}", 0)))
 
 
 def first_phone(text: Column, strict: bool = False) -> Column:
     """First phone-like run. ``strict`` refuses spans such as 2018-2021."""
-    found = blank_to_null(trim_ws(F.regexp_extract(text, rf"(?iu){PHONE_ANY}{EDGE_R}", 0)))
+    found = blank_to_null(trim_ws(F.regexp_extract(text, rf"(?i){PHONE_ANY}{EDGE_R}", 0)))
     if strict:
         found = F.when(~found.rlike(r"\A(?:19|20)[0-9]{2}\W?(?:19|20)[0-9]{2}\z"), found)
     return found
@@ -265,7 +306,10 @@ def drop_repeated_lines(text: Column) -> Column:
     each equal run stays, and the rest is put back in order (n log n per text,
     no shuffle).
     """
-    rows = indexed(F.transform(lines(text), trim_ws))
+    return bind(indexed(F.transform(lines(text), trim_ws)), _without_repeats)
+
+
+def _without_repeats(rows: Column) -> Column:
     filled = F.filter(rows, lambda r: F.length(r["x"]) > 0)
     keyed = F.array_sort(
         F.transform(filled, lambda r: F.struct(F.lower(r["x"]).alias("key"), r["i"].alias("i"), r["x"].alias("x")))
@@ -286,11 +330,16 @@ def drop_repeated_lines(text: Column) -> Column:
 
 
 def section_of_header(line: Column) -> Column:
-    bare = trim_ws(F.regexp_replace(line, rf"(?:{WS}|:)+$", ""))
-    out = F.when(line.rlike(rf"(?iu)\A{DROPPED_HEADERS}\z"), "other")
-    for section, pattern in SECTION_HEADERS.items():
-        out = out.when(bare.rlike(rf"(?iu)\A{pattern}\z"), section)
-    return out
+    """Section a header line opens; null for any other line. ``line`` is trimmed."""
+
+    def classify(bare: Column) -> Column:
+        out = F.when(line.rlike(rf"(?iu)\A{DROPPED_HEADERS}\z"), "other")
+        for section, pattern in SECTION_HEADERS.items():
+            out = out.when(bare.rlike(rf"(?iu)\A{pattern}\z"), section)
+        # no header word is longer than 40 characters
+        return F.when(F.length(bare) <= 40, out)
+
+    return bind(F.ltrim(F.rtrim(line, F.lit(WS_CHARS + ":")), F.lit(WS_CHARS)), classify)
 
 
 def shorten_by_section(text: Column, limit: int) -> Column:

@@ -32,18 +32,20 @@ def _squares(counts: Column) -> Column:
 def cosine(left: Column, right: Column) -> Column:
     """Cosine of two term-count arrays; 0 when either is empty. ``left`` should
     be the shorter one: it is probed into a map of ``right``."""
-    def with_map(lookup: Column) -> Column:
-        return F.aggregate(
-            left, F.lit(0).cast("long"),
-            lambda a, t: a + t["n"].cast("long") * F.coalesce(F.try_element_at(lookup, t["x"]), F.lit(0)),
+    def score(terms: Column) -> Column:
+        def dot(lookup: Column) -> Column:
+            return F.aggregate(
+                left, F.lit(0).cast("long"),
+                lambda a, t: a
+                + t["n"].cast("long") * F.coalesce(F.try_element_at(lookup, t["x"]), F.lit(0)),
+            )
+
+        norm = F.sqrt(_squares(left).cast("double")) * F.sqrt(_squares(terms).cast("double"))
+        return F.when((F.size(left) == 0) | (F.size(terms) == 0), F.lit(0.0)).otherwise(
+            bind(F.map_from_entries(terms), dot) / F.nullif(norm, F.lit(0.0))
         )
 
-    entries = F.transform(right, lambda t: F.struct(t["x"], t["n"]))
-    dot = bind(F.map_from_entries(entries), with_map)
-    norm = F.sqrt(_squares(left).cast("double")) * F.sqrt(_squares(right).cast("double"))
-    return F.when((F.size(left) == 0) | (F.size(right) == 0), F.lit(0.0)).otherwise(
-        dot / F.nullif(norm, F.lit(0.0))
-    )
+    return bind(right, score)
 
 
 def job_terms(description: Column, must: Column, nice: Column, education: Column, location: Column) -> Column:

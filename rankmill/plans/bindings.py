@@ -141,7 +141,7 @@ shown AS (
 
 
 def with_cand(body: str) -> str:
-    return f"WITH {CAND_SQL}\n{body}"
+    return f"WITH {CAND_SQL}{body}"
 
 
 # --- documents as parsed rows of a run ----------------------------------------
