@@ -130,6 +130,10 @@ def meta_line(df: DataFrame) -> Column:
     return F.concat_ws(" · ", known("seniority_shown"), known("nationality_shown"), known("location_shown"), years)
 
 
+def score_cell(score: Column) -> Column:
+    return F.when(score.isNull(), "—").otherwise(F.format_string("%.1f", score.cast("double")))
+
+
 def reason_code(error: Column) -> Column:
     """Code of a stored reason; other texts fall through to classes, then UNKNOWN."""
     out = None

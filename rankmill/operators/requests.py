@@ -50,3 +50,33 @@ def request_table(docs: DataFrame, jobs: DataFrame, job: str, row_id: str, limit
         "system_text",
         F.when(~has_raw_pii(F.col("_t")), user_text(F.col("_t"))).alias("user_text"),
     )
+
+
+# Questions in the second output language.
+FLAG_QUESTIONS = {
+    "date_gap": "وضّح الفجوة الزمنية بين الوظائف وأرفق خطابات الخبرة",
+    "overlap": "وضّح تداخل فترات العمل بين جهتين إن وُجد، مع إثبات التواريخ",
+    "summary_mismatch": "طابق ملخص السيرة مع الخبرات الفعلية وأعط مثالاً قابلاً للتحقق",
+    "future_date": "صحّح أي تاريخ مستقبلي في السيرة وأرفق ما يثبت الفترة الفعلية",
+    "missing_dates": "أكمل تواريخ البدء والانتهاء لكل وظيفة مع الشهر والسنة",
+}
+ASK_CERTIFICATES = "أرفق الشهادات المهنية وأرقامها وتواريخها للتحقق"
+ASK_NOTICE = "حدّد فترة الإشعار وتاريخ المباشرة المتوقع"
+ASK_LOCAL = "وضّح سنوات الخبرة داخل الإمارات وجهة العمل الأخيرة هناك"
+QUESTION_CAP = 8
+
+
+def distinct_questions(questions: Column) -> Column:
+    return F.slice(F.array_distinct(questions), 1, QUESTION_CAP)
+
+
+def verification_questions(flags: Column, certifications: Column, local_years: Column) -> Column:
+    """Questions for the first three flags and for missing facts."""
+    lookup = F.create_map(*[F.lit(x) for pair in FLAG_QUESTIONS.items() for x in pair])
+    from_flags = F.transform(F.slice(flags, 1, 3), lambda f: F.try_element_at(lookup, f))
+    facts = F.array(
+        F.when(F.coalesce(F.size(certifications), F.lit(0)) <= 0, ASK_CERTIFICATES),
+        F.lit(ASK_NOTICE),
+        F.when(F.coalesce(local_years, F.lit(0.0)) == 0, ASK_LOCAL),
+    )
+    return distinct_questions(F.concat(from_flags, F.array_compact(facts)))

@@ -544,4 +544,4 @@ SELECT id, concat_ws(' · ', nullif(seniority_shown, 'Not stated'), nullif(natio
 """))
 def h32(spark, d):
     v = _view(spark, d)
-    return v.select("id", exports.meta_line(v).alias("meta"), F.coalesce(F.format_string("%.1f", F.col("urgent").cast("double")), F.lit("—")).alias("urgent_shown"))
+    return v.select("id", exports.meta_line(v).alias("meta"), exports.score_cell(F.col("urgent")).alias("urgent_shown"))

@@ -1 +1,455 @@
-"""x"""
+"""Weighted totals, ranks, damping, model output, run tracking and streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from rankmill.functions import labels
+from rankmill.functions import loose_json as lj
+from rankmill.functions.numbers import half_up, percentage, round2
+from rankmill.operators import grading, requests, scoring, tracking
+from rankmill.operators.ranking import ranked, top_k
+from rankmill.operators.tracking import STOPPED, TIME_BUDGET_REASON
+from rankmill.plans.bindings import (
+    CRITERIA, ROWS_SQL, SCORES, SCORES_SQL, WEIGHTS, candidates, document_rows, order_scores, with_cand,
+)
+from rankmill.plans.registry import query
+from rankmill.sources.tables import table
+from rankmill.streaming import budget, live
+
+# --- totals -----------------------------------------------------------------------------
+
+
+def _long_scores(spark, d):
+    """Long scores with repeats: one entry per order, position = order key."""
+    return table(spark, d, "orders").select(
+        F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("criterion"),
+        (F.floor(F.col("o_totalprice")) % 11).alias("score"), F.col("o_orderkey").alias("pos"),
+    )
+
+
+C04_SQL = """
+ls AS (SELECT o_custkey AS id, o_orderpriority AS criterion, arg_max(floor(o_totalprice)::BIGINT % 11, o_orderkey) AS score FROM orders GROUP BY ALL),
+wide AS (SELECT id, max(score) FILTER (criterion = '1-URGENT') AS urgent, max(score) FILTER (criterion = '2-HIGH') AS high, max(score) FILTER (criterion = '3-MEDIUM') AS medium,
+  max(score) FILTER (criterion = '4-NOT SPECIFIED') AS unspecified, max(score) FILTER (criterion = '5-LOW') AS low FROM ls GROUP BY 1)"""
+
+
+@query("c04_last_score_wins", f"WITH {C04_SQL} SELECT id, coalesce(urgent,0) AS urgent, coalesce(high,0) AS high, coalesce(medium,0) AS medium, coalesce(unspecified,0) AS unspecified, coalesce(low,0) AS low FROM wide")
+def c04(spark, d):
+    wide = scoring.criterion_columns(_long_scores(spark, d), ["id"], {k: n for k, (n, _) in CRITERIA.items()})
+    return wide.select("id", *[F.coalesce(s, F.lit(0)).alias(s) for s in SCORES])
+
+
+@query("d01_weighted_total", f"""
+WITH {C04_SQL} SELECT id, CASE WHEN c_acctbal < 0 THEN 0.0 ELSE floor((coalesce(urgent,0)*30 + coalesce(high,0)*25 + coalesce(medium,0)*20 + coalesce(unspecified,0)*15 + coalesce(low,0)*10)::DOUBLE * 100 / 100 + 0.5) / 10 END::DOUBLE AS total
+FROM wide JOIN customer ON c_custkey = id
+""")
+def d01(spark, d):
+    wide = scoring.criterion_columns(_long_scores(spark, d), ["id"], {k: n for k, (n, _) in CRITERIA.items()})
+    flags = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") < 0).alias("breaker"))
+    total = scoring.weighted_total([F.col(s) for s in SCORES], WEIGHTS, F.col("breaker"))
+    return wide.join(flags, "id").select("id", total.alias("total"))
+
+
+@query("d02_weight_sum", "SELECT n_regionkey AS rubric, sum(n_nationkey + 1)::BIGINT AS weight_sum FROM nation GROUP BY 1")
+def d02(spark, d):
+    weights = table(spark, d, "nation").select(F.col("n_regionkey").alias("rubric"), (F.col("n_nationkey") + 1).alias("weight"))
+    return weights.groupBy("rubric").agg(F.sum("weight").alias("weight_sum"))
+
+
+@query("e01_rank_in_job", with_cand(" SELECT id, job, total, rank FROM ranked"))
+def e01(spark, d):
+    return ranked(candidates(spark, d), ["job"], "total", "id").select("id", "job", "total", "rank")
+
+
+@query("e03_top_15", with_cand(" SELECT job, rank, id, total, recommendation AS tier FROM ranked WHERE total IS NOT NULL AND rank <= 15"))
+def e03(spark, d):
+    rows = candidates(spark, d).where("total is not null")
+    top = top_k(rows, ["job"], [F.col("total").desc(), F.col("id")], 15)
+    return top.select("job", "rank", "id", "total", F.col("recommendation").alias("tier"))
+
+
+@query("e05_second_stage", with_cand("""
+, s2 AS (SELECT id, (coalesce(urgent,0) + coalesce(high,0)) * 5.0 AS second FROM cand)
+SELECT r.id, job, (CASE WHEN total IS NOT NULL AND rank <= 40 THEN second ELSE total END)::DOUBLE AS final_total FROM ranked r JOIN s2 USING (id)
+"""))
+def e05(spark, d):
+    rows = candidates(spark, d)
+    best = top_k(rows.where("total is not null").select("id", "job", "total"), ["job"], [F.col("total").desc(), F.col("id")], 40)
+    second = order_scores(spark, d).select("id", ((F.coalesce("urgent", F.lit(0)) + F.coalesce("high", F.lit(0))) * 5.0).alias("second"))
+    rescored = best.select("id").join(second, "id")
+    return rows.select("id", "job", "total").join(rescored, "id", "left").select(
+        "id", "job", F.coalesce("second", "total").alias("final_total")
+    )
+
+
+@query("m01_rerank_with_new_weights", f"""
+WITH {SCORES_SQL}, t AS (SELECT c_custkey AS id, c_nationkey AS job, CASE WHEN c_acctbal < 0 THEN 0.0 ELSE
+  floor((coalesce(urgent,0)*10 + coalesce(high,0)*10 + coalesce(medium,0)*10 + coalesce(unspecified,0)*10 + coalesce(low,0)*40)::DOUBLE * 100 / 80 + 0.5) / 10 END::DOUBLE AS total FROM customer LEFT JOIN sc ON sc.id = c_custkey)
+SELECT id, job, total, row_number() OVER (PARTITION BY job ORDER BY total DESC, id) AS rank FROM t
+""")
+def m01(spark, d):
+    stored = candidates(spark, d).select("id", "job", "deal_breaker", *SCORES)
+    total = scoring.weighted_total([F.col(s) for s in SCORES], [10.0, 10.0, 10.0, 10.0, 40.0], F.col("deal_breaker"))
+    return ranked(stored.select("id", "job", total.alias("total")), ["job"], "total", "id")
+
+
+def _flat(spark, d):
+    """Seven scores and profile facts per customer, as a scoring model would return."""
+    c = F.col("c_acctbal")
+    rows = table(spark, d, "customer").join(order_scores(spark, d).withColumnRenamed("id", "c_custkey"), "c_custkey", "left")
+    s = [F.coalesce(F.col(x), F.lit(0)) for x in SCORES]
+    return rows.select(
+        "c_custkey", s[0].alias("relevantExperience"), s[1].alias("leadership"), s[2].alias("technicalSkills"),
+        s[3].alias("softwareSystems"), s[4].alias("achievements"), s[0].alias("uaeExperience"), s[1].alias("jobFit"),
+        F.when(c >= 1000, c / 1000).alias("relevant_years"), (F.abs(c) / 1000).alias("total_years"),
+        F.when(F.col("c_mktsegment") != "BUILDING", F.greatest(c, F.lit(0.0))).alias("local_years"),
+        F.when(F.col("c_mktsegment") == "MACHINERY", "Led ten people").when(F.col("c_mktsegment") == "FURNITURE", " ").alias("leadership_text"),
+        F.concat("c_mktsegment", F.lit(" "), "c_mktsegment").alias("strengths"),
+    )
+
+
+FLAT_SQL = SCORES_SQL + """,
+fl AS (SELECT c_custkey, coalesce(urgent,0) AS s1, coalesce(high,0) AS s2, coalesce(medium,0) AS s3, coalesce(unspecified,0) AS s4, coalesce(low,0) AS s5,
+  coalesce(CASE WHEN c_acctbal >= 1000 THEN c_acctbal/1000 END, abs(c_acctbal)/1000) AS years, CASE WHEN c_mktsegment <> 'BUILDING' THEN greatest(c_acctbal, 0) END AS local_years,
+  c_mktsegment, c_mktsegment || ' ' || c_mktsegment AS strengths FROM customer LEFT JOIN sc ON sc.id = c_custkey),
+dm AS (SELECT c_custkey, CASE WHEN years > 0 AND years + 1 < 5 THEN least(s1, 6) ELSE s1 END AS relevantExperience, CASE WHEN s2 >= 7 AND c_mktsegment <> 'MACHINERY' AND years < 4 THEN least(s2, 3) ELSE s2 END AS leadership,
+  s3 AS technicalSkills, s4 AS softwareSystems, CASE WHEN s5 >= 8 AND length(strengths) < 20 THEN least(s5, 5) ELSE s5 END AS achievements,
+  CASE WHEN s1 >= 7 AND coalesce(local_years, 0) <= 0 THEN least(s1, 2) ELSE s1 END AS uaeExperience, CASE WHEN years > 0 AND years + 1 < 5 THEN least(s2, 5) ELSE s2 END AS jobFit FROM fl)"""
+
+
+def _damped(spark, d):
+    flat = _flat(spark, d)
+    names = list(scoring.DEFAULT_WEIGHTS)
+    capped = scoring.dampen(
+        {n: F.col(n) for n in names}, F.col("relevant_years"), F.col("total_years"), F.col("local_years"),
+        F.col("leadership_text"), F.col("strengths"), F.lit(5.0),
+    )
+    return flat.select("c_custkey", *[capped[n].alias(n) for n in names])
+
+
+@query("h24_damped_scores", f"WITH {FLAT_SQL} SELECT * FROM dm")
+def h24(spark, d):
+    return _damped(spark, d)
+
+
+@query("h25_long_scores", f"""
+WITH {FLAT_SQL} SELECT c_custkey, criterion, score, 'turbo' AS evidence FROM (UNPIVOT dm ON relevantExperience, leadership, technicalSkills, softwareSystems, achievements, uaeExperience, jobFit INTO NAME criterion VALUE score)
+""")
+def h25(spark, d):
+    return scoring.long_scores(_damped(spark, d), ["c_custkey"], list(scoring.DEFAULT_WEIGHTS), "turbo").drop("pos")
+
+
+@query("h27_second_language_narrative", with_cand("""
+ SELECT id, concat_ws(' — ', CASE WHEN total >= 80 THEN 'مرشح قوي — يُوصى بمقابلة تقنية' WHEN total >= 65 THEN 'جيد — مقابلة مشروطة' WHEN total >= 50 THEN 'متوسط — قائمة احتياط' ELSE 'غير مناسب حالياً' END,
+  'نقاط القوة: ' || strengths, 'الفجوات والمخاطر: ' || CASE WHEN deal_breaker THEN 'deal-breaker' ELSE 'غير مذكور' END) AS narrative FROM cand WHERE total IS NOT NULL
+"""))
+def h27(spark, d):
+    gaps = F.when(F.col("deal_breaker"), "deal-breaker").otherwise("")
+    return candidates(spark, d).where("total is not null").select(
+        "id", labels.narrative_second_language(F.col("total"), F.col("strengths"), gaps).alias("narrative")
+    )
+
+
+@query("h23_half_up_percentage", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, floor((100.0::DOUBLE * l_quantity / l_extendedprice + 2.220446049250313e-16) * 100.0 + 0.5) / 100.0::DOUBLE AS percentage FROM lineitem
+""")
+def h23(spark, d):
+    return table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+        percentage(F.col("l_quantity"), F.col("l_extendedprice")).alias("percentage"),
+    )
+
+
+@query("h30_input_fingerprint")
+def h30(spark, d):
+    return table(spark, d, "customer").select("c_custkey", F.sha2(F.to_json(F.struct("c_custkey", "c_name", "c_mktsegment")), 256).alias("fingerprint"))
+
+
+# --- model output ----------------------------------------------------------------------------
+
+FLAG_NAMES = lj.FLAGS
+
+
+def _model_output(spark, d):
+    """Answers of a model in five states of damage, by event type."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    flag = F.element_at(F.array(*[F.lit(f) for f in FLAG_NAMES]), (k % 5) + 1)
+    body = F.concat(
+        F.lit('{"scores":{"leadership":"'), k % 17, F.lit('","jobFit":'), (k % 4).cast("double") + 0.5,
+        F.lit('},"profile":{"software":["a",1,"b","c","d","e","f","g"],"totalYears":'), k, F.lit(',"uaeYears":'), F.when(k % 2 == 0, "0").otherwise("null"),
+        F.lit(',"certifications":'), F.when(k % 3 == 0, '["x"]').otherwise("[]"), F.lit('},"flags":["'), flag, F.lit('","odd","overlap"],"strengths":"'), "event_type", F.lit('"}'),
+    )
+    t = F.col("event_type")
+    damaged = (
+        F.when(t == "view", F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+        .when(t == "signup", F.regexp_replace(F.regexp_replace(body, '"(scores|profile|flags|strengths)":', "$1:"), r"\}\z", ",}"))
+        .when(t == "click", F.concat(F.lit("Sure, here it is: "), F.regexp_replace(body, '"strengths":"click"', '"strengths": ,"gaps":""')))
+        .when(t == "purchase", F.regexp_replace(body, r'"strengths".*\z', '"streng'))
+        .otherwise(F.concat(F.lit("no object ["), k))
+    )
+    return table(spark, d, "events").select("event_id", "event_type", damaged.alias("answer"))
+
+
+@query("a22_model_output_repair", """
+SELECT event_id, CASE event_type WHEN 'view' THEN 'as_is' WHEN 'signup' THEN 'rewritten' WHEN 'click' THEN 'rewritten' WHEN 'purchase' THEN 'closed' ELSE 'quarantine' END AS stage,
+  CASE WHEN event_type <> 'error' THEN json_extract(props, '$.k')::INT END AS total_years FROM events
+""")
+def a22(spark, d):
+    fixed = _model_output(spark, d).select("event_id", lj.repaired(F.col("answer")).alias("r"))
+    v = F.try_parse_json(F.col("r.source"))
+    return fixed.select("event_id", F.col("r.stage").alias("stage"), F.try_variant_get(v, "$.profile.totalYears", "int").alias("total_years"))
+
+
+def _hydrated(spark, d):
+    fixed = _model_output(spark, d).select("event_id", "event_type", lj.repaired(F.col("answer"))["source"].alias("source"))
+    v = F.try_parse_json(F.col("source"))
+    return fixed.where("source is not null").select("event_id", lj.hydrated(v, list(scoring.DEFAULT_WEIGHTS)).alias("h"))
+
+
+K_SQL = "ek AS (SELECT event_id, event_type, json_extract(props, '$.k')::INT AS k FROM events)"
+FLAG_SQL = "['date_gap','overlap','summary_mismatch','future_date','missing_dates'][(k % 5) + 1]"
+
+
+@query("a23_hydrated_shape", f"""
+WITH {K_SQL} SELECT event_id, least(10, k % 17) AS leadership, (k % 4) + 1 AS job_fit, 0 AS relevant, 'a;b;c;d;e;f' AS software, k::DOUBLE AS total_years, CASE WHEN k % 2 = 0 THEN 0.0 END::DOUBLE AS local_years,
+  CASE WHEN event_type IN ('click', 'purchase') THEN '' ELSE event_type END AS strengths, {FLAG_SQL} || ';overlap' AS flags, false AS deal_breaker FROM ek WHERE event_type <> 'error'
+""")
+def a23(spark, d):
+    h = F.col("h")
+    return _hydrated(spark, d).select(
+        "event_id", h["scores"]["leadership"].alias("leadership"), h["scores"]["jobFit"].alias("job_fit"), h["scores"]["relevantExperience"].alias("relevant"),
+        F.array_join(h["profile"]["software"], ";").alias("software"), h["profile"]["totalYears"].alias("total_years"), h["profile"]["uaeYears"].alias("local_years"),
+        h["strengths"].alias("strengths"), F.array_join(h["flags"], ";").alias("flags"), h["dealBreaker"].alias("deal_breaker"),
+    )
+
+
+@query("h26_verification_questions", f"""
+WITH {K_SQL}, q AS (SELECT event_id, list_concat(list_concat(list_transform([{FLAG_SQL}, 'overlap'], lambda f: CASE f WHEN 'date_gap' THEN '{requests.FLAG_QUESTIONS['date_gap']}' WHEN 'overlap' THEN '{requests.FLAG_QUESTIONS['overlap']}'
+  WHEN 'summary_mismatch' THEN '{requests.FLAG_QUESTIONS['summary_mismatch']}' WHEN 'future_date' THEN '{requests.FLAG_QUESTIONS['future_date']}' ELSE '{requests.FLAG_QUESTIONS['missing_dates']}' END),
+  CASE WHEN k % 3 = 0 THEN [] ELSE ['{requests.ASK_CERTIFICATES}'] END), list_concat(['{requests.ASK_NOTICE}'], ['{requests.ASK_LOCAL}'])) AS l, k FROM ek WHERE event_type <> 'error'),
+u AS (SELECT event_id, unnest(l) AS x, unnest(range(len(l))) AS i FROM q), f AS (SELECT event_id, x, min(i) AS i FROM u GROUP BY ALL)
+SELECT event_id, string_agg(x, '|' ORDER BY i) AS questions FROM f GROUP BY 1
+""")
+def h26(spark, d):
+    p = F.col("h")["profile"]
+    return _hydrated(spark, d).select(
+        "event_id", F.array_join(requests.verification_questions(F.col("h")["flags"], p["certifications"], p["uaeYears"]), "|").alias("questions")
+    )
+
+
+@query("s05_distinct_questions", """
+SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'a' ELSE 'a|' || c_mktsegment END AS questions FROM customer
+""")
+def s05(spark, d):
+    asked = F.array(F.lit("a"), F.when(F.col("c_mktsegment") == "BUILDING", "a").otherwise(F.col("c_mktsegment")), F.lit("a"))
+    return table(spark, d, "customer").select("c_custkey", F.array_join(requests.distinct_questions(asked), "|").alias("questions"))
+
+
+# --- run tracking: job = user, stage by event type -----------------------------------------------
+
+STATUS_SQL = """
+ev AS (SELECT *, CASE WHEN event_type = 'error' AND value > 100 THEN 'needs_ocr' WHEN event_type = 'error' AND value > 60 THEN 'error' ELSE 'parsed' END AS parse_status,
+  CASE event_type WHEN 'view' THEN 'pending' WHEN 'signup' THEN 'extracted' WHEN 'purchase' THEN 'scored' WHEN 'error' THEN 'failed' ELSE 'not_screened_time_budget' END AS stage_status FROM events),
+ct AS (SELECT user_id, count(*) AS total, count(*) FILTER (parse_status = 'parsed') AS parsed, count(*) FILTER (parse_status = 'parsed' AND stage_status = 'pending') AS pending,
+  count(*) FILTER (parse_status = 'parsed' AND stage_status = 'extracted') AS extracted, count(*) FILTER (parse_status = 'parsed' AND stage_status = 'scored') AS scored,
+  count(*) FILTER (parse_status = 'parsed' AND stage_status = 'failed') AS failed, count(*) FILTER (parse_status = 'parsed' AND stage_status = 'not_screened_time_budget') AS not_screened,
+  count(*) FILTER (parse_status = 'needs_ocr') AS needs_ocr, count(*) FILTER (parse_status = 'error') AS parse_errors, min(ts) AS t0, max(ts) AS t1, sum(floor(value)::BIGINT)::BIGINT AS tokens FROM ev GROUP BY 1)"""
+
+
+def _status(df):
+    t = F.col("event_type")
+    parse = F.when((t == "error") & (F.col("value") > 100), "needs_ocr").when((t == "error") & (F.col("value") > 60), "error").otherwise("parsed")
+    stage = (
+        F.when(t == "view", "pending").when(t == "signup", "extracted").when(t == "purchase", "scored")
+        .when(t == "error", "failed").otherwise(STOPPED)
+    )
+    return df.withColumns({"parse_status": parse, "stage_status": stage})
+
+
+def _events(spark, d):
+    return _status(table(spark, d, "events"))
+
+
+@query("d03_stage_counters", f"WITH {STATUS_SQL} SELECT * EXCLUDE (t0, t1, tokens) FROM ct")
+def d03(spark, d):
+    return tracking.stage_counters(_events(spark, d), "user_id")
+
+
+@query("d04_upload_counters", f"WITH {ROWS_SQL} SELECT source, count(*) FILTER (parse_status = 'parsed') AS parsed, count(*) FILTER (parse_status = 'needs_ocr') AS needs_ocr, count(*) FILTER (parse_status = 'error') AS error FROM drows GROUP BY 1")
+def d04(spark, d):
+    pivoted = document_rows(spark, d).groupBy("source").pivot("parse_status", ["parsed", "needs_ocr", "error"]).count()
+    return pivoted.na.fill(0)
+
+
+@query("d05_job_list", with_cand("""
+, k AS (SELECT job, count(*) AS n, count(*) FILTER (deal_breaker) AS stopped, count(total) AS scored FROM cand GROUP BY 1)
+SELECT n_nationkey AS job, n_name AS title, coalesce(n, 0) AS n, coalesce(scored, 0) AS scored, CASE WHEN n_regionkey = 0 THEN 'draft' WHEN n_regionkey = 1 THEN 'running' WHEN coalesce(stopped, 0) > 0 THEN 'partial' ELSE 'done' END AS status FROM nation LEFT JOIN k ON job = n_nationkey
+"""))
+def d05(spark, d):
+    kids = candidates(spark, d).groupBy("job").agg(
+        F.count(F.lit(1)).alias("n"), F.count("total").alias("scored"), F.count_if("deal_breaker").alias("stopped")
+    )
+    stored = F.when(F.col("n_regionkey") == 0, "draft").when(F.col("n_regionkey") == 1, "running").otherwise("done")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    jobs = table(spark, d, "nation").withColumnRenamed("n_nationkey", "job").join(kids, "job", "left")
+    return jobs.select("job", F.col("n_name").alias("title"), zero("n").alias("n"), zero("scored").alias("scored"), tracking.display_status(stored, zero("stopped")).alias("status"))
+
+
+def _rates(spark, d):
+    ms = F.unix_millis(F.max(F.col("ts").cast("timestamp"))) - F.unix_millis(F.min(F.col("ts").cast("timestamp")))
+    return _events(spark, d).groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.floor("value")).alias("tokens"), ms.alias("ms")
+    )
+
+
+RATE_SQL = STATUS_SQL + """,
+rt AS (SELECT user_id, total AS n, tokens, (epoch_ms(t1) - epoch_ms(t0)) AS ms FROM ct),
+rr AS (SELECT *, CASE WHEN n > 0 AND ms > 0 THEN floor(n / (ms / 60000.0::DOUBLE) * 10::DOUBLE + 0.5::DOUBLE) / 10 ELSE 0 END::DOUBLE AS per_minute,
+  CASE WHEN tokens > 0 AND ms > 0 THEN floor(tokens / (ms / 1000.0::DOUBLE) * 10::DOUBLE + 0.5::DOUBLE) / 10 ELSE 0 END::DOUBLE AS tokens_per_second FROM rt)"""
+
+
+@query("d07_throughput", f"WITH {RATE_SQL} SELECT user_id, n, tokens, per_minute, tokens_per_second FROM rr")
+def d07(spark, d):
+    return _rates(spark, d).select(
+        "user_id", "n", "tokens", tracking.rate_per_minute(F.col("n"), F.col("ms")).alias("per_minute"),
+        tracking.tokens_per_second(F.col("tokens"), F.col("ms")).alias("tokens_per_second"),
+    )
+
+
+@query("d08_remaining_minutes", f"""
+WITH {STATUS_SQL}, q AS (SELECT user_id, CASE WHEN user_id % 2 = 0 THEN pending ELSE pending + not_screened END AS remaining, scored / 4.0::DOUBLE AS rate FROM ct)
+SELECT user_id, remaining, CASE WHEN rate > 0 THEN floor(remaining / rate * 10 + 0.5) / 10 END::DOUBLE AS minutes FROM q
+""")
+def d08(spark, d):
+    c = tracking.stage_counters(_events(spark, d), "user_id")
+    left = tracking.queue_size(F.col("pending"), F.col("not_screened"), F.col("user_id") % 2 == 0)
+    return c.select("user_id", left.alias("remaining"), tracking.minutes_left(left, F.col("scored") / 4.0).alias("minutes"))
+
+
+@query("d09_best_setting", """
+WITH s AS (SELECT user_id, event_type AS setting, count(*) AS n, sum(floor(value)::BIGINT)::BIGINT AS ms FROM events GROUP BY ALL),
+r AS (SELECT *, list_position(['click','error','purchase','signup','view'], setting) AS pos, CASE WHEN ms > 0 THEN floor(n / (ms / 60000.0::DOUBLE) * 10 + 0.5) / 10 ELSE 0 END::DOUBLE AS rate FROM s)
+SELECT user_id, arg_max(setting, (rate, -pos)) AS setting, max(rate) AS rate FROM r GROUP BY 1
+""")
+def d09(spark, d):
+    order = F.array_position(F.array(*[F.lit(x) for x in ("click", "error", "purchase", "signup", "view")]), F.col("setting"))
+    samples = table(spark, d, "events").groupBy("user_id", F.col("event_type").alias("setting")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.floor("value")).alias("ms")
+    )
+    rated = samples.select("user_id", "setting", order.alias("pos"), tracking.rate_per_minute(F.col("n"), F.col("ms")).alias("rate"))
+    return tracking.best_setting(rated, ["user_id"])
+
+
+@query("d10_percent_done", f"WITH {STATUS_SQL} SELECT user_id, floor((scored + failed + not_screened) / greatest(parsed, 1)::DOUBLE * 100.0 + 0.5)::BIGINT AS percent FROM ct")
+def d10(spark, d):
+    c = tracking.stage_counters(_events(spark, d), "user_id")
+    return c.select("user_id", tracking.percent_done(F.col("scored") + F.col("failed") + F.col("not_screened"), F.col("parsed")).alias("percent"))
+
+
+@query("d26_token_accounting", "SELECT event_type AS run, sum(floor(value)::BIGINT)::BIGINT AS prompt_tokens, sum(floor(value / 7)::BIGINT)::BIGINT AS completion_tokens FROM events GROUP BY 1")
+def d26(spark, d):
+    return table(spark, d, "events").groupBy(F.col("event_type").alias("run")).agg(
+        F.sum(F.floor("value")).alias("prompt_tokens"), F.sum(F.floor(F.col("value") / 7)).alias("completion_tokens")
+    )
+
+
+@query("b15_resumable", """
+WITH e AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'Stopped at the time budget' WHEN 'error' THEN 'Turbo LLM failed; Pass A kept. x' WHEN 'click' THEN 'Outside Pass A cap' END AS error FROM events)
+SELECT event_id, coalesce(error = 'Stopped at the time budget' OR starts_with(error, 'Turbo LLM failed; Pass A kept. '), false) AS resumable FROM e
+""")
+def b15(spark, d):
+    t = F.col("event_type")
+    error = F.when(t == "view", TIME_BUDGET_REASON).when(t == "error", tracking.FAIL_PREFIX + "x").when(t == "click", tracking.CAP_REASON)
+    return table(spark, d, "events").select("event_id", tracking.resumable(error).alias("resumable"))
+
+
+@query("b16_deadline", """
+SELECT event_id, ts >= TIMESTAMP '2024-01-10 00:00:00' + INTERVAL 55 MINUTE AS past FROM events
+""")
+def b16(spark, d):
+    start = F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")
+    return table(spark, d, "events").select("event_id", (F.col("ts") >= tracking.deadline(start, 55)).alias("past"))
+
+
+@query("h28_stage", f"""
+WITH {STATUS_SQL}, s AS (SELECT *, ['running','queued','done','cancelled'][(user_id % 4) + 1] AS status, user_id % 3 = 0 AS turbo FROM ct)
+SELECT user_id, CASE WHEN status = 'done' AND not_screened > 0 THEN 'partial' WHEN status <> 'running' THEN status WHEN turbo AND pending > 0 THEN 'turbo' WHEN turbo AND extracted > 0 THEN 'enrich' WHEN turbo THEN 'turbo'
+  WHEN pending > 0 THEN 'extracting' WHEN extracted > 0 THEN 'scoring' WHEN scored > 0 THEN 'rescoring' ELSE 'scoring' END AS stage, CASE WHEN status = 'done' AND not_screened > 0 THEN 'partial' ELSE status END AS shown FROM s
+""")
+def h28(spark, d):
+    c = tracking.stage_counters(_events(spark, d), "user_id")
+    status = F.element_at(F.array(*[F.lit(s) for s in ("running", "queued", "done", "cancelled")]), (F.col("user_id") % 4 + 1).cast("int"))
+    return c.select(
+        "user_id",
+        tracking.stage(status, F.col("pending"), F.col("extracted"), F.col("scored"), F.lit(True), F.col("user_id") % 3 == 0, F.col("not_screened")).alias("stage"),
+        tracking.display_status(status, F.col("not_screened")).alias("shown"),
+    )
+
+
+@query("m07_deadline_overflow", """
+WITH r AS (SELECT event_id, user_id, event_type, floor(value)::BIGINT AS cost, sum(floor(value)::BIGINT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS spent FROM events)
+SELECT event_id, spent::BIGINT AS spent, CASE WHEN event_type <> 'view' AND spent - cost >= 1500 THEN 'not_screened_time_budget' WHEN event_type = 'view' THEN 'scored' ELSE 'pending' END AS stage_status,
+  CASE WHEN event_type <> 'view' AND spent - cost >= 1500 THEN 'Stopped at the time budget' END AS reason FROM r
+""")
+def m07(spark, d):
+    rows = table(spark, d, "events").withColumns(
+        {"day": F.to_date("ts"), "stage_status": F.when(F.col("event_type") == "view", "scored").otherwise("pending")}
+    )
+    out = tracking.over_budget(rows, ["user_id"], "day", [F.col("ts"), F.col("event_id")], F.floor("value"), 1500)
+    return out.select("event_id", "spent", "stage_status", "reason")
+
+
+# --- streams -------------------------------------------------------------------------------------
+
+THROTTLE_SQL = """
+WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
+w AS (SELECT user_id, i, us, us AS opened, 1 AS used, true AS allowed FROM e WHERE i = 1
+  UNION ALL SELECT e.user_id, e.i, e.us, CASE WHEN e.us - w.opened >= 86400000000 THEN e.us ELSE w.opened END, CASE WHEN e.us - w.opened >= 86400000000 THEN 1 WHEN w.used >= 2 THEN w.used ELSE w.used + 1 END,
+    e.us - w.opened >= 86400000000 OR w.used < 2 FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1)
+SELECT sha256('sign-in:' || user_id) AS key, us AS at_us, 1 AS offered, allowed::INT AS allowed, opened AS opened_us FROM w
+"""
+
+
+@query("t01_budget_per_key", THROTTLE_SQL)
+def t01(spark, d):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    events = live.read_table_as_stream(spark, d, "events")
+    return live.run_available(budget.throttle(events, "sign-in", "user_id", "ts", 2, 86_400), "budget")
+
+
+@query("t02_live_counters", f"WITH {STATUS_SQL} SELECT user_id, total, pending + 0 AS n_pending, scored + 0 AS n_scored FROM (SELECT user_id, count(*) AS total, count(*) FILTER (stage_status = 'pending') AS pending, count(*) FILTER (stage_status = 'scored') AS scored FROM ev GROUP BY 1)")
+def t02(spark, d):
+    events = _status(live.read_table_as_stream(spark, d, "events"))
+    return live.run_available(live.counters(events, "user_id", "stage_status", ["pending", "scored"]), "counters", "complete")
+
+
+@query("t03_incremental_intake", """
+WITH hist AS (SELECT sha256(text) AS h, min(doc_id) AS reused_from FROM documents SEMI JOIN labels USING (doc_id) WHERE length(regexp_replace(text, '[^\\p{L}\\p{N}]+', '', 'g')) >= 80 GROUP BY 1),
+n AS (SELECT sha256(text) AS content_hash, min(length(regexp_replace(text, '[^\\p{L}\\p{N}]+', '', 'g'))) AS len FROM documents GROUP BY 1)
+SELECT content_hash, reused_from, CASE WHEN reused_from IS NULL AND len < 80 THEN 'needs_ocr' ELSE 'parsed' END AS parse_status FROM n LEFT JOIN hist ON h = content_hash
+""")
+def t03(spark, d):
+    from rankmill.functions.text import near_empty
+    from rankmill.operators.intake import content_hash
+
+    history = (
+        table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").where(~near_empty(F.col("text")))
+        .groupBy(content_hash(F.col("text")).alias("content_hash")).agg(F.min("doc_id").alias("reused_from"))
+    )
+    arrivals = live.read_table_as_stream(spark, d, "documents").select(
+        "doc_id", "text", F.timestamp_seconds(F.lit(1_700_000_000)).alias("arrived")
+    )
+    return live.run_available(live.incremental_intake(arrivals, history, "doc_id", "arrived"), "intake").drop("doc_id")
+
+
+@query("t04_throughput_over_time", """
+SELECT date_trunc('hour', ts)::VARCHAR AS hour, count(*) AS items, sum(floor(value)::BIGINT)::BIGINT AS tokens FROM events GROUP BY 1
+""")
+def t04(spark, d):
+    events = live.read_table_as_stream(spark, d, "events").select(
+        F.col("ts").cast("timestamp").alias("at"), F.floor("value").alias("value")
+    )
+    done = live.run_available(live.throughput(events, "at", "value"), "throughput", "complete")
+    return done.select(F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour"), "items", "tokens")
