@@ -40,7 +40,7 @@ def run_lengths(items: Column) -> Column:
             ),
         )
 
-    return bind(F.array_sort(items), count)
+    return bind(F.sort_array(items), count)
 
 
 def first_by_lower(items: Column) -> Column:

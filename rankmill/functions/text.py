@@ -288,9 +288,10 @@ def nfkc(text: Column) -> Column:
     return F.coalesce(_nfkc_batch(risky), text)
 
 
-def canonical_hash(text: Column) -> Column:
-    """Hash of the scrubbed, normalised text: equal for copies of one document."""
-    return F.sha2(squeeze_ws(F.lower(nfkc(scrub(ascii_digits(text))))), 256)
+def canonical_hash(scrubbed: Column) -> Column:
+    """Hash of the scrubbed text in normal form: equal for copies of one document.
+    Give it a stored column: the text is read more than once."""
+    return F.sha2(squeeze_ws(F.lower(nfkc(scrubbed))), 256)
 
 
 def truncate(text: Column, limit: int) -> Column:
@@ -311,7 +312,7 @@ def drop_repeated_lines(text: Column) -> Column:
 
 def _without_repeats(rows: Column) -> Column:
     filled = F.filter(rows, lambda r: F.length(r["x"]) > 0)
-    keyed = F.array_sort(
+    keyed = F.sort_array(
         F.transform(filled, lambda r: F.struct(F.lower(r["x"]).alias("key"), r["i"].alias("i"), r["x"].alias("x")))
     )
     firsts = bind(
@@ -321,7 +322,7 @@ def _without_repeats(rows: Column) -> Column:
     kept = F.transform(firsts, lambda r: F.struct(r["i"].alias("i"), r["x"].alias("x")))
     blanks = F.filter(rows, lambda r: F.length(r["x"]) == 0)
     merged = bind(
-        F.array_sort(F.concat(kept, blanks)),
+        F.sort_array(F.concat(kept, blanks)),
         lambda s: F.filter(
             s, lambda r, i: (F.length(r["x"]) > 0) | (i == 0) | (F.length(F.get(s, i - 1)["x"]) > 0)
         ),

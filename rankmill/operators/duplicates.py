@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankmill.functions.text import canonical_answer, canonical_hash
+from rankmill.functions.text import ascii_digits, canonical_answer, canonical_hash, scrub
 from rankmill.session import cut_lineage
 
 # Jaccard > 17/20, kept as whole numbers so that no rounding can flip a pair.
@@ -19,8 +19,9 @@ NUM, DEN = 17, 20
 
 def exact_groups(docs: DataFrame, row_id: str, text: str) -> DataFrame:
     """Groups of copies by canonical hash: size and first id, never the members."""
+    scrubbed = docs.select(row_id, scrub(ascii_digits(F.col(text))).alias("_s"))
     return (
-        docs.select(canonical_hash(F.col(text)).alias("hash"), row_id)
+        scrubbed.select(canonical_hash(F.col("_s")).alias("hash"), row_id)
         .groupBy("hash")
         .agg(F.count(F.lit(1)).alias("n"), F.min(row_id).alias("first_id"))
         .where("n > 1")
@@ -28,7 +29,7 @@ def exact_groups(docs: DataFrame, row_id: str, text: str) -> DataFrame:
 
 
 def word_set(normal: Column) -> Column:
-    return F.array_sort(
+    return F.sort_array(
         F.array_distinct(F.filter(F.split(normal, " "), lambda w: F.length(w) > 2))
     )
 
@@ -82,13 +83,21 @@ def near_duplicate_flags(docs: DataFrame, row_id: str, text: str) -> DataFrame:
         .withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("df", "token")))
         # a token of one set only can match nothing
         .where("r <= keep and df > 1")
-        .select("rep", "n", "token")
+        .select("rep", "n", "token", "r")
     )
     prefix = cut_lineage(ranked, "prefix-tokens")
 
-    leaders = prefix.groupBy("token").agg(F.min("rep").alias("leader"))
+    # a close pair passes both bounds at the first token it shares: the sizes fit,
+    # and enough tokens are left behind the shared one on both sides
+    fits = (
+        f"least(n, m) * {DEN} > greatest(n, m) * {NUM}"
+        f" and (1 + least(n - r, m - q)) * {NUM + DEN} > (n + m) * {NUM}"
+    )
+    leaders = prefix.groupBy("token").agg(F.min(F.struct("rep", "n", "r")).alias("l")).select(
+        "token", F.col("l.rep").alias("leader"), F.col("l.n").alias("m"), F.col("l.r").alias("q")
+    )
     led = (
-        prefix.join(leaders, "token").where("leader < rep").select("rep", "leader").distinct()
+        prefix.join(leaders, "token").where(f"leader < rep and {fits}").select("rep", "leader").distinct()
     )
     words = reps.select("rep", "words")
     settled = cut_lineage(
@@ -99,13 +108,12 @@ def near_duplicate_flags(docs: DataFrame, row_id: str, text: str) -> DataFrame:
         "settled-sets",
     )
     open_sets = prefix.join(settled, "rep", "left_anti")
-    earlier = prefix.select("token", F.col("rep").alias("prior"), F.col("n").alias("m"))
+    earlier = prefix.select(
+        "token", F.col("rep").alias("prior"), F.col("n").alias("m"), F.col("r").alias("q")
+    )
     candidates = (
         open_sets.join(earlier, "token")
-        .where(
-            "prior < rep"
-            f" and least(n, m) * {DEN} > greatest(n, m) * {NUM}"
-        )
+        .where(f"prior < rep and {fits}")
         .select("rep", "prior")
         .distinct()
     )

@@ -10,13 +10,13 @@ from rankmill.operators import duplicates, intake, relevance, requests, requirem
 from rankmill.operators.ranking import cap_split, ranked, top_k
 from rankmill.plans.bindings import ROWS_SQL, document_rows
 from rankmill.plans.registry import query
-from rankmill.sources.tables import expected_entries, table
+from rankmill.sources.tables import expected_entries, spread, table
 
 NE = "length(regexp_replace(text, '[^\\p{L}\\p{N}]+', '', 'g'))"
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"), "doc_id")
 
 
 # --- scans, admission, reuse -------------------------------------------------------

@@ -15,7 +15,7 @@ from rankmill.plans.bindings import (
     CRITERIA, ROWS_SQL, SCORES, SCORES_SQL, WEIGHTS, candidates, document_rows, order_scores, with_cand,
 )
 from rankmill.plans.registry import query
-from rankmill.sources.tables import table
+from rankmill.sources.tables import spread, table
 from rankmill.streaming import budget, live
 
 # --- totals -----------------------------------------------------------------------------
@@ -189,7 +189,7 @@ def _model_output(spark, d):
         .when(t == "purchase", F.regexp_replace(body, r'"strengths".*\z', '"streng'))
         .otherwise(F.concat(F.lit("no object ["), k))
     )
-    return table(spark, d, "events").select("event_id", "event_type", damaged.alias("answer"))
+    return spread(table(spark, d, "events"), "event_id").select("event_id", "event_type", damaged.alias("answer"))
 
 
 @query("a22_model_output_repair", """
@@ -203,9 +203,11 @@ def a22(spark, d):
 
 
 def _hydrated(spark, d):
-    fixed = _model_output(spark, d).select("event_id", "event_type", lj.repaired(F.col("answer"))["source"].alias("source"))
-    v = F.try_parse_json(F.col("source"))
-    return fixed.where("source is not null").select("event_id", lj.hydrated(v, list(scoring.DEFAULT_WEIGHTS)).alias("h"))
+    # readable answers only: explode of none or one, so that the repair runs once
+    # per row instead of once in a filter and once in the projection
+    fixed = F.filter(F.array(lj.repaired(F.col("answer"))["source"]), lambda x: x.isNotNull())
+    readable = _model_output(spark, d).select("event_id", F.explode(fixed).alias("source"))
+    return readable.select("event_id", lj.hydrated(F.col("source"), list(scoring.DEFAULT_WEIGHTS)).alias("h"))
 
 
 K_SQL = "ek AS (SELECT event_id, event_type, json_extract(props, '$.k')::INT AS k FROM events)"
