@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankmill.session import cut_lineage
+
 
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
     """Best k rows of each group. The literal bound lets Spark cut every map
@@ -17,16 +19,18 @@ def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
 
 def ranked(
     df: DataFrame, group: Sequence[str], score: str, row_id: str,
-    name: str = "rank", shard_rows: int = 1_000_000,
+    name: str = "rank", shard_rows: int = 1_000_000, stored: bool = False,
 ) -> DataFrame:
     """Dense position by score descending (null as -1), then id, for all rows.
 
     A plain window would sort a whole group in one task. Here a group is split
     by score value (one decimal, so about a thousand values) and by id range:
     at most ``shard_rows`` rows share a task. The rows in front of a piece are
-    counted from a small table of piece sizes.
+    counted from a small table of piece sizes. Rows and sizes both read ``df``, so
+    it is written once first, unless the caller says it is a ``stored`` table.
     """
-    pieces = df.withColumn("_score", F.coalesce(F.col(score), F.lit(-1.0))).withColumn(
+    source = df if stored else cut_lineage(df, "to-rank")
+    pieces = source.withColumn("_score", F.coalesce(F.col(score), F.lit(-1.0))).withColumn(
         "_shard", F.floor(F.col(row_id) / F.lit(shard_rows))
     )
     sizes = pieces.groupBy(*group, "_score", "_shard").agg(F.count(F.lit(1)).alias("_n"))
@@ -55,15 +59,18 @@ def ranked(
 
 
 def cap_split(
-    df: DataFrame, group: Sequence[str], score: str, row_id: str, cap: int, name: str = "inside"
+    df: DataFrame, group: Sequence[str], score: str, row_id: str, cap: int, name: str = "inside",
+    stored: bool = False,
 ) -> DataFrame:
     """Flag the first ``cap`` rows of each group; 0 means no cap.
 
     Only the k-th row of a group is looked up; every row is then compared with
-    it, so no group is sorted as a whole.
+    it, so no group is sorted as a whole. Cut and compare read the same written
+    table (see ``ranked``).
     """
     if cap <= 0:
         return df.withColumn(name, F.lit(True))
+    df = df if stored else cut_lineage(df, "to-cut")
     key = F.struct(
         (-F.coalesce(F.col(score), F.lit(-1.0))).alias("s"), F.col(row_id).alias("i")
     )

@@ -78,12 +78,14 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
             F.when(F.col("medium") > 0, "english"), F.when(F.col("low") > 0, "n/a"),
         )
     )
+    # the total is a column of its own: everything derived from it reads the value
+    base = base.withColumn("total", total)
     return base.select(
         "id", F.col("c_name").alias("name"), F.concat(F.lit("cv_"), "id", F.lit(".pdf")).alias("file_name"),
         "job", nationality.alias("nationality"), F.col("r_name").alias("location"),
         title_for(F.col("c_mktsegment")).alias("current_title"),
         F.when(F.col("c_acctbal") >= -500, F.greatest(F.col("c_acctbal"), F.lit(0.0)) / 1000).alias("years"),
-        total.alias("total"), breaker.alias("deal_breaker"), labels.tier(total).alias("recommendation"),
+        "total", breaker.alias("deal_breaker"), labels.tier(F.col("total")).alias("recommendation"),
         F.concat(F.col("c_mktsegment"), F.lit(" track")).alias("strengths"),
         spoken.alias("languages"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"),
         *SCORES,

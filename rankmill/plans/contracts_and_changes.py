@@ -256,8 +256,8 @@ def m05(spark, d):
 SELECT event_id, user_id, lag('{"outcome":"' || event_type || '","event_id":' || event_id || '}') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before_json, '{"outcome":"' || event_type || '","event_id":' || event_id || '}' AS after_json FROM events
 """)
 def m05_audit(spark, d):
-    new = table(spark, d, "events").select("event_id", "user_id", "ts", F.col("event_type").alias("outcome"), F.to_date("ts").alias("day"))
-    return changes.audit_rows(new, "user_id", "day", ["ts", "event_id"], ["outcome", "event_id"]).select("event_id", "user_id", "before_json", "after_json")
+    new = table(spark, d, "events").select("event_id", "user_id", "ts", F.col("event_type").alias("outcome"), F.date_trunc("minute", "ts").alias("minute"))
+    return changes.audit_rows(new, "user_id", "minute", ["ts", "event_id"], ["outcome", "event_id"]).select("event_id", "user_id", "before_json", "after_json")
 
 
 @query("m06_audit_log", "SELECT event_type AS entity_type, user_id AS entity_id, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM events GROUP BY ALL")

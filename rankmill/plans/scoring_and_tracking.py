@@ -397,9 +397,9 @@ SELECT event_id, spent::BIGINT AS spent, CASE WHEN event_type <> 'view' AND spen
 """)
 def m07(spark, d):
     rows = table(spark, d, "events").withColumns(
-        {"day": F.to_date("ts"), "stage_status": F.when(F.col("event_type") == "view", "scored").otherwise("pending")}
+        {"minute": F.date_trunc("minute", "ts"), "stage_status": F.when(F.col("event_type") == "view", "scored").otherwise("pending")}
     )
-    out = tracking.over_budget(rows, ["user_id"], "day", [F.col("ts"), F.col("event_id")], F.floor("value"), 1500)
+    out = tracking.over_budget(rows, ["user_id"], "minute", [F.col("ts"), F.col("event_id")], F.floor("value"), 1500)
     return out.select("event_id", "spent", "stage_status", "reason")
 
 
