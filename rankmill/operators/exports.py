@@ -68,8 +68,18 @@ REASON_CODES = {
 
 
 def number_text(c: Column) -> Column:
-    """Whole numbers without a decimal part, as a spreadsheet shows them."""
-    return F.when(c == F.floor(c), F.floor(c).cast("string")).otherwise(c.cast("string"))
+    """Shortest decimal text: no ".0" on whole numbers, no exponent on small ones."""
+
+    def plain(digits: int) -> Column:
+        return F.regexp_replace(c.cast(f"decimal(38,{digits})").cast("string"), "0+$", "")
+
+    size = F.abs(c)
+    return (
+        F.when(c == F.floor(c), F.floor(c).cast("string"))
+        .when((size < 1e-3) & (size >= 1e-6), plain(24))
+        .when(size >= 1e7, plain(12))
+        .otherwise(c.cast("string"))
+    )
 
 
 def _shown(df: DataFrame, source: str, kind: str) -> Column:

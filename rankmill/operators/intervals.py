@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankmill.functions.arrays import bind
 from rankmill.functions.text import WS, ascii_digits
 
 # Month names and the date forms that may stand in a range.
@@ -23,27 +24,32 @@ DATE_FORMS = (
     rf"(?:{'|'.join(MONTHS)}){WS}+[0-9]{{4}}|[0-9]{{4}}[-/][0-9]{{1,2}}|[0-9]{{1,2}}/[0-9]{{4}}"
     r"|[0-9]{4}|present|current|الآن|الحالي|حتى الآن"
 )
-RANGE_FORM = rf"(?iu)({DATE_FORMS}){WS}*(?:[-–—]|to|حتى|إلى){WS}*({DATE_FORMS})"
+RANGE_FORM = rf"(?i)({DATE_FORMS}){WS}*(?:[-–—]|to|حتى|إلى){WS}*({DATE_FORMS})"
 MAX_MONTHS = 600
 
 
 def month_index(value: Column, as_of_month: int, ending: bool) -> Column:
     """Struct (m, precise) of one date text; m is null when it is no valid month."""
-    numbers = F.regexp_extract_all(value, F.lit(r"([0-9]+)"), F.lit(1))
-    n0 = F.try_element_at(numbers, F.lit(1)).try_cast("int")
-    n1 = F.try_element_at(numbers, F.lit(2)).try_cast("int")
-    two = F.size(numbers) == 2
-    named = F.lit(12 if ending else 1)
-    for i, names in reversed(list(enumerate(MONTHS))):
-        named = F.when(value.rlike(rf"(?iu)\A(?:{names}){WS}"), i + 1).otherwise(named)
-    year = F.when(two & (n0 <= 1900), n1).otherwise(n0)
-    month = F.when(two & (n0 > 1900), n1).when(two, n0).otherwise(named)
     extra = 1 if ending else 0
-    valid = year.between(1900, 2200) & month.between(1, 12)
-    open_ended = value.rlike("(?iu)present|current|الآن|الحالي")
-    m = F.when(open_ended, F.lit(as_of_month + extra)).when(valid, year * 12 + month - 1 + extra)
-    precise = open_ended | (F.size(numbers) > 1) | value.rlike(r"(?i)[a-z\x{0600}-\x{06FF}]")
-    return F.struct(m.alias("m"), precise.alias("precise"))
+    open_ended = value.rlike("(?i)present|current|الآن|الحالي")
+
+    def read(numbers: Column) -> Column:
+        n0 = F.get(numbers, F.lit(0)).try_cast("int")
+        n1 = F.get(numbers, F.lit(1)).try_cast("int")
+        two = F.size(numbers) == 2
+        named = F.lit(12 if ending else 1)
+        for i, names in reversed(list(enumerate(MONTHS))):
+            named = F.when(value.rlike(rf"(?i)\A(?:{names}){WS}"), i + 1).otherwise(named)
+        year = F.when(two & (n0 <= 1900), n1).otherwise(n0)
+        month = F.when(two & (n0 > 1900), n1).when(two, n0).otherwise(named)
+        index = year * 12 + month - 1 + extra
+        return F.struct(
+            F.when(open_ended, F.lit(as_of_month + extra))
+            .when(year.between(1900, 2200) & month.between(1, 12), index).alias("m"),
+            (open_ended | two | value.rlike(r"(?i)[a-z\x{0600}-\x{06FF}]")).alias("precise"),
+        )
+
+    return bind(F.regexp_extract_all(value, F.lit("([0-9]+)"), F.lit(1)), read)
 
 
 def ranges_in_text(text: Column, as_of_month: int) -> Column:
@@ -55,20 +61,28 @@ def ranges_in_text(text: Column, as_of_month: int) -> Column:
         found = F.regexp_extract_all(line, F.lit(RANGE_FORM), F.lit(0))
 
         def one(hit: Column) -> Column:
-            start = month_index(F.regexp_extract(hit, RANGE_FORM, 1), as_of_month, False)
-            end = month_index(F.regexp_extract(hit, RANGE_FORM, 2), as_of_month, True)
-            return F.struct(
-                start["m"].alias("start_m"), end["m"].alias("end_m"),
-                F.substring(line, 1, 240).alias("label"), evidence.alias("evidence"),
-                (start["precise"] & end["precise"]).alias("precise"),
+            ends = F.array(
+                bind(F.regexp_extract(hit, RANGE_FORM, 1), lambda v: month_index(v, as_of_month, False)),
+                bind(F.regexp_extract(hit, RANGE_FORM, 2), lambda v: month_index(v, as_of_month, True)),
+            )
+            return bind(
+                ends,
+                lambda e: F.struct(
+                    e[0]["m"].alias("start_m"), e[1]["m"].alias("end_m"),
+                    F.substring(line, 1, 240).alias("label"), evidence.alias("evidence"),
+                    (e[0]["precise"] & e[1]["precise"]).alias("precise"),
+                ),
             )
 
-        return F.transform(found, one)
+        # a date holds four digits or an open-end word; other lines are skipped
+        dated = line.rlike("(?i)[0-9]{4}|present|current|الآن|الحالي")
+        return F.when(dated, F.transform(found, one))
 
     def from_chunk(chunk: Column) -> Column:
         page = F.regexp_extract(chunk, r"\[\[PAGE ([0-9]+)\]\]", 1)
         evidence = F.when(page != "", F.concat(F.lit("[CV p."), page, F.lit("]"))).otherwise("[CV]")
-        return F.flatten(F.transform(F.split(chunk, "\r?\n"), lambda ln: from_line(ln, evidence)))
+        per_line = F.transform(F.split(chunk, "\r?\n"), lambda ln: from_line(ln, evidence))
+        return F.flatten(F.array_compact(per_line))
 
     found = F.flatten(F.transform(chunks, from_chunk))
     return F.filter(found, lambda r: r["start_m"].isNotNull() & r["end_m"].isNotNull())

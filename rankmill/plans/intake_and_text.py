@@ -559,7 +559,7 @@ js AS (SELECT *, list_filter([CASE WHEN regexp_matches(description, '(?i)bachelo
     CASE WHEN regexp_matches(description, '(?i)vat|uae regulation') THEN 'UAE VAT / FTA compliance' END,
     CASE WHEN regexp_matches(description, '(?i)payable|receivable|ap/ar|reconcil') THEN 'AP/AR and reconciliations' END,
     CASE WHEN regexp_matches(description, '(?i)abu dhabi') THEN 'Based in or willing to work in Abu Dhabi' END], lambda x: x IS NOT NULL) AS syn,
-    list_filter(list_transform(regexp_extract_all(description, '(?i)(\d+)\s*\+?\s*years?', 1), lambda y: y::INT), lambda y: y > 0 AND y < 40) AS ys,
+    list_filter(list_transform(regexp_extract_all(description, '(?i)(\d+)\s*\+?\s*years?', 1), lambda y: try_cast(y AS BIGINT)), lambda y: y > 0 AND y < 40) AS ys,
     title LIKE 'Senior%' AS dual FROM jl),
 ju AS (SELECT doc_id, unnest(list_concat(syn, ls)) AS x, unnest(range(len(syn) + len(ls))) AS i FROM js),
 jf AS (SELECT doc_id, x, i, row_number() OVER (PARTITION BY doc_id, lower(x) ORDER BY i) AS k FROM ju),

@@ -67,11 +67,12 @@ def main() -> None:
     from rankmill.session import local_session
 
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    picked = sys.argv[2:]
+    picked = [a for a in sys.argv[2:] if not a.startswith("-")]
+    left_out = {a[1:] for a in sys.argv[2:] if a.startswith("-")}
     spark, con = local_session(8), connect(folder)
     bad = 0
     for name, fn in QUERIES.items():
-        if picked and not any(name.startswith(p) for p in picked):
+        if name in left_out or (picked and not any(name.startswith(p) for p in picked)):
             continue
         try:
             verdict, n, took = compare(spark, con, folder, name, fn, ORACLE.get(name))
