@@ -99,21 +99,26 @@ def unfinished(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return rows.join(done.select(key), key, "left_anti")
 
 
+MAX_DELETE = 50
+
+
 def delete_guard(requested: DataFrame, jobs: DataFrame, key: str, active: Sequence[str]) -> DataFrame:
-    """One row: why the whole delete is refused, or null. 1 to 50 distinct ids, all
-    known, none active."""
-    found = requested.join(jobs, key, "left")
+    """One row: the ids to delete, and why the whole delete is refused or null. 1 to
+    50 distinct ids, all known, none active. One id more than allowed is enough to
+    refuse, so at most 51 rows are looked at."""
+    found = requested.select(key).limit(MAX_DELETE + 1).join(jobs.select(key, "status"), key, "left")
     stats = found.agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct(key).alias("d"),
+        F.count(F.lit(1)).alias("n"), F.collect_set(key).alias("ids"),
         F.count_if(F.col("status").isNull()).alias("missing"),
         F.count_if(F.col("status").isin(*active)).alias("busy"),
     )
+    n = F.col("n")
     reason = (
-        F.when((F.col("n") < 1) | (F.col("n") > 50) | (F.col("n") != F.col("d")), "INVALID_INPUT")
+        F.when(~n.between(1, MAX_DELETE) | (n != F.size("ids")), "INVALID_INPUT")
         .when(F.col("missing") > 0, "JOB_NOT_FOUND")
         .when(F.col("busy") > 0, "DELETE_ACTIVE_JOBS")
     )
-    return stats.select(reason.alias("refused"))
+    return stats.select("ids", reason.alias("refused"))
 
 
 def delete_all_or_nothing(
@@ -121,7 +126,5 @@ def delete_all_or_nothing(
 ) -> tuple[DataFrame, DataFrame]:
     """Jobs and child rows that remain. A refused request removes nothing."""
     verdict = delete_guard(requested, jobs, key, active)
-    # at most 50 ids meet the one verdict row, by a constant key
-    passed = verdict.where("refused is null").select(F.lit(1).alias("_one"))
-    doomed = requested.select(key, F.lit(1).alias("_one")).distinct().join(passed, "_one").select(key)
+    doomed = verdict.where("refused is null").select(F.explode("ids").alias(key))
     return jobs.join(doomed, key, "left_anti"), children.join(doomed, key, "left_anti")

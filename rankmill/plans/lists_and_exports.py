@@ -176,41 +176,37 @@ def f05(spark, d):
     return facets.withColumn("place", F.row_number().over(Window.partitionBy("facet").orderBy(*keys)))
 
 
-# --- sorts and limits: the first page of each order ---------------------------------------
+# --- sorts: the whole list in each order; the id ends every key, so equal values spread
+# over the sort ranges like any others ------------------------------------------------------
 
 
-def _page(df, *order):
-    return df.orderBy(*order).limit(40)
-
-
-@query("f01_sort_by_name", with_cand("SELECT id, coalesce(name, file_name) AS shown_name FROM cand ORDER BY lower(coalesce(name, file_name)), id LIMIT 40"))
+@query("f01_sort_by_name", with_cand("SELECT id, coalesce(name, file_name) AS shown_name FROM cand ORDER BY lower(coalesce(name, file_name)), id"))
 def f01(spark, d):
     shown = F.coalesce("name", "file_name")
-    return _page(candidates(spark, d).select("id", shown.alias("shown_name")), F.collate("shown_name", "UNICODE_CI_AI"), "id")
+    return candidates(spark, d).select("id", shown.alias("shown_name")).orderBy(F.collate("shown_name", "UNICODE_CI_AI"), "id")
 
 
-@query("f02_sort_by_years", with_cand("SELECT id, years FROM cand ORDER BY years DESC NULLS LAST, id LIMIT 40"))
+@query("f02_sort_by_years", with_cand("SELECT id, years FROM cand ORDER BY years DESC NULLS LAST, id"))
 def f02(spark, d):
-    return _page(_view(spark, d).select("id", F.col("years_shown").alias("years")), F.desc_nulls_last("years"), "id")
+    return _view(spark, d).select("id", F.col("years_shown").alias("years")).orderBy(F.desc_nulls_last("years"), "id")
 
 
-@query("f03_missing_last", with_cand("SELECT id, nationality_shown FROM shown ORDER BY nationality_shown = 'Not stated' DESC, lower(nationality_shown) DESC, id LIMIT 40"))
+@query("f03_missing_last", with_cand("SELECT id, nationality_shown FROM shown ORDER BY nationality_shown = 'Not stated', lower(nationality_shown), id"))
 def f03(spark, d):
-    # shown from the end, so that the page holds the missing values
     df = _view(spark, d).select("id", "nationality_shown")
-    return _page(df, (F.col("nationality_shown") == tx.NOT_STATED).desc(), F.collate("nationality_shown", "UNICODE_CI_AI").desc(), "id")
+    return df.orderBy(F.col("nationality_shown") == tx.NOT_STATED, F.collate("nationality_shown", "UNICODE_CI_AI"), "id")
 
 
-@query("f04_keep_rank_order", with_cand("SELECT id, job, rank FROM ranked ORDER BY rank, job LIMIT 40"))
+@query("f04_keep_rank_order", with_cand("SELECT id, job, rank FROM ranked ORDER BY job, rank"))
 def f04(spark, d):
-    return _page(ranked(candidates(spark, d), ["job"], "total", "id").select("id", "job", "rank"), "rank", "job")
+    return ranked(candidates(spark, d), ["job"], "total", "id").select("id", "job", "rank").orderBy("job", "rank")
 
 
-@query("f06_newest_first", "SELECT o_orderkey, o_orderdate::DATE::VARCHAR AS created FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 40")
+@query("f06_newest_first", "SELECT o_orderkey, o_orderdate::DATE::VARCHAR AS created FROM orders ORDER BY o_orderdate DESC, o_orderkey")
 def f06(spark, d):
     o = table(spark, d, "orders")
-    page = _page(o.select("o_orderkey", "o_orderdate"), F.col("o_orderdate").desc(), "o_orderkey")
-    return page.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("created"))
+    newest = o.select("o_orderkey", "o_orderdate").orderBy(F.col("o_orderdate").desc(), "o_orderkey")
+    return newest.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("created"))
 
 
 @query("f07_head_limits", with_cand("SELECT id, array_to_string(languages[1:2], '; ') AS two FROM cand"))
@@ -477,13 +473,11 @@ def a17(spark, d):
     scored = rows.groupBy("job").agg(F.count("total").alias("scored"))
     order = [F.coalesce("total", F.lit(-1.0)).desc(), F.col("id")]
     top = top_k(rows.where("total is not null"), ["job"], order, 15).join(asked, "job")
-    # a request names a few jobs, each with one scope: a short list
-    scopes = top.groupBy(F.lit(1).alias("one")).agg(F.sort_array(F.collect_set(F.struct("pos", "location"))).alias("l")).select(
-        "one", exports.unique_join(F.transform("l", lambda r: r["location"])).alias("scopes")
-    )
-    return top.join(scored, "job").withColumn("one", F.lit(1)).join(scopes, "one").select(
-        "pos", "job", "rank", "name", "total", "scored", "scopes"
-    )
+    # a request names a few jobs of at most 15 rows each: one short list
+    shown = top.join(scored, "job").select(F.struct("pos", "rank", "job", "name", "total", "scored", "location").alias("r"))
+    page = shown.agg(F.sort_array(F.collect_list("r")).alias("rows"))
+    scopes = exports.unique_join(F.transform("rows", lambda r: r["location"]))
+    return page.select(scopes.alias("scopes"), F.explode("rows").alias("r")).select("scopes", "r.*").drop("location")
 
 
 @query("a18_shortlist_lines", with_cand(f"""

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rankmill.functions import labels
 from rankmill.functions import loose_json as lj
-from rankmill.functions.numbers import half_up, percentage, round2
-from rankmill.operators import grading, requests, scoring, tracking
+from rankmill.functions.dates import utc_micros
+from rankmill.functions.numbers import percentage
+from rankmill.operators import requests, scoring, tracking
 from rankmill.operators.ranking import ranked, top_k
 from rankmill.operators.tracking import STOPPED, TIME_BUDGET_REASON
 from rankmill.plans.bindings import (
@@ -162,7 +162,7 @@ def h23(spark, d):
     )
 
 
-@query("h30_input_fingerprint")
+@query("h30_input_fingerprint", """SELECT c_custkey, sha256('{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_mktsegment":"' || c_mktsegment || '"}') AS fingerprint FROM customer""")
 def h30(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.sha2(F.to_json(F.struct("c_custkey", "c_name", "c_mktsegment")), 256).alias("fingerprint"))
 
@@ -300,7 +300,8 @@ def d05(spark, d):
 
 
 def _rates(spark, d):
-    ms = F.unix_millis(F.max(F.col("ts").cast("timestamp"))) - F.unix_millis(F.min(F.col("ts").cast("timestamp")))
+    at = F.floor(utc_micros(F.col("ts")) / 1000)
+    ms = F.max(at) - F.min(at)
     return _events(spark, d).groupBy("user_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.floor("value")).alias("tokens"), ms.alias("ms")
     )

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from rankmill.functions.dates import utc_micros
+
 OUTPUT = "key string, at_us long, offered long, allowed long, opened_us long"
 
 
@@ -59,7 +61,8 @@ class Budget(StatefulProcessor):
 def folded(events: DataFrame, scope: str, identifier: str, ts: str) -> DataFrame:
     """One row per (hashed key, time stamp): copies of one instant fold first."""
     key = F.sha2(F.concat_ws(":", F.lit(scope), F.col(identifier).cast("string")), 256)
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    zoned = events.schema[ts].dataType.typeName() == "timestamp"
+    at = F.unix_micros(ts) if zoned else utc_micros(F.col(ts))
     return events.select(key.alias("key"), at.alias("at_us"), F.lit(1).cast("long").alias("offered"))
 
 

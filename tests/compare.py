@@ -44,9 +44,11 @@ def rows_of(columns, rows):
     return [columns[i] for i in order], Counter(tuple(norm(r[i]) for i in order) for r in rows)
 
 
-def compare(spark, con, folder: str, name: str, fn, sql: str | None) -> tuple[str, int, float]:
+def compare(spark, con, folder: str, name: str, fn, sql: str | None, inspect=None) -> tuple[str, int, float]:
     start = time.time()
     df = fn(spark, folder)
+    if inspect:
+        inspect(df)
     got_cols, got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     took = time.time() - start
     n = sum(got.values())
