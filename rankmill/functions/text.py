@@ -444,24 +444,17 @@ def string_members(json_text: Column) -> Column:
 def years_stated(text: Column) -> Column:
     """Largest number that stands before a year word; null when there is none."""
     found = F.regexp_extract_all(
-        text, F.lit(rf"(?iu)([0-9]+(?:\.[0-9]+)?){WS}*\+?{WS}*{YEAR_UNITS}"), F.lit(1)
+        text, F.lit(rf"(?i)([0-9]+(?:\.[0-9]+)?){WS}*\+?{WS}*{YEAR_UNITS}"), F.lit(1)
     )
     return F.array_max(F.transform(found, lambda v: v.cast("double")))
 
 
-def keyword_ratio(text: Column, needles: Column) -> Column:
-    """Share of needles found as substrings; blank needles stay in the divisor."""
-    lower = F.lower(text)
-    hit = bind(
-        lower,
-        lambda t: F.size(
-            F.filter(
-                needles,
-                lambda n: (F.length(trim_ws(n)) > 1) & F.contains(t, F.lower(trim_ws(n))),
-            )
-        ),
-    )
-    return F.when(F.size(needles) == 0, F.lit(0.0)).otherwise(hit / F.size(needles))
+def keyword_ratio(lower_text: Column, needles: Column) -> Column:
+    """Share of needles found as substrings of a lower-case text; blank needles
+    stay in the divisor."""
+    words = F.transform(needles, lambda n: F.lower(trim_ws(n)))
+    hits = F.filter(words, lambda w: (F.length(w) > 1) & F.contains(lower_text, w))
+    return F.when(F.size(needles) == 0, F.lit(0.0)).otherwise(F.size(hits) / F.size(needles))
 
 
 def stated(c: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rankmill.functions import labels
 from rankmill.functions.text import NOT_STATED, csv_cell, display_value, join_list
+from rankmill.operators.tracking import STOPPED
 
 # Sheet columns as (output column, source column, kind).
 DETAIL_COLUMNS = (
@@ -157,11 +158,18 @@ def reason_code(error: Column) -> Column:
     )
 
 
-def not_screened_table(unparsed: DataFrame, stopped: DataFrame) -> DataFrame:
-    """Union all of both lists with effective status and reason code."""
+def not_screened_table(rows: DataFrame) -> DataFrame:
+    """Unparsed rows and stopped rows with effective status and reason code. A row
+    that is both appears twice. One pass: each row is repeated per list it is on."""
+    on_lists = F.array_compact(
+        F.array(
+            F.when(F.col("parse_status").isin("needs_ocr", "error") | (F.col("stage_status") == "failed"), 1),
+            F.when(F.col("stage_status") == STOPPED, 2),
+        )
+    )
     status = F.when(F.col("parse_status") == "parsed", F.col("stage_status")).otherwise(F.col("parse_status"))
     reason = F.when(F.col("error").isNull(), NOT_STATED).otherwise(reason_code(F.col("error")))
-    return unparsed.unionByName(stopped).select("file_name", status.alias("status"), reason.alias("reason"))
+    return rows.withColumn("_list", F.explode(on_lists)).select("file_name", status.alias("status"), reason.alias("reason"))
 
 
 def unique_join(values: Column) -> Column:

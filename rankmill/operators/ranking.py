@@ -19,40 +19,33 @@ def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
 
 def ranked(
     df: DataFrame, group: Sequence[str], score: str, row_id: str,
-    name: str = "rank", shard_rows: int = 1_000_000, stored: bool = False,
+    name: str = "rank", shard_rows: int = 4_000_000, stored: bool = False,
 ) -> DataFrame:
     """Dense position by score descending (null as -1), then id, for all rows.
 
     A plain window would sort a whole group in one task. Here a group is split
     by score value (one decimal, so about a thousand values) and by id range:
     at most ``shard_rows`` rows share a task. The rows in front of a piece are
-    counted from a small table of piece sizes. Rows and sizes both read ``df``, so
-    it is written once first, unless the caller says it is a ``stored`` table.
+    counted from the table of piece sizes, one row per piece. Rows and sizes both
+    read ``df``, so it is written once first, unless the caller says it is a
+    ``stored`` table.
     """
     source = df if stored else cut_lineage(df, "to-rank")
+    piece = [*group, "_score", "_shard"]
     pieces = source.withColumn("_score", F.coalesce(F.col(score), F.lit(-1.0))).withColumn(
         "_shard", F.floor(F.col(row_id) / F.lit(shard_rows))
     )
-    sizes = pieces.groupBy(*group, "_score", "_shard").agg(F.count(F.lit(1)).alias("_n"))
-    per_score = sizes.groupBy(*group, "_score").agg(F.sum("_n").alias("_score_n"))
-    better = Window.partitionBy(*group).orderBy(F.col("_score").desc()).rowsBetween(
-        Window.unboundedPreceding, -1
+    ahead = (
+        Window.partitionBy(*group).orderBy(F.col("_score").desc(), F.col("_shard"))
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
-    earlier = Window.partitionBy(*group, "_score").orderBy("_shard").rowsBetween(
-        Window.unboundedPreceding, -1
+    offsets = pieces.groupBy(*piece).agg(F.count(F.lit(1)).alias("_n")).select(
+        *piece, F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before")
     )
-    before_score = per_score.select(
-        *group, "_score", F.coalesce(F.sum("_score_n").over(better), F.lit(0)).alias("_before_score")
-    )
-    offsets = (
-        sizes.withColumn("_before_shard", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .join(before_score, [*group, "_score"])
-        .select(*group, "_score", "_shard", (F.col("_before_score") + F.col("_before_shard")).alias("_before"))
-    )
-    local = Window.partitionBy(*group, "_score", "_shard").orderBy(row_id)
+    inside = Window.partitionBy(*piece).orderBy(row_id)
     return (
-        pieces.withColumn("_local", F.row_number().over(local))
-        .join(offsets, [*group, "_score", "_shard"])
+        pieces.withColumn("_local", F.row_number().over(inside))
+        .join(offsets, piece)
         .withColumn(name, F.col("_before") + F.col("_local"))
         .drop("_score", "_shard", "_before", "_local")
     )

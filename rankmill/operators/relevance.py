@@ -79,13 +79,15 @@ def relevance_parts(docs: DataFrame, jobs: DataFrame, job: str) -> DataFrame:
     nice, min_years, location, scope. Jobs are joined by key: Spark broadcasts
     them when their measured size allows and splits a hot job otherwise.
     """
-    joined = docs.join(jobs, job)
+    # one lower-case copy serves the three keyword checks
+    joined = docs.join(jobs, job).withColumn("_lower", F.lower("text"))
+    lower = F.col("_lower")
     return joined.select(
         *docs.columns,
         cosine(F.col("terms"), term_counts(F.col("text"))).alias("cosine"),
-        keyword_ratio(F.col("text"), F.col("must")).alias("must_ratio"),
-        keyword_ratio(F.col("text"), F.col("nice")).alias("nice_ratio"),
-        keyword_ratio(F.col("text"), places(F.col("location"), F.col("scope"))).alias("location_ratio"),
+        keyword_ratio(lower, F.col("must")).alias("must_ratio"),
+        keyword_ratio(lower, F.col("nice")).alias("nice_ratio"),
+        keyword_ratio(lower, places(F.col("location"), F.col("scope"))).alias("location_ratio"),
         years_part(years_stated(F.col("text")), F.col("min_years")).alias("years_ratio"),
     )
 

@@ -406,7 +406,7 @@ SELECT job, unnest(['Role', 'Geographic scope', 'CVs reviewed', 'Scoring method'
 """))
 def a14(spark, d):
     rows = candidates(spark, d)
-    counts = rows.groupBy("job").agg(F.count(F.lit(1)).alias("n"), F.first("location", ignorenulls=True).alias("scope"))
+    counts = rows.groupBy("job").agg(F.count(F.lit(1)).alias("n"), F.max("location").alias("scope"))
     # at most 15 names per job
     names = _top15(spark, d).groupBy("job").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda r: r["name"]), "; ").alias("names")
@@ -435,7 +435,7 @@ def a15(spark, d):
 
 
 def _skipped(spark, d):
-    rows = document_rows(spark, d).withColumn("file_name", F.concat(F.lit("doc_"), "doc_id", F.lit(".pdf")))
+    rows = document_rows(spark, d)
     unparsed = rows.where("parse_status in ('needs_ocr', 'error') or stage_status = 'failed'")
     return unparsed, rows.where(F.col("stage_status") == tracking.STOPPED)
 
@@ -449,7 +449,8 @@ WITH {ROWS_SQL}, s AS (SELECT * FROM drows WHERE parse_status IN ('needs_ocr', '
 SELECT 'doc_' || doc_id || '.pdf' AS file_name, CASE WHEN parse_status = 'parsed' THEN stage_status ELSE parse_status END AS status, {CODE_SQL} AS reason FROM s
 """)
 def a16(spark, d):
-    return exports.not_screened_table(*_skipped(spark, d))
+    rows = document_rows(spark, d).withColumn("file_name", F.concat(F.lit("doc_"), "doc_id", F.lit(".pdf")))
+    return exports.not_screened_table(rows)
 
 
 @query("s01_union_of_skipped", f"""
