@@ -44,9 +44,13 @@ class Budget(StatefulProcessor):
         self.state = handle.getValueState("budget", "opened_us long, used long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # one row per distinct time stamp of this key in this batch
-        batch = pd.concat(list(rows)).groupby("at_us", as_index=False)["offered"].sum()
-        at, offered = batch["at_us"].to_numpy(), batch["offered"].to_numpy()
+        # fold chunk by chunk to one count per distinct time stamp of this key; the
+        # source bounds how much one batch can bring
+        count = pd.Series(dtype="int64")
+        for chunk in rows:
+            count = count.add(chunk.groupby("at_us")["offered"].sum(), fill_value=0)
+        count = count.sort_index()
+        at, offered = count.index.to_numpy(dtype="int64"), count.to_numpy(dtype="int64")
         opened, used = self.state.get() if self.state.exists() else (None, 0)
         allowed, start, opened, used = admit(at, offered, opened, used, self.max_events, self.span_us)
         self.state.update((opened, used))

@@ -10,18 +10,20 @@ from rankmill.operators.intake import content_hash
 from rankmill.session import shared_folder
 
 
-def read_new_files(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
-    """New parquet files below a path, a bounded number per batch."""
-    return (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-        .option("pathGlobFilter", "*.parquet").parquet(path)
-    )
+MAX_BATCH = 256 * 1024 * 1024
+
+
+def read_new_files(spark: SparkSession, path: str, schema, name: str = "*.parquet", **limit: str | int) -> DataFrame:
+    """New parquet files below a path as a stream. A batch takes at most 256 MB of
+    files (or another ``limit``), so a backlog arrives in bounded pieces."""
+    bound = limit or {"maxBytesPerTrigger": MAX_BATCH}
+    return spark.readStream.schema(schema).options(pathGlobFilter=name, **bound).parquet(path)
 
 
 def read_table_as_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table file of a folder as a stream source; only that table is picked up."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return read_new_files(spark, folder, schema, f"{name}.parquet")
 
 
 def counters(rows: DataFrame, job: str, status: str, values: list[str]) -> DataFrame:
