@@ -629,10 +629,16 @@ def h22(spark, d):
 WITH {head_sql('documents', 'text')},
 s0 AS (SELECT doc_id, source, CASE WHEN header_name IS NULL THEN text ELSE replace(text, header_name, '[NAME]') END AS text FROM documents JOIN nm USING (doc_id)),
 s1 AS (SELECT doc_id, source, {SCRUBBED_SQL.replace("{x}", "text")} AS t FROM s0),
-s2 AS (SELECT doc_id, source, {SCRUBBED2_SQL.replace("{x}", "t")} AS t FROM s1)
-SELECT s2.doc_id, source, CASE WHEN regexp_matches(t, '(?i)\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{{2,}}\\b') THEN 'quarantine' ELSE 'ready' END AS state,
-  E'Must:' || 'item ' || item_id || E'\nNice:none\nMinYears:' || item_id || E'\nEdu:n\nLoc:Dubai\nDB:none\nW:fit:60,skill:40' AS system_text
-FROM s2 JOIN benchmark ON source = 'src' || item_id
+s2 AS (SELECT doc_id, source, {SCRUBBED2_SQL.replace("{x}", "t")} AS t FROM s1),
+s3 AS (SELECT doc_id, list_transform(string_split(trim(regexp_replace(regexp_replace(t, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', E'\\n\\n', 'g'), E' \\n'), E'\\n'), lambda x: trim(x)) AS ls FROM s2),
+s4 AS (SELECT doc_id, unnest(ls) AS x, unnest(range(len(ls))) AS i FROM s3),
+s5 AS (SELECT doc_id, x, i, row_number() OVER (PARTITION BY doc_id, lower(x) ORDER BY i) AS k FROM s4 WHERE x <> ''),
+s6 AS (SELECT doc_id, trim(substr(string_agg(x, E'\\n' ORDER BY i), 1, 2000), E' \\n') AS short FROM s5 WHERE k = 1 GROUP BY 1),
+s7 AS (SELECT s2.doc_id, source, coalesce(short, '') AS short FROM s2 LEFT JOIN s6 USING (doc_id)),
+s8 AS (SELECT *, regexp_matches(short, '(?i)\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{{2,}}\\b') AS bad FROM s7)
+SELECT doc_id, source, CASE WHEN bad THEN 'quarantine' ELSE 'ready' END AS state, CASE WHEN NOT bad THEN E'CV text:\\n' || short || E'\\n\\nInclude flags when date issues are explicit.' END AS user_text,
+  E'Must:' || 'item ' || item_id || E'\\nNice:none\\nMinYears:' || item_id || E'\\nEdu:n\\nLoc:Dubai\\nDB:none\\nW:fit:60,skill:40' AS system_text
+FROM s8 JOIN benchmark ON source = 'src' || item_id
 """)
 def a21(spark, d):
     none = F.array().cast("array<string>")
@@ -643,4 +649,4 @@ def a21(spark, d):
             F.lit("Dubai"), none, [("fit", F.lit(60)), ("skill", F.lit(40))],
         ).alias("system_text"),
     )
-    return requests.request_table(_busy_docs(spark, d), jobs, "source", "doc_id").drop("user_text")
+    return requests.request_table(_busy_docs(spark, d), jobs, "source", "doc_id")
