@@ -11,10 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankmill.functions.text import ascii_digits, canonical_answer, canonical_hash, scrub
+from rankmill.operators.ranking import top_k
 from rankmill.session import cut_lineage
 
 # Jaccard > 17/20, kept as whole numbers so that no rounding can flip a pair.
 NUM, DEN = 17, 20
+# Earlier sets every set is compared with first, per token. Speed only: sets that
+# match none of them meet all others afterwards.
+LEADERS = 8
 
 
 def exact_groups(docs: DataFrame, row_id: str, text: str) -> DataFrame:
@@ -55,8 +59,8 @@ def near_duplicate_flags(docs: DataFrame, row_id: str, text: str) -> DataFrame:
        further copy is a duplicate at once. This removes hot groups of copies.
     2. Two sets with Jaccard > 0.85 share a token among their rarest
        ``n - ceil(0.85 n) + 1`` ones (prefix filter), so sets meet by those tokens.
-    3. Each set first meets the earliest set of each of its tokens. In a cluster
-       of near copies this settles almost all of them in linear work.
+    3. Each set first meets a few of the earliest sets of each of its tokens. In a
+       cluster of near copies this settles almost all of them in linear work.
     4. Sets still open meet all earlier sets of their tokens with a fitting size,
        and the exact test decides. Hot tokens are split by the earlier set's id.
     """
@@ -93,8 +97,11 @@ def near_duplicate_flags(docs: DataFrame, row_id: str, text: str) -> DataFrame:
         f"least(n, m) * {DEN} > greatest(n, m) * {NUM}"
         f" and (1 + least(n - r, m - q)) * {NUM + DEN} > (n + m) * {NUM}"
     )
-    leaders = prefix.groupBy("token").agg(F.min(F.struct("rep", "n", "r")).alias("l")).select(
-        "token", F.col("l.rep").alias("leader"), F.col("l.n").alias("m"), F.col("l.r").alias("q")
+    # leaders: the earliest holders of a token that keep enough tokens behind it to
+    # be close to a set of their own size
+    central = prefix.where(f"(1 + n - r) * {NUM + DEN} > n * {2 * NUM}")
+    leaders = top_k(central, ["token"], [F.col("rep")], LEADERS).select(
+        "token", F.col("rep").alias("leader"), F.col("n").alias("m"), F.col("r").alias("q")
     )
     led = (
         prefix.join(leaders, "token").where(f"leader < rep and {fits}").select("rep", "leader").distinct()
