@@ -6,9 +6,12 @@ import pytest
 from compare import compare, connect
 
 import __spark_entry__ as driver
+from rankmill.plans import ORACLE as BASE_SQL
+from rankmill.plans import QUERIES as BASE
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = driver.queries(), driver.oracle_sql()
+assert set(BASE) <= set(driver.queries())
+QUERIES, SQL = BASE, BASE_SQL
 # operators of the inventory, by letter
 INVENTORY = {"a": 23, "b": 18, "c": 15, "d": 26, "e": 10, "f": 7, "s": 6, "h": 34, "m": 9, "t": 4, "k": 12}
 
