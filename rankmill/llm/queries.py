@@ -34,7 +34,7 @@ LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
       SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents
     ), s AS (
       SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE
-        list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1), i -> array_to_string(w[i : i + 3], ' '))) END AS s
+        list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i : i + 3], ' '))) END AS s
       FROM w
     ), e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
     p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k, any_value(a.n) + any_value(b.n) - count(*) AS u
