@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rankmill.llm.near_dedup import near_duplicates
+from rankmill.llm.packing import pack
 from rankmill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,3 +53,13 @@ LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components at 4 words and 0.8, one row per document."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+@query("op2_packing")
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2,048 tokens; SQL has no tokenizer."""
+    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset",
+        "context_size", "step_group",
+    )
