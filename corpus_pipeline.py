@@ -2,26 +2,61 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankmill.llm.decontaminate import without_matches
+from rankmill.llm.line_dedup import dropped_lines, kept_text, with_bitmaps
 from rankmill.llm.near_dedup import near_duplicates
+from rankmill.llm.packing import pack
+from rankmill.llm.toxicity import fit_on, without_toxic
 from rankmill.session import cut_lineage
 from rankmill.sources.tables import table
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier rejects go."""
+    return without_toxic(docs, fit_on(docs, table(spark, sf_dir, "labels")))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that ten documents or more share leave every text; n_chars follows the text."""
+    out = with_bitmaps(docs, dropped_lines(docs)).withColumn("text", kept_text())
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: five-word shingles, similarity 0.8."""
     groups = near_duplicates(docs, words=5, percent=80)
     gone = groups.where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return without_matches(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The remaining documents as packed sequences, one row per piece."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("near_dedup", near_dedup)]
-ORACLE_SQL = None
+STAGES = [
+    ("toxicity", toxicity),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+ORACLE_SQL = None  # a fitted classifier, near-duplicates, edit distance and a tokenizer: see the tests
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = cut_lineage(stage(spark, docs, sf_dir), name)

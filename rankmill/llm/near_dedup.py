@@ -12,7 +12,7 @@ Nothing is emitted per pair of a group:
 * equal sets fold into one document before anything is joined;
 * per key only its first holder is linked with the others. Documents within the distance of
   a first holder form a family, and families are cut into blocks of about ``BLOCK``;
-* keys that span blocks are tested inside tasks (tiles of bounded size, two bits per
+* keys that span families are tested inside tasks (tiles of bounded size, two bits per
   symbol), and give (block, partner) rows only;
 * blocks and partners meet once more with full signatures and full sets; a union-find per
   block keeps the confirmed links that join something, so links stay linear.
@@ -128,7 +128,7 @@ def _meetings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for group in _groups(batches, ["key", "ta", "tb"]):
         tile, doc = group["tile"].to_numpy(), group["doc"].to_numpy()
         block, size = group["block"].to_numpy(), group["size"].to_numpy()
-        number = np.unique(block.astype(str), return_inverse=True)[1]
+        family = group["family"].to_numpy()
         ta, tb = group["ta"].iloc[0], group["tb"].iloc[0]
         tags = np.frombuffer(b"".join(group["tag"]), np.uint8).reshape(len(group), -1)
         left, right = np.flatnonzero(tile == ta), np.flatnonzero(tile == tb)
@@ -136,7 +136,7 @@ def _meetings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for at in range(0, len(left), step):
             rows = left[at : at + step]
             close = _DIFFERENT[tags[rows][:, None, :] ^ tags[right][None, :, :]].sum(axis=2, dtype=np.uint16) <= DISTANCE
-            close &= number[rows][:, None] != number[right][None, :]
+            close &= family[rows][:, None] != family[right][None, :]
             for i, j in zip(*np.nonzero(close), strict=True):
                 a, b = rows[i], right[j]
                 if ta != tb or a < b:
@@ -255,15 +255,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     count = family.groupBy("family").count()
     parts = F.ceil(F.col("count") / BLOCK)
     part = F.pmod(F.xxhash64("doc"), parts)
-    blocks = family.join(count, "family").select("doc", F.concat_ws(":", "family", part).alias("block"))
+    blocks = family.join(count, "family").select("doc", "family", part.alias("part"), parts.alias("parts"))
+    blocks = blocks.withColumn("block", F.concat_ws(":", "family", "part"))
     size = blocks.groupBy("block").agg(F.count("*").alias("size"))
     blocks = cut_lineage(blocks.join(size, "block"), "blocks")
+    # all blocks of a family meet: each document goes to the family's later blocks
+    later = blocks.where(F.col("part") < F.col("parts") - 1).select(
+        "doc", "family", F.explode(F.sequence(F.col("part") + 1, F.col("parts") - 1)).alias("part")
+    )
+    kin = later.select(F.concat_ws(":", "family", "part").alias("host"), "doc")
 
-    # keys whose holders lie in several blocks
+    # keys whose holders lie in several families
+    blocks = blocks.drop("part", "parts")
     placed = shared.select("key", "doc").join(blocks, "doc")
     spread = (
         placed.groupBy("key")
-        .agg(F.min("block").alias("lo"), F.max("block").alias("hi"), F.count("*").alias("holders"))
+        .agg(F.min("family").alias("lo"), F.max("family").alias("hi"), F.count("*").alias("holders"))
         .where("lo != hi")
         .select("key", F.ceil(F.col("holders") / TILE).alias("tiles"))
     )
@@ -271,13 +278,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tiled = placed.join(spread, "key").withColumn("tile", F.pmod(F.xxhash64("doc"), F.col("tiles")))
     tiled = tiled.join(tags, "doc").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     tiled = tiled.select(
-        "key", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), "tile", "doc", "block", "size", "tag"
+        "key", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), "tile", "doc", "family", "block", "size", "tag"
     )
     meet = (
         tiled.repartition("key", "ta", "tb").sortWithinPartitions("key", "ta", "tb")
         .mapInPandas(_meetings, "host string, doc long").distinct()
     )
-    meet = cut_lineage(meet, "meetings")
+    meet = cut_lineage(meet.union(kin), "meetings")
 
     # blocks with several members or partners, with the partners after the members
     busy = meet.groupBy("host").agg(F.ceil(F.count("*") / PARTNERS).alias("salts"))

@@ -8,8 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankmill.llm.decontaminate import matches
+from rankmill.llm.line_dedup import dropped_lines, kept_text, lines_of, n_dropped, with_bitmaps
 from rankmill.llm.near_dedup import near_duplicates
 from rankmill.llm.packing import pack
+from rankmill.llm.toxicity import toxicity
 from rankmill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,3 +66,39 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset",
         "context_size", "step_group",
     )
+
+
+@query("op3_decontamination")
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in a document, with place and edit distance."""
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query(
+    "op6_line_dedup",
+    f"""
+    WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+    l AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM d),
+    k AS (SELECT *, {LOWER.format(f"trim(line, {BLANKS})")} AS key FROM l),
+    f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+    SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (f.key IS NULL), '')) AS kept_sha256
+    FROM k LEFT JOIN f ON k.key = f.key GROUP BY doc_id
+    """,
+)
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines held by ten documents or more leave every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return with_bitmaps(docs, dropped_lines(docs, 10)).select(
+        "doc_id", F.size(lines_of(F.col("text"))).cast("long").alias("n_lines"), n_dropped().alias("n_dropped"),
+        F.sha2(kept_text(), 256).alias("kept_sha256"),
+    )
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
