@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankmill.llm.ann import nearest
 from rankmill.llm.decontaminate import matches
 from rankmill.llm.line_dedup import dropped_lines, kept_text, lines_of, n_dropped, with_bitmaps
 from rankmill.llm.near_dedup import near_duplicates
 from rankmill.llm.packing import pack
+from rankmill.llm.quality import quality
 from rankmill.llm.toxicity import toxicity
 from rankmill.sources.tables import table
 
@@ -102,3 +104,16 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_nearest_neighbours")
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every 50th vector, among all."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, F.col("vec_id") % 50 == 0, 5)
+
+
+@query("op8_quality")
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
-Voters are lexicon terms (words, and word stems of four to six letters) and text patterns
-(shouting, exclamation runs, repeated words, very short text). Which terms vote is chosen from the labelled sample. A
+Voters are lexicon terms (words, and stems of four to seven letters, by count) and text patterns
+(shouting, exclamation runs, repeated words, very short and long texts). Which terms vote is chosen from the labelled sample. A
 generative label model then explains the votes: each voter fires with one probability on toxic
 texts and with another on clean ones; expectation maximisation estimates these, and the correlation left
 between voters given the class reduces the weight of voters that repeat one another. The posterior
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,19 +30,32 @@ from rankmill.session import cut_lineage
 SAMPLE = 12_000  # labelled documents fitted on
 VOTERS = 96  # lexicon voters
 TERMS = 768  # terms of the linear classifier
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7)
+GIVEN = 0.95  # how far a label is trusted beside the voters
 THRESHOLD = 0.3
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def terms_of(text: str | None) -> set[str]:
-    """Distinct lower-case words and their stems, marked by a star."""
-    found = set(LETTERS.findall(text.lower())) if text else set()
-    return found.union(w[:n] + "*" for n in STEMS for w in found if len(w) >= n)
+    """Distinct lower-case words; stems of longer words, as ``stem*``, ``stem*2`` and ``stem*3`` by how often they occur."""
+    words = Counter(LETTERS.findall(text.lower())) if text else Counter()
+    return set(words).union(_levels(words, None))
+
+
+def _levels(words: Counter[str], known: set[str] | None) -> Iterator[str]:
+    stems: dict[str, int] = {}
+    for w, c in words.items():
+        for n in STEMS:
+            if len(w) > n and (known is None or w[:n] in known):
+                stems[w[:n]] = stems.get(w[:n], 0) + c
+    for stem, c in stems.items():
+        yield stem + "*"
+        for level in range(2, min(c, 3) + 1):
+            yield f"{stem}*{level}"
 
 
 def patterns_of(text: str | None) -> list[bool]:
-    """Pattern votes: shouting, exclamation runs, one word repeated, very short, second person with an exclamation mark."""
+    """Pattern votes: shouting, exclamation runs, one word repeated, very short, long, second person with an exclamation mark."""
     text = text or ""
     n = max(1, len(text))
     return [
@@ -49,22 +63,26 @@ def patterns_of(text: str | None) -> list[bool]:
         "!!" in text,
         bool(re.search(r"\b(\w+)(?: \1\b){3}", text)),
         len(text) < 40,
+        len(text) > 8000,
         bool(re.search(r"\byou\b[^.!?\n]{0,80}!", text)),
     ]
 
 
 class LabelModel:
-    """Two-class generative model of binary voters, by expectation maximisation."""
+    """Two-class generative model of voters that fire or abstain, by expectation maximisation.
+
+    A voter that abstains says nothing. The given label is one more voter, of fixed accuracy ``GIVEN``.
+    """
 
-    def fit(self, votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> LabelModel:
-        """``start``: first posterior of each row (labels, softened)."""
-        post = start.astype(float)
+    def fit(self, votes: np.ndarray, given: np.ndarray, rounds: int = 25) -> LabelModel:
+        post = np.where(given == 1, GIVEN, 1 - GIVEN)
         for _ in range(rounds):
             self.prior = float(np.clip(post.mean(), 1e-4, 1 - 1e-4))
             on, off = post.sum(), (1 - post).sum()
-            self.fire = np.clip(np.stack([(votes.T @ (1 - post) + 0.5) / (off + 1), (votes.T @ post + 0.5) / (on + 1)]), 1e-6, 1 - 1e-6)
+            fire = np.stack([(votes.T @ (1 - post) + 0.5) / (off + 1), (votes.T @ post + 0.5) / (on + 1)])
+            self.fire = np.clip(fire, 1e-6, 1 - 1e-6)
             self.weight = self._independence(votes, post)
-            new = self.posterior(votes)
+            new = self.posterior(votes, given)
             if np.abs(new - post).max() < 1e-6:
                 break
             post = new
@@ -81,10 +99,9 @@ class LabelModel:
         np.fill_diagonal(r, 0)
         return 1 / (1 + (r * r).sum(axis=1))
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
-        yes = np.log(self.fire[1] / self.fire[0])
-        no = np.log((1 - self.fire[1]) / (1 - self.fire[0]))
-        score = math.log(self.prior / (1 - self.prior)) + votes @ (self.weight * yes) + (1 - votes) @ (self.weight * no)
+    def posterior(self, votes: np.ndarray, given: np.ndarray) -> np.ndarray:
+        score = math.log(self.prior / (1 - self.prior)) + votes @ (self.weight * np.log(self.fire[1] / self.fire[0]))
+        score = score + np.where(given == 1, 1, -1) * math.log(GIVEN / (1 - GIVEN))
         return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
 
 
@@ -93,16 +110,15 @@ class Scorer:
 
     def __init__(self, terms: list[str], weights: np.ndarray, bias: float):
         self.weights = dict(zip(terms, weights[: len(terms)].tolist(), strict=True))
-        self.lengths = [n for n in STEMS if any(t.endswith("*") and len(t) == n + 1 for t in terms)]
+        self.stems = {t.partition("*")[0] for t in terms if "*" in t}
         self.patterns = weights[len(terms) :].tolist()
         self.bias = bias
 
     def score(self, text: str | None) -> float:
         total = self.bias + sum(w for w, on in zip(self.patterns, patterns_of(text), strict=True) if on)
         get = self.weights.get
-        words = set(LETTERS.findall(text.lower())) if text else set()
-        stems = {w[:n] + "*" for n in self.lengths for w in words if len(w) >= n}
-        total += sum(get(t, 0.0) for t in words) + sum(get(t, 0.0) for t in stems)
+        words = Counter(LETTERS.findall(text.lower())) if text else Counter()
+        total += sum(get(t, 0.0) for t in words) + sum(get(t, 0.0) for t in _levels(words, self.stems))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
 
 
@@ -120,7 +136,7 @@ def fit(lexicon: list[str], has: list[list[str]], marks: list[list[bool]], y: np
     for row, terms in enumerate(has):
         x[row, [place[t] for t in terms]] = 1
     votes = np.hstack([x[:, :VOTERS], marked])
-    post = LabelModel().fit(votes, np.where(y == 1, 0.95, 0.05)).posterior(votes)
+    post = LabelModel().fit(votes, y).posterior(votes, y)
     weights, bias = _logistic(np.hstack([x, marked]), post)
     return Scorer(lexicon, weights, bias)
 
