@@ -15,6 +15,7 @@ from rankmill.llm.near_dedup import near_duplicates
 from rankmill.llm.packing import pack
 from rankmill.llm.quality import quality
 from rankmill.llm.toxicity import toxicity
+from rankmill.llm.warc import archive_pages
 from rankmill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,3 +118,11 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_warc")
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives, normalised, and read back by offset; DuckDB has no base32 digest."""
+    return archive_pages(spark, table(spark, sf_dir, "pages"), min_bytes=0).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
