@@ -27,7 +27,7 @@ def line_key(line: Column) -> Column:
     return F.when(F.octet_length(core) == F.char_length(core), F.lower(core)).otherwise(F.translate(core, UPPER, LOWER))
 
 
-def _row(id_col: str, text_col: str) -> list[Column]:
+def row_key(id_col: str, text_col: str) -> list[Column]:
     """A row's identity: its id (its text's hash where the id is null), and the text's hash."""
     text = F.xxhash64(F.coalesce(text_col, F.lit("")))
     return [F.coalesce(F.col(id_col).cast("long"), text).alias("_doc"), text.alias("_of")]
@@ -46,7 +46,7 @@ def dropped_lines(
     ``keep_first`` its first occurrence (smallest document, then position) stays. A null or empty text is one empty line
     and loses nothing; rows without an id are documents of their own; repeated rows share a bitmap.
     """
-    lines = docs.select(*_row(id_col, text_col), F.posexplode(lines_of(F.col(text_col))).alias("_pos", "_line"))
+    lines = docs.select(*row_key(id_col, text_col), F.posexplode(lines_of(F.col(text_col))).alias("_pos", "_line"))
     lines = lines.withColumn("_line", line_key(F.col("_line"))).where("_line != ''")
     # 128 bits: two seeds
     hashed = lines.select(
@@ -73,7 +73,7 @@ def dropped_lines(
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows of ``docs`` with their bitmap in ``_dropped`` (null: nothing is dropped)."""
-    doc, of = _row(id_col, text_col)
+    doc, of = row_key(id_col, text_col)
     return docs.withColumn("_doc", doc).withColumn("_of", of).join(bitmaps, ["_doc", "_of"], "left").drop("_doc", "_of")
 
 

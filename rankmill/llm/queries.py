@@ -13,6 +13,7 @@ from rankmill.llm.decontaminate import matches
 from rankmill.llm.line_dedup import dropped_lines, kept_text, lines_of, n_dropped, with_bitmaps
 from rankmill.llm.near_dedup import near_duplicates
 from rankmill.llm.packing import pack
+from rankmill.llm.pii import KINDS, listed, personal_data
 from rankmill.llm.quality import quality
 from rankmill.llm.toxicity import toxicity
 from rankmill.llm.warc import archive_pages
@@ -126,3 +127,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(spark, table(spark, sf_dir, "pages"), min_bytes=0).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+@query("op7_personal_data")
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document; DuckDB's patterns give no places, so this is tested against brute force."""
+    found = personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.expr(f"size(filter(_base, s -> s.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(listed(F.col("_base")), 256).alias("base_sha256"), listed(F.col("_spans")).alias("spans")
+    )
