@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rankmill.llm.ann import nearest
 from rankmill.llm.decontaminate import matches
+from rankmill.llm.licenses import file_licenses
 from rankmill.llm.line_dedup import dropped_lines, kept_text, lines_of, n_dropped, with_bitmaps
 from rankmill.llm.near_dedup import near_duplicates
 from rankmill.llm.packing import pack
@@ -137,3 +138,12 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *counts, F.sha2(listed(F.col("_base")), 256).alias("base_sha256"), listed(F.col("_spans")).alias("spans")
     )
+
+
+@query("op4_licenses")
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document, filed as source/lang/block of 100 ids/id."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 100), "doc_id")
+    found = file_licenses(docs.select(path.alias("path"), "text"))
+    return found.withColumn("doc_id", F.element_at(F.split("path", "/"), -1).cast("long"))
