@@ -134,7 +134,8 @@ def scrub(text: Column) -> Column:
         (
             "[0-9]",
             [
-                (rf"(?i){PHONE_LABEL}{WS}*[:\-]?{WS}*[+0-9](?:[0-9().-]|{WS}){{6,}}", "[PHONE]"),
+                # one class and possessive runs: constant stack, one pass
+                (rf"(?i){PHONE_LABEL}{WS}*+[:\-]?{WS}*+[+0-9][0-9().\-{WS}]{{6,}}+", "[PHONE]"),
                 (
                     rf"(?:\+|00)[0-9]{{1,3}}(?:{WS}|[.-])?\(?[0-9]{{2,4}}\)?(?:{WS}|[.-])?"
                     rf"[0-9]{{3,4}}(?:{WS}|[.-])?[0-9]{{3,4}}{EDGE_R}",
@@ -235,7 +236,7 @@ def labelled_nationality(text: Column) -> Column:
         rf"(?iu){EDGE_L}(?:visa|marital|sex|gender|driving|date of birth|d\.?o\.?b){EDGE_R}"
     )
     head = F.get(F.split(squeeze_ws(found), stop), F.lit(0))
-    value = trim_ws(F.regexp_replace(head, rf"(?:{WS}|[:–—\-,;/])+$", ""))
+    value = trim_ws(F.regexp_replace(head, rf"[:–—\-,;/{WS}]+$", ""))
     return F.when(
         F.length(value).between(2, 40)
         & ~value.rlike(r"[0-9]")

@@ -119,27 +119,21 @@ def parse_status(text: Column, min_chars: int = 80) -> Column:
     return F.when(near_empty(text, min_chars), "needs_ocr").otherwise("parsed")
 
 
-def assemble_pages(
-    pages: DataFrame, doc: str, number: str, text: str, max_chars: int = DEFAULT_LIMITS.max_file_bytes
-) -> DataFrame:
+def assemble_pages(pages: DataFrame, doc: str, number: str, text: str) -> DataFrame:
     """One text per document: pages in order, trimmed, empty ones dropped.
 
-    A document beyond the file limit is refused first (status ``error``), from a
-    map-side combined sum of page lengths; only admitted documents, whose size
-    that limit bounds, are collected into one value.
+    File sizes are judged at admission, never here: a document of any length is
+    kept. Where the text is not needed in one value, ``ordered_pages`` keeps page rows.
     """
-    sizes = pages.groupBy(doc).agg(F.sum(F.length(text)).alias("_chars"))
-    refused = sizes.where(F.col("_chars") > max_chars).select(doc)
     page = F.struct(F.col(number).alias("n"), trim_ws(F.col(text)).alias("t"))
     kept = F.filter(F.array_sort(F.collect_list(page)), lambda p: F.length(p["t"]) > 0)
-    built = (
-        pages.join(refused, doc, "left_anti")
-        .groupBy(doc)
+    return (
+        pages.groupBy(doc)
         .agg(F.transform(kept, lambda p: p["t"]).alias("pages"))
         .select(doc, "pages", F.array_join("pages", "\n\n").alias("text"), F.lit("parsed").alias("status"))
     )
-    bad = refused.select(
-        doc, F.lit(None).cast("array<string>").alias("pages"),
-        F.lit(None).cast("string").alias("text"), F.lit("error").alias("status"),
-    )
-    return built.unionByName(bad)
+
+
+def ordered_pages(pages: DataFrame, doc: str, number: str, text: str) -> DataFrame:
+    """Filled pages as rows, trimmed, spread by (document, page): no document is one value."""
+    return pages.select(doc, number, trim_ws(F.col(text)).alias(text)).where(F.length(text) > 0)

@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankmill.session import cut_lineage
-
 
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
     """Best k rows of each group. The literal bound lets Spark cut every map
@@ -17,24 +15,36 @@ def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null, as in a window's partitions."""
+    right = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(right, same, how).drop(*(f"_r_{k}" for k in keys))
+
+
 def ranked(
-    df: DataFrame, group: Sequence[str], score: str, row_id: str,
-    name: str = "rank", shard_rows: int = 4_000_000, stored: bool = False,
+    df: DataFrame, group: Sequence[str], score: str, row_id: str, name: str = "rank", shard_rows: int = 4_000_000
 ) -> DataFrame:
     """Dense position by score descending (null as -1), then id, for all rows.
 
-    A plain window would sort a whole group in one task. Here a group is split
-    by score value (one decimal, so about a thousand values) and by id range:
-    at most ``shard_rows`` rows share a task. The rows in front of a piece are
-    counted from the table of piece sizes, one row per piece. Rows and sizes both
-    read ``df``, so it is written once first, unless the caller says it is a
-    ``stored`` table.
+    A plain window would sort a whole group in one task. Here a group is split by
+    score value, and a value with more than ``shard_rows`` rows by id ranges cut at
+    measured quantiles, so sparse or hashed ids split as well as dense ones.
+    The rows in front of a piece are counted from the table of piece sizes. Sizes
+    read group, score and id only; null groups and ids are ranked like any other.
     """
-    source = df if stored else cut_lineage(df, "to-rank")
-    piece = [*group, "_score", "_shard"]
-    pieces = source.withColumn("_score", F.coalesce(F.col(score), F.lit(-1.0))).withColumn(
-        "_shard", F.floor(F.col(row_id) / F.lit(shard_rows))
+    value = [*group, "_score"]
+    piece = [*value, "_shard"]
+    scored = df.withColumn("_score", F.coalesce(F.col(score), F.lit(-1.0)))
+    cuts = F.percentile_approx(row_id, [i / 256 for i in range(1, 256)], 10_000)
+    large = (
+        scored.groupBy(*value).agg(F.count(F.lit(1)).alias("_n"), cuts.alias("_cuts"))
+        .where(F.col("_n") > shard_rows).drop("_n")
     )
+    shard = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(row_id))), F.lit(0))
+    pieces = join_same(scored, large, value, "left").withColumn(
+        "_shard", F.when(F.col("_cuts").isNull(), 0).otherwise(shard)
+    ).drop("_cuts")
     ahead = (
         Window.partitionBy(*group).orderBy(F.col("_score").desc(), F.col("_shard"))
         .rowsBetween(Window.unboundedPreceding, -1)
@@ -44,16 +54,14 @@ def ranked(
     )
     inside = Window.partitionBy(*piece).orderBy(row_id)
     return (
-        pieces.withColumn("_local", F.row_number().over(inside))
-        .join(offsets, piece)
+        join_same(pieces.withColumn("_local", F.row_number().over(inside)), offsets, piece)
         .withColumn(name, F.col("_before") + F.col("_local"))
         .drop("_score", "_shard", "_before", "_local")
     )
 
 
 def cap_split(
-    df: DataFrame, group: Sequence[str], score: str, row_id: str, cap: int, name: str = "inside",
-    stored: bool = False,
+    df: DataFrame, group: Sequence[str], score: str, row_id: str, cap: int, name: str = "inside"
 ) -> DataFrame:
     """Flag the first ``cap`` rows of each group; 0 means no cap.
 
@@ -63,7 +71,6 @@ def cap_split(
     """
     if cap <= 0:
         return df.withColumn(name, F.lit(True))
-    df = df if stored else cut_lineage(df, "to-cut")
     key = F.struct(
         (-F.coalesce(F.col(score), F.lit(-1.0))).alias("s"), F.col(row_id).alias("i")
     )
@@ -73,7 +80,7 @@ def cap_split(
         .groupBy(*group)
         .agg(F.max("_key").alias("_cut"))
     )
-    return df.join(cut, list(group)).withColumn(name, key <= F.col("_cut")).drop("_cut")
+    return join_same(df, cut, list(group)).withColumn(name, key <= F.col("_cut")).drop("_cut")
 
 
 def running_sum(
@@ -91,8 +98,7 @@ def running_sum(
         *key, bucket, F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_before")
     )
     return (
-        df.withColumn("_local", F.sum(value).over(inside))
-        .join(offsets, [*key, bucket])
+        join_same(df.withColumn("_local", F.sum(value).over(inside)), offsets, [*key, bucket])
         .withColumn(name, F.col("_before") + F.col("_local"))
         .drop("_before", "_local")
     )
@@ -107,10 +113,9 @@ def previous_value(
     across = Window.partitionBy(*key).orderBy(bucket)
     tails = df.groupBy(*key, bucket).agg(F.max_by(value, F.struct(*order)).alias("_tail"))
     heads = tails.select(*key, bucket, F.lag("_tail").over(across).alias("_before"))
+    rows = df.withColumn("_prev", F.lag(value).over(inside)).withColumn("_first", F.row_number().over(inside) == 1)
     return (
-        df.withColumn("_prev", F.lag(value).over(inside))
-        .withColumn("_first", F.row_number().over(inside) == 1)
-        .join(heads, [*key, bucket])
+        join_same(rows, heads, [*key, bucket])
         .withColumn(name, F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_prev")))
         .drop("_prev", "_first", "_before")
     )

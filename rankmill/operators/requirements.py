@@ -44,7 +44,7 @@ def dual_track(title: Column, description: Column) -> Column:
 def requirement_lines(description: Column) -> Column:
     cleaned = F.transform(
         F.split(description, "\n+"),
-        lambda ln: trim_ws(F.regexp_replace(ln, rf"\A(?:{WS}|[•*\-–])+", "")),
+        lambda ln: trim_ws(F.regexp_replace(ln, rf"\A[•*\-–{WS}]++", "")),
     )
     kept = F.filter(
         cleaned,
@@ -61,7 +61,7 @@ def synthesized(description: Column) -> Column:
 
 
 def years_required(description: Column, dual: Column) -> Column:
-    found = F.regexp_extract_all(description, F.lit(rf"(?i)([0-9]+){WS}*\+?{WS}*years?"), F.lit(1))
+    found = F.regexp_extract_all(description, F.lit(rf"(?i)(?<![0-9])([0-9]++){WS}*+\+?{WS}*+years?"), F.lit(1))
     usable = F.filter(F.transform(found, lambda y: y.try_cast("int")), lambda y: (y > 0) & (y < 40))
     return F.when(dual, F.array_min(usable)).otherwise(F.get(usable, F.lit(0)))
 

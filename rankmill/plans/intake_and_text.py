@@ -10,7 +10,7 @@ from rankmill.operators import duplicates, intake, relevance, requests, requirem
 from rankmill.operators.ranking import cap_split, ranked, top_k
 from rankmill.plans.bindings import ROWS_SQL, document_rows
 from rankmill.plans.registry import query
-from rankmill.sources.tables import expected_entries, spread, table
+from rankmill.sources.tables import expected_entries, table
 
 NE = "length(regexp_replace(text, '[^\\p{L}\\p{N}]+', '', 'g'))"
 
@@ -21,7 +21,7 @@ def _docs(spark, d):
 
 def _busy_docs(spark, d):
     """For work that costs far more per row than moving the row."""
-    return spread(_docs(spark, d), "doc_id")
+    return _docs(spark, d)
 
 
 # --- scans, admission, reuse -------------------------------------------------------
@@ -72,7 +72,7 @@ WHERE entry NOT LIKE '/%' AND NOT list_contains(string_split(entry, '/'), '..')
 """)
 def a04(spark, d):
     url = F.col("url")
-    path = F.when(url.startswith("http://"), F.substring(url, 7, 10_000)).otherwise(
+    path = F.when(url.startswith("http://"), F.regexp_replace(url, r"\Ahttp:/", "")).otherwise(
         F.regexp_replace(F.regexp_replace(url, r"\Ahttps://", ""), r"[?#].*\z", "")
     )
     tail = (
@@ -104,7 +104,7 @@ def a06(spark, d):
 @query("a07_page_assembly", """
 WITH p AS (SELECT conv_id, turn, trim(text, E' \\n') AS t, length(text) AS n FROM conversations)
 SELECT conv_id, coalesce(string_agg(t, E'\\n\\n' ORDER BY turn, t) FILTER (length(t) > 0), '') AS text, count(*) FILTER (length(t) > 0) AS n_pages, 'parsed' AS status
-FROM p GROUP BY 1 HAVING sum(n) <= 15*1024*1024
+FROM p GROUP BY 1
 """)
 def a07(spark, d):
     built = intake.assemble_pages(table(spark, d, "conversations"), "conv_id", "turn", "text")
@@ -549,7 +549,7 @@ JD_SQL = r"""
 jd AS (SELECT doc_id, CASE WHEN lang = 'de' THEN 'Senior Accountant / Junior Accountant' ELSE 'Accountant' END AS title,
   E'How to apply: VAT desk\n' || '• Bachelor degree in ' || source || E'\n - Minimum ' || (n_chars % 45) || E' years of experience\n\n* minimum ' || (n_chars % 45) || E' YEARS of experience\n' ||
   CASE lang WHEN 'en' THEN E'Looking to hire VAT experts\nERP such as SAP or Oracle\nBank reconciliation and ledger\n' WHEN 'fr' THEN E'Based in Abu Dhabi with 3+ years\nWork in Abu Dhabi office\n' ELSE E'short\nExcel skills required\n' END ||
-  CASE WHEN length(text) <= 160 THEN regexp_replace(text, '\n', ' ', 'g') ELSE 'UAE payroll audit budget' END || E'\nYear-end accounts\nAudit files\nLedger upkeep\nPayroll runs' AS description FROM documents),
+  regexp_replace(text, '\n', ' ', 'g') || E'\nYear-end accounts\nAudit files\nLedger upkeep\nPayroll runs' AS description FROM documents),
 jl AS (SELECT *, list_filter(list_transform(regexp_split_to_array(description, '\n+'), lambda x: trim(regexp_replace(x, '^[\s•*\-–]+', ''))), lambda l:
     length(l) BETWEEN 8 AND 160 AND NOT regexp_matches(l, '(?i)^(how to apply|email|mobile|phone|tel|positions?:|responsibilit|qualifications?|requirements?|location:)')
     AND NOT regexp_matches(l, '(?i)leading company|looking to hire|based in|landscap|nursery|nurseries')
@@ -573,7 +573,7 @@ def _job_texts(spark, d):
         .when(F.col("lang") == "fr", "Based in Abu Dhabi with 3+ years\nWork in Abu Dhabi office\n")
         .otherwise("short\nExcel skills required\n")
     )
-    tail = F.when(F.length("text") <= 160, F.regexp_replace("text", "\n", " ")).otherwise("UAE payroll audit budget")
+    tail = F.regexp_replace("text", "\n", " ")
     description = F.concat(
         F.lit("How to apply: VAT desk\n• Bachelor degree in "), "source", F.lit("\n - Minimum "), years,
         F.lit(" years of experience\n\n* minimum "), years, F.lit(" YEARS of experience\n"), middle, tail,

@@ -18,22 +18,19 @@ def write_csv(df: DataFrame, path: str) -> None:
     ).option("emptyValue", "").csv(path)
 
 
-def write_bom_csv(df: DataFrame, path: str, order: str, max_rows: int = 1_000_000) -> None:
-    """One text file that starts with a byte order mark, for spreadsheet programs.
+def write_bom_csv(df: DataFrame, path: str, order: str) -> None:
+    """Text files in a folder that read on from one to the next, sorted by ``order``.
 
-    A single file is a single task, so the row count is checked against what a
-    spreadsheet can hold; larger results belong in ``write_csv``.
+    The first begins with a byte order mark and the header. Range partitions keep the order at any size.
     """
-    if df.limit(max_rows + 1).count() > max_rows:
-        raise ValueError(f"more than {max_rows} rows: use write_csv")
     body = df.select(
-        F.col(order).cast("long").alias("_o"),
+        F.lit(1).alias("_part"), F.col(order).cast("long").alias("_o"),
         F.concat_ws(",", *[csv_cell(F.col(c)) for c in df.columns]).alias("value"),
     )
-    head = df.sparkSession.createDataFrame([(-1, BOM + ",".join(df.columns))], "_o long, value string")
-    head.unionByName(body).coalesce(1).sortWithinPartitions("_o").select("value").write.mode(
-        "overwrite"
-    ).text(path)
+    head = df.sparkSession.createDataFrame(
+        [(0, -1, BOM + ",".join(df.columns))], "_part int, _o long, value string"
+    )
+    head.unionByName(body).orderBy("_part", F.col("_o").asc_nulls_last()).select("value").write.mode("overwrite").text(path)
 
 
 def write_by_status(df: DataFrame, path: str, status: str = "parse_status") -> None:

@@ -17,17 +17,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores for costly per-row work on a table of few large row groups.
-
-    The reader cannot split a row group. When the scan has fewer partitions than
-    there are cores, rows are hashed over the cores once; a large table has more
-    splits than that and is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
 def file_listing(spark: SparkSession, folder: str) -> DataFrame:
     """Name and size of files below a folder; contents stay unread unless asked for."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
