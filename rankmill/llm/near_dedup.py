@@ -24,6 +24,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,24 +43,24 @@ PAIRS = 1 << 16  # pairs compared by one numpy call at most
 
 
 def _sketches(size: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = {"doc": pa.int64(), "n": pa.int64(), "same": pa.binary(), "sig": pa.binary()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = MinHash(SYMBOLS)
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc"], batch["text"], strict=True):
-                found = shingle_set(text, size)
-                if len(found):
-                    rows.append((doc, len(found), _digest(found), hasher.signature(found).tobytes()))
-                else:
-                    rows.append((doc, 0, None, None))
-            yield pd.DataFrame(rows, columns=["doc", "n", "same", "sig"])
+            for text in batch["text"]:
+                found = shingle_set(text.as_py(), size)
+                some = len(found) > 0
+                rows.append((len(found), _digest(found) if some else None, hasher.signature(found).tobytes() if some else None))
+            columns = zip(*rows, strict=True) if rows else [()] * 3
+            arrays = [pa.array(c, k) for c, k in zip(columns, list(kinds.values())[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["doc"], *arrays], list(kinds))
 
     return run
 
 
 def _digest(found: np.ndarray) -> bytes:
-    import xxhash
-
     return xxhash.xxh3_128_digest(found.tobytes())
 
 
@@ -235,7 +237,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     given = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     sketches = cut_lineage(
-        given.mapInPandas(_sketches(words), "doc long, n long, same binary, sig binary"), "sketches"
+        given.mapInArrow(_sketches(words), "doc long, n long, same binary, sig binary"), "sketches"
     )
     usable = sketches.where("doc IS NOT NULL AND same IS NOT NULL")
     same = usable.groupBy("same").agg(F.min("doc").alias("rep"))
@@ -308,7 +310,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .mapInPandas(_links(percent), "a long, b long")
     )
     joined = components(links, "a", "b")
-    label = F.coalesce("component", "rep", "doc")
+    label = F.when(F.col("doc").isNotNull(), F.coalesce("component", "rep", "doc"))
     return (
         sketches.join(same, "same", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
         .select(
