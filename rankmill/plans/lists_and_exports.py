@@ -423,12 +423,12 @@ def a14(spark, d):
 
 
 @query("a15_verification_sheet", with_cand("""
-, g AS (SELECT unnest([""" + ", ".join(f"'{a}'" for a, _ in exports.GENERIC_CHECKS) + """]) AS theme)
+, g AS (SELECT unnest([""" + ", ".join(f"'{a}'" for a in exports.CHECK_THEMES) + """]) AS theme)
 SELECT job, theme, 0 AS place FROM (SELECT DISTINCT job FROM cand) CROSS JOIN g
 UNION ALL SELECT job, name, rank FROM ranked WHERE total IS NOT NULL AND rank <= 15
 """))
 def a15(spark, d):
-    generic = F.explode(F.array(*[F.lit(a) for a, _ in exports.GENERIC_CHECKS])).alias("theme")
+    generic = F.explode(F.array(*[F.lit(a) for a in exports.CHECK_THEMES])).alias("theme")
     jobs = candidates(spark, d).select("job").distinct().select("job", generic).withColumn("place", F.lit(0))
     listed = _top15(spark, d).select("job", tx.display_value(F.col("name")).alias("theme"), F.col("rank").alias("place"))
     return jobs.unionByName(listed)

@@ -430,8 +430,8 @@ def t02(spark, d):
 
 @query("t03_incremental_intake", """
 WITH hist AS (SELECT sha256(text) AS h, min(doc_id) AS reused_from FROM documents SEMI JOIN labels USING (doc_id) WHERE length(regexp_replace(text, '[^\\p{L}\\p{N}]+', '', 'g')) >= 80 GROUP BY 1),
-n AS (SELECT sha256(text) AS content_hash, min(length(regexp_replace(text, '[^\\p{L}\\p{N}]+', '', 'g'))) AS len FROM documents GROUP BY 1)
-SELECT content_hash, reused_from, CASE WHEN reused_from IS NULL AND len < 80 THEN 'needs_ocr' ELSE 'parsed' END AS parse_status FROM n LEFT JOIN hist ON h = content_hash
+n AS (SELECT doc_id, sha256(text) AS content_hash, length(regexp_replace(text, '[^\\p{L}\\p{N}]+', '', 'g')) AS len FROM documents)
+SELECT doc_id, content_hash, reused_from, CASE WHEN reused_from IS NULL AND len < 80 THEN 'needs_ocr' ELSE 'parsed' END AS parse_status FROM n LEFT JOIN hist ON h = content_hash
 """)
 def t03(spark, d):
     from rankmill.functions.text import near_empty
@@ -441,10 +441,8 @@ def t03(spark, d):
         table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").where(~near_empty(F.col("text")))
         .groupBy(content_hash(F.col("text")).alias("content_hash")).agg(F.min("doc_id").alias("reused_from"))
     )
-    arrivals = live.read_table_as_stream(spark, d, "documents").select(
-        "doc_id", "text", F.timestamp_seconds(F.lit(1_700_000_000)).alias("arrived")
-    )
-    return live.run_available(live.incremental_intake(arrivals, history, "doc_id", "arrived"), "intake").drop("doc_id")
+    arrivals = live.read_table_as_stream(spark, d, "documents").select("doc_id", "text")
+    return live.run_available(live.incremental_intake(arrivals, history, "doc_id"), "intake")
 
 
 @query("t04_throughput_over_time", """

@@ -44,21 +44,17 @@ def throughput(rows: DataFrame, ts: str, value: str, width: str = "1 hour", late
     )
 
 
-def incremental_intake(
-    docs: DataFrame, history: DataFrame, row_id: str, arrived: str, keep: str = "7 days"
-) -> DataFrame:
-    """New documents against the history by content hash; copies that arrive again
-    within ``keep`` are dropped by state that the watermark bounds."""
-    hashed = docs.withColumn("content_hash", content_hash(F.col("text"))).withColumn(
-        "_empty", near_empty(F.col("text"))
-    )
-    fresh = (
-        hashed.drop("text")
-        .withWatermark(arrived, keep)
-        .dropDuplicatesWithinWatermark(["content_hash"])
+def incremental_intake(docs: DataFrame, history: DataFrame, row_id: str) -> DataFrame:
+    """Every arriving document against the history (one row per content hash); one row per arrival.
+
+    Copies that arrive are rows too: each takes the id the history has for its content, so the
+    parsed content need not be made again. The join is on the hash alone and keeps no state.
+    """
+    hashed = docs.select(
+        row_id, content_hash(F.col("text")).alias("content_hash"), near_empty(F.col("text")).alias("_empty")
     )
     status = F.when(F.col("reused_from").isNotNull() | ~F.col("_empty"), "parsed").otherwise("needs_ocr")
-    return fresh.join(history, "content_hash", "left").select(
+    return hashed.join(history, "content_hash", "left").select(
         row_id, "content_hash", "reused_from", status.alias("parse_status")
     )
 

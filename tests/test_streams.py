@@ -64,7 +64,7 @@ def test_throughput_over_batches(spark, folder):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_intake_drops_copies_across_batches(spark, tmp_path):
+def test_intake_keeps_every_arrival_across_batches(spark, tmp_path):
     rng = random.Random(1)
     texts = [f"{i % 7} " + "word " * 40 for i in range(30)]
     rows = [(i, t) for i, t in enumerate(texts)]
@@ -72,10 +72,11 @@ def test_intake_drops_copies_across_batches(spark, tmp_path):
     for b in range(3):
         spark.createDataFrame(rows[b * 10 : b * 10 + 10], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / f"b{b}"))
     source = live.read_new_files(spark, f"{tmp_path}/*", "doc_id long, text string", maxFilesPerTrigger=1)
-    arrivals = source.withColumn("arrived", F.timestamp_seconds(F.lit(1_700_000_000)))
-    history = spark.createDataFrame([("none", 1)], "content_hash string, reused_from long")
-    got = live.run_available(live.incremental_intake(arrivals, history, "doc_id", "arrived"), "t-intake")
-    assert got.count() == 7 and got.select("content_hash").distinct().count() == 7
+    known = spark.createDataFrame([(texts[3], 900)], "text string, reused_from long")
+    history = known.select(F.sha2("text", 256).alias("content_hash"), "reused_from")
+    got = live.run_available(live.incremental_intake(source, history, "doc_id"), "t-intake")
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(30)) and got.select("content_hash").distinct().count() == 7
+    assert {r["doc_id"] for r in got.where("reused_from = 900").collect()} == {i for i in range(30) if i % 7 == 3}
 
 
 def plan(spark, name):
