@@ -80,8 +80,11 @@ def pack_shelf(shelf: Shelf, tiers: tuple[int, ...], last: bool) -> list[list[tu
     """Windows from the shelf. Without ``last``, what cannot fill a window of its tier stays on the shelf."""
     windows = []
     for tier, below in zip(tiers[::-1], [*tiers[-2::-1], 0], strict=True):
-        while shelf.lengths and shelf.lengths[-1] > below and shelf.tokens >= tier:
-            piece, length = shelf.take(len(shelf.lengths) - 1)
+        while shelf.tokens >= tier:
+            at = bisect_right(shelf.lengths, tier) - 1  # a longer piece may wait for more tokens
+            if at < 0 or shelf.lengths[at] <= below:
+                break
+            piece, length = shelf.take(at)
             windows.append([(piece, length), *shelf.fill(tier - length)])
     if last:  # powers of two for the rest
         while shelf.tokens:
