@@ -18,6 +18,7 @@ HEADLINE = (
     "e06_gaps", "c05_overlaps", "d24_covered_years", "d11_test_totals", "d12_score_groups", "d14_interview_totals",
     "d17_rater_agreement", "h33_decision", "a22_model_output_repair", "a23_hydrated_shape", "d03_stage_counters",
     "m07_deadline_overflow", "m05_audit_rows", "k11_references_and_keys", "a21_request_table", "t01_budget_per_key",
+    "h31_requirement_rules", "h14_ranges_in_text", "m01_rerank_with_new_weights", "t03_incremental_intake",
 )
 
 
