@@ -11,7 +11,7 @@ import os
 
 from tokenizers import Tokenizer
 
-REMEMBERED = 400_000  # chunks; the table starts anew beyond that
+REMEMBERED = 1_000_000  # chunks; the table starts anew beyond that
 PART = 100_000  # chunks of a text encoded at a time
 
 
