@@ -1,7 +1,7 @@
 """Licence of every file: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
 Native. Words of the templates form a small fixed vocabulary; their document frequencies come from all files (a word
-counts once a file, combined before the shuffle). Each line that holds a rare template word is compared with all
+counts once a file, combined before the shuffle). Each line that holds a template word, however common, is compared with all
 templates: its terms meet the templates' postings by a join on the term, products are summed per (file, line, template),
 and the norm runs over all its words, so a long line of prose that mentions a licence stays far away. The best line of a
 file is its header statement. A licence file (one whose path says so, or whose first line with text is such a statement) also
@@ -39,7 +39,6 @@ TEMPLATES = (
     ("proprietary", "All rights reserved"),
 )
 COSINE = 0.75
-COMMON = 0.2  # a template word in more of the files than that starts no comparison
 LICENSE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
 WORD = r"[a-z0-9]+"
 
@@ -74,10 +73,9 @@ def statements(files: DataFrame, threshold: float = COSINE, templates: tuple[tup
     posting = spark.createDataFrame(postings, "term string, template int, weight double")
     weight_of = F.create_map(*(F.lit(x) for t in vocabulary for x in (t, idf[t])))
     norm_of = F.array(*map(F.lit, norms))
-    rare = F.array(*(F.lit(t) for t in vocabulary if df.get(t, 0) <= COMMON * n)).cast("array<string>")
 
     lines = files.select("file", F.posexplode(lines_of(F.col("text"))).alias("line", "_text"))
-    lines = lines.withColumn("_words", _words(F.col("_text"))).where(F.arrays_overlap("_words", rare))
+    lines = lines.withColumn("_words", _words(F.col("_text"))).where(F.arrays_overlap("_words", known))
     tf = lines.select("file", "line", F.explode("_words").alias("term")).groupBy("file", "line", "term").agg(F.count("*").alias("tf"))
     tf = tf.withColumn("w", (1 + F.log("tf")) * F.coalesce(weight_of[F.col("term")], F.lit(rest)))
     norm = tf.groupBy("file", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))

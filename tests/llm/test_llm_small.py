@@ -181,6 +181,14 @@ def test_licenses(spark):
     assert licenses.file_licenses(df.limit(0)).count() == 0
 
 
+def test_licenses_of_frequent_notices(spark):
+    files = [(f"m/{i}.py", "Released under the MIT License.\ncode") for i in range(10)] + [(f"n/{i}.py", "some other text") for i in range(20)]
+    got = licenses.file_licenses(spark.createDataFrame(files, "path string, text string")).collect()
+    assert {r["path"]: r["license"] for r in got} == {p: "MIT" if p[0] == "m" else None for p, _ in files}
+    few = spark.createDataFrame([("d/LICENSE", "Released under the MIT License."), ("d/x/a.py", "code")], "path string, text string")
+    assert [r["license"] for r in licenses.file_licenses(few).collect()] == ["MIT", "MIT"]
+
+
 def test_nearest_small_and_odd(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(120)]
