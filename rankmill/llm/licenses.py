@@ -1,10 +1,10 @@
 """Licence of every file: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Native. Words of the templates form a small fixed vocabulary; their document frequencies come from all files (a word
-counts once a file, combined before the shuffle). Each line that holds a template word, however common, is compared with all
-templates: its terms meet the templates' postings by a join on the term, products are summed per (file, line, template),
-and the norm runs over all its words, so a long line of prose that mentions a licence stays far away. The best line of a
-file is its header statement. A licence file (one whose path says so, or whose first line with text is such a statement) also
+Native. Lines, and windows of a template's length over all words of a file, whatever the line breaks, are compared with the
+templates; so words beside a notice cost nothing and a notice may run over lines. Document frequencies of all words involved
+come from all files (a word counts once a file, combined before the shuffle). A template is looked for only where the text
+holds enough of its weight to reach the threshold, which loses nothing (Cauchy-Schwarz). The best unit of a
+file is its statement. A licence file (one whose path says so, or whose first line with text is a statement as a whole) also
 covers its directory; files without a statement of their own look up their ancestor directories by
 path joins and take the deepest. The directory side has one row per directory, so a hot directory only
 makes the other side large, which adaptive execution splits.
@@ -15,7 +15,7 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankmill.llm.line_dedup import lines_of
@@ -51,10 +51,28 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1))
 
 
+def _norm(text: str, idf: dict[str, float]) -> tuple[float, dict[str, float]]:
+    terms = _terms(text)
+    weights = {t: (1 + math.log(terms.count(t))) * idf[t] for t in sorted(set(terms))}
+    return math.sqrt(sum(w * w for w in weights.values())), weights
+
+
+def _anchors(weights: dict[str, float], threshold: float) -> list[str]:
+    """The heaviest terms; text without any of them cannot reach the threshold, since the rest weighs too little."""
+    rest, out = sum(w * w for w in weights.values()), []
+    least = threshold * threshold * rest * (1 - 1e-9)
+    for t, w in sorted(weights.items(), key=lambda x: (-x[1], x[0])):
+        if rest < least:
+            break
+        out.append(t)
+        rest -= w * w
+    return out
+
+
 def statements(files: DataFrame, threshold: float = COSINE, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """``file, line, license, score`` of the best line of each file that states a licence; ``files``: (file, text).
+    """``file, line, license, score, whole`` of the best unit of each file that states a licence; ``files``: (file, text).
 
-    Of equal scores the first line counts, then the template's order.
+    Of equal scores the first line counts, then the template's order. ``whole``: the first line that states one as a whole.
     """
     spark = files.sparkSession
     vocabulary = sorted({t for _, text in templates for t in _terms(text)})
@@ -63,41 +81,99 @@ def statements(files: DataFrame, threshold: float = COSINE, templates: tuple[tup
     held = files.select(F.explode(F.array_intersect(_words(F.col("text")), known)).alias("term"))
     df = {r["term"]: r["n"] for r in held.groupBy("term").agg(F.count("*").alias("n")).collect()}  # a row per vocabulary word
     idf = {t: math.log((n + 1) / (df.get(t, 0) + 1)) + 1 for t in vocabulary}
-    rest = math.log(n + 1) + 1  # words that no template has
-    postings, norms = [], []
+    shapes, reach = [], []
     for i, (_, text) in enumerate(templates):
-        terms = _terms(text)
-        weights = {t: (1 + math.log(terms.count(t))) * idf[t] for t in terms}
-        norms.append(math.sqrt(sum(w * w for w in weights.values())))
-        postings += [(t, i, w) for t, w in sorted(weights.items())]
-    posting = spark.createDataFrame(postings, "term string, template int, weight double")
-    weight_of = F.create_map(*(F.lit(x) for t in vocabulary for x in (t, idf[t])))
-    norm_of = F.array(*map(F.lit, norms))
-
-    lines = files.select("file", F.posexplode(lines_of(F.col("text"))).alias("line", "_text"))
-    lines = lines.withColumn("_words", _words(F.col("_text"))).where(F.arrays_overlap("_words", known))
-    tf = lines.select("file", "line", F.explode("_words").alias("term")).groupBy("file", "line", "term").agg(F.count("*").alias("tf"))
-    tf = tf.withColumn("w", (1 + F.log("tf")) * F.coalesce(weight_of[F.col("term")], F.lit(rest)))
-    norm = tf.groupBy("file", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dot = tf.join(F.broadcast(posting), "term").groupBy("file", "line", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    score = F.round(F.col("dot") / (F.col("norm") * norm_of[F.col("template")]), 9)
-    scored = dot.join(norm, ["file", "line"]).withColumn("score", score).where(F.col("score") >= threshold)
-    best = scored.groupBy("file").agg(F.min(F.struct((-F.col("score")).alias("less"), "line", "template")).alias("b"))
+        norm, weights = _norm(text, idf)
+        shapes.append((i, len(_terms(text)), _anchors(weights, threshold), weights, norm))
+        shared = sum((F.when(F.array_contains("_known", t), w * w).otherwise(0.0) for t, w in weights.items()), F.lit(0.0))
+        reach.append(F.when(shared >= threshold * threshold * norm * norm * (1 - 1e-9), F.lit(i)))
+    shape = spark.createDataFrame(shapes, "template int, size int, anchors array<string>, weights map<string,double>, norm double")
+    idf_of = F.create_map(*(F.lit(x) for t in vocabulary for x in (t, idf[t])))
+
+    # a template is looked for in the files that hold enough of its weight
+    split = files.select("file", F.transform(lines_of(F.col("text")), _words).alias("_lines"))
+    split = split.withColumn("_known", F.array_intersect(F.flatten("_lines"), known)).where(F.size("_known") > 0)
+    near = split.select("file", "_lines", F.explode(F.array_compact(F.array(*reach))).alias("template")).join(F.broadcast(shape), "template")
+
+    shape_columns = ["template", "size", "weights", "norm"]
+    whole = F.transform("_lines", lambda x, i: F.struct(i.alias("line"), F.lit(True).alias("whole"), x.alias("words")))
+    lines = near.select("file", *shape_columns, F.explode(F.filter(whole, lambda x: F.arrays_overlap(x["words"], F.col("anchors")))).alias("u"))
+    lines = lines.select("file", *shape_columns, "u.*")
+    flat = near.select(
+        "file", *shape_columns, "anchors", F.flatten("_lines").alias("_words"),
+        F.flatten(F.transform("_lines", lambda x, i: F.array_repeat(i, F.size(x)))).alias("_line"),
+    )
+    places = F.filter(F.transform("_words", lambda x, i: F.when(F.array_contains("anchors", x), i)), lambda i: i.isNotNull())
+    flat = flat.withColumn("_at", places)
+
+    # each place of an anchor spans the windows of which it is the first anchor
+    def piece(p: Column, i: Column) -> Column:
+        first = F.greatest(p - F.col("size") + 1, F.when(i > 0, F.get("_at", i - 1) + 1).otherwise(0), F.lit(0))
+        count = p - first + F.col("size")
+        return F.struct(
+            (p - first + 1).alias("starts"), F.slice("_words", first + 1, count).alias("words"), F.slice("_line", first + 1, count).alias("line")
+        )
+
+    pieces = flat.select("file", *shape_columns, F.explode(F.transform("_at", piece)).alias("p"))
+
+    def shared(words: Column) -> Column:
+        return F.aggregate(
+            F.array_intersect(words, F.map_keys("weights")), F.lit(0.0), lambda a, x: a + F.col("weights")[x] * F.col("weights")[x]
+        )
+
+    enough = threshold * threshold * (1 - 1e-9) * F.col("norm") * F.col("norm")
+    pieces = pieces.where(shared(F.col("p.words")) >= enough)
+    # windows of the template's length; at the end of the text shorter ones
+    windows = pieces.select("file", *shape_columns, "p", F.explode(F.sequence(F.lit(1), F.col("p.starts"))).alias("s"))
+    windows = windows.select(
+        "file", *shape_columns, F.get("p.line", F.col("s") - 1).alias("line"), F.lit(False).alias("whole"),
+        F.slice("p.words", F.col("s"), F.col("size")).alias("words"),
+    )
+    unit = lines.unionByName(windows).where(shared(F.col("words")) >= enough)
+    # products and the known words' share of the norm; other words weigh at least 1
+    mine = F.filter("words", lambda x: F.array_contains(known, x))
+    unit = unit.withColumn("_mine", mine).withColumn(
+        "_tf", F.transform(F.array_distinct("_mine"), lambda x: F.struct(x.alias("t"), ((1 + F.log(F.size(F.filter("_mine", lambda y: y == x)))) * idf_of[x]).alias("w")))
+    )
+    unit = unit.withColumn("own", F.aggregate("_tf", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
+    unit = unit.withColumn("dot", F.aggregate("_tf", F.lit(0.0), lambda a, x: a + x["w"] * F.coalesce(F.col("weights")[x["t"]], F.lit(0.0))))
+    others = F.filter("words", lambda x: ~F.array_contains(known, x))
+    unit = unit.withColumn("others", others)
+    most = F.col("dot") / F.sqrt(F.col("own") + F.size(F.array_distinct("others"))) / F.col("norm")
+    unit = unit.where(most >= threshold * (1 - 1e-9))
+    unit = unit.select("file", "line", "whole", "template", "norm", "own", "dot", "others", F.monotonically_increasing_id().alias("unit"))
+    unit = cut_lineage(unit, "units")
+
+    # document frequencies of the other words over all files
+    tf = unit.select("unit", F.explode("others").alias("term")).groupBy("unit", "term").agg((1 + F.log(F.count("*"))).alias("tf"))
+    wanted = unit.select(F.explode("others").alias("term")).distinct()
+    count = files.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    count = count.join(wanted, "term", "left_semi")
+    w = F.col("tf") * (F.log((n + 1) / (F.col("n") + 1)) + 1)
+    rest = tf.join(count, "term").groupBy("unit").agg(F.sum(w * w).alias("rest"))
+    scored = unit.drop("others").join(rest, "unit", "left")
+    score = F.round(F.col("dot") / (F.sqrt(F.col("own") + F.coalesce("rest", F.lit(0.0))) * F.col("norm")), 9)
+    scored = scored.withColumn("score", score).where(F.col("score") >= threshold)
+    best = scored.groupBy("file").agg(
+        F.min(F.struct((-F.col("score")).alias("less"), "line", "template")).alias("b"), F.min(F.when(F.col("whole"), F.col("line"))).alias("whole")
+    )
     names = F.array(*(F.lit(name) for name, _ in templates))
-    return best.select("file", F.col("b.line").alias("line"), names[F.col("b.template")].alias("license"), (-F.col("b.less")).alias("score"))
+    return best.select(
+        "file", F.col("b.line").alias("line"), names[F.col("b.template")].alias("license"), (-F.col("b.less")).alias("score"), "whole"
+    )
 
 
 def file_licenses(files: DataFrame, path_col: str = "path", text_col: str = "text", threshold: float = COSINE) -> DataFrame:
     """``path, license, score, stated, source`` for every distinct path.
 
     ``stated``: the file says it itself; else ``source`` is the licence file of the nearest ancestor directory that has
-    one, and all are null where none has. Texts of rows that repeat a path count as one file, line by line; rows without a path are left out; null and
+    one, and all are null where none has. Rows that repeat a path are looked at each, the best counts; rows without a path are left out; null and
     empty texts state nothing. Of several licence files in a directory the smallest path counts.
     """
     given = files.where(F.col(path_col).isNotNull()).select(F.col(path_col).cast("string").alias("file"), F.col(text_col).alias("text"))
     stated = cut_lineage(statements(given, threshold), "statements")
     first = F.array_position(F.transform(lines_of(F.col("text")), lambda x: F.trim(x) != ""), True) - 1
-    heads = given.join(stated, "file").where(F.regexp_like("file", F.lit(LICENSE_FILE)) | (F.col("line") == first))
+    heads = given.join(stated, "file").where(F.regexp_like("file", F.lit(LICENSE_FILE)) | ((F.col("line") == first) & (F.col("whole") == first)))
     folder = F.regexp_extract("file", "^(.*)/[^/]*$", 1)
     covers = (
         heads.select(folder.alias("dir"), F.struct("file", "license", "score").alias("x")).groupBy("dir").agg(F.min("x").alias("x"))

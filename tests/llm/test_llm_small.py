@@ -189,6 +189,20 @@ def test_licenses_of_frequent_notices(spark):
     assert [r["license"] for r in licenses.file_licenses(few).collect()] == ["MIT", "MIT"]
 
 
+def test_licenses_beside_other_words(spark):
+    notices = [
+        ("MIT", "Released under the MIT License by Acme."), ("proprietary", "Acme Inc. All rights reserved."),
+        ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file"),
+        ("Apache-2.0", "Copyright 2020 Acme. Licensed under the Apache License, Version 2.0"), ("MIT", "# Released under\n# the MIT License\n"),
+        ("Apache-2.0", "Apache License, Version 2.0, licensed under the"), (None, "the mit version of rights"),
+    ]
+    files = [(f"n{i}/x.py", "import a\n" + t + "\ncode here", x) for i, (x, t) in enumerate(notices)]
+    files += [(f"o/{i}.py", f"some other text of file {i} by you", None) for i in range(2000)]
+    df = spark.createDataFrame(files, "path string, text string, want string")
+    got = {r["path"]: r["license"] for r in licenses.file_licenses(df).collect()}
+    assert got == {p: x for p, _, x in files}
+
+
 def test_nearest_small_and_odd(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(120)]
