@@ -6,8 +6,9 @@ million characters costs one pass and no stack.
 
 Beyond the patterns, the corpus itself tells which terms disclose a protected value. For a value e and a term t of its line,
 ``PMI(t; e) = log2(P(t, e) / (P(t) P(e)))`` is estimated from document counts, and compared with the
-information ``IC(e) = -log2 P(e)`` of the value: at 1 the term gives e away completely. Terms with
-``PMI >= ALPHA * IC`` and at least ``CONTEXTS`` different lines as evidence are spans of kind ``term`` in the documents that hold e;
+information ``IC(e) = -log2 P(e)`` of the value: at 1 the term gives e away completely. With
+fewer than ``CONTEXTS`` different lines as evidence the estimate is smoothed: PMI counts ``n / (n + 1)``, n the documents that hold both.
+Terms with ``PMI >= ALPHA * IC`` are spans of kind ``term`` in every document that holds them;
 ``sanitised`` generalises pattern spans to their kind and removes terms. All counts cover all documents; they are
 aggregated before each shuffle, so a value or word of a third of all documents is a row per task.
 """
@@ -25,6 +26,7 @@ from rankmill.session import cut_lineage
 MARK, OTHER = "\x01", "\x02"
 ALPHA = 0.8
 CONTEXTS = 3
+EPSILON = 1e-9
 KINDS = ("email", "ip", "card", "phone")
 # fixed values: the patterns of the contract, made linear. \G lets a match begin where the last one ended.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -103,7 +105,7 @@ def _without_values(line: Column) -> Column:
 
 
 def disclosing_terms(docs: DataFrame, alpha: float = ALPHA, contexts: int = CONTEXTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``_doc, _of, terms``: for each document that holds protected values, the terms that give one of them away."""
+    """``_doc, _of, terms``: for each document that holds terms which give a protected value away, these terms."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = docs.select(*row_key(id_col, text_col), F.explode(lines_of(text)).alias("line"))
     lines = lines.where(F.regexp_like("line", F.lit("@|[0-9]")))
@@ -113,20 +115,23 @@ def disclosing_terms(docs: DataFrame, alpha: float = ALPHA, contexts: int = CONT
     )
     mentions = cut_lineage(mentions, "mentions")
     held = mentions.select("value", "_doc").distinct().groupBy("value").agg(F.count("*").alias("n_e"))
-    pairs = mentions.select("_doc", "_of", "context", "value", F.explode("words").alias("term"))
-    evidence = pairs.select("value", "term", "context").distinct().groupBy("value", "term").agg(F.count("*").alias("lines"))
-    evidence = cut_lineage(evidence.where(F.col("lines") >= contexts).select("value", "term"), "evidence")
-    joint = pairs.join(evidence, ["value", "term"])
-    together = joint.select("value", "term", "_doc").distinct().groupBy("value", "term").agg(F.count("*").alias("n_te"))
+    pairs = mentions.select("_doc", "context", "value", F.explode("words").alias("term"))
+    seen = pairs.select("value", "term", "context").distinct().groupBy("value", "term").agg(F.count("*").alias("lines"))
+    together = pairs.select("value", "term", "_doc").distinct().groupBy("value", "term").agg(F.count("*").alias("n_te"))
+    # PMI is at most the value's information, so fewer documents cannot reach it
+    enough = (F.col("lines") >= contexts) | (F.col("n_te") >= alpha / (1 - alpha) - EPSILON)
+    evidence = cut_lineage(seen.join(together, ["value", "term"]).where(enough), "evidence")
     # how many documents hold each candidate, over all documents
     count = docs.select(F.explode(_words(text)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     count = count.join(evidence.select("term").distinct(), "term", "left_semi")
     total = F.lit(docs.count())
-    scored = together.join(count, "term").join(held, "value")
+    scored = evidence.join(count, "term").join(held, "value")
+    sure = F.when(F.col("lines") >= contexts, 1.0).otherwise(F.col("n_te") / (F.col("n_te") + 1))
     pmi = F.log2(F.col("n_te") * total / (F.col("n_t") * F.col("n_e")))
     content = F.log2(total / F.col("n_e"))
-    risky = scored.where((content > 0) & (pmi >= alpha * content)).select("value", "term")
-    return joint.join(risky, ["value", "term"]).groupBy("_doc", "_of").agg(F.array_sort(F.collect_set("term")).alias("_terms"))
+    risky = cut_lineage(scored.where((content > 0) & (sure * pmi >= alpha * content - EPSILON)).select("term").distinct(), "risky")
+    holding = docs.select(*row_key(id_col, text_col), F.explode(_words(text)).alias("term")).join(risky, "term", "left_semi")
+    return holding.groupBy("_doc", "_of").agg(F.array_sort(F.collect_set("term")).alias("_terms"))
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -295,6 +295,14 @@ def test_terms_that_disclose(spark):
     assert pii.personal_data(frame(spark, [])).count() == 0
 
 
+def test_terms_of_copied_lines_disclose_everywhere(spark):
+    rows = [(i, f"item {i}\nquibble writes to you@corp.example") for i in range(20)] + [(30, "ask quibble"), (31, "hapax once@corp.example")]
+    rows += [(i, f"he writes to day {i}") for i in range(40, 400)]
+    out = pii.personal_data(frame(spark, rows)).collect()
+    got = {r["doc_id"]: [s["value"] for s in r["_spans"] if s["kind"] == "term"] for r in out}
+    assert got == {i: ["quibble"] if i <= 30 else [] for i, _ in rows}
+
+
 def test_warc(spark, tmp_path):
     html = ["<p>é</p>", "", None, "<p>same</p>", "\r\n\r\nWARC/1.1\r\n" * 20, "x" * 3_000_000]
     rows = [(i, f"http://h/{i}\nx" if i % 4 else None, html[i % 6]) for i in range(30)] + [(3, "http://h/3", "<p>same</p>"), (None, "u", "<p>same</p>")]
