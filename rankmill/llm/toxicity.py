@@ -59,7 +59,7 @@ def patterns_of(text: str | None) -> list[bool]:
     text = text or ""
     n = max(1, len(text))
     return [
-        sum(c.isupper() for c in text[:: max(1, n // 4096)]) > 0.5 * min(n, 4096) > 10,
+        sum(map(str.isupper, text)) > 0.5 * n > 10,
         "!!" in text,
         bool(re.search(r"\b(\w+)(?: \1\b){3}", text)),
         len(text) < 40,

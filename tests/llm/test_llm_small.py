@@ -346,6 +346,13 @@ def test_classifiers_on_odd_tables(spark, odd):
         assert fn(docs.limit(0), some).count() == 0
 
 
+def test_shouting_counts_the_whole_text():
+    for n in (30, 4096, 8000, 8192, 12_287, 100_000):
+        assert toxicity.patterns_of("A" * (n // 2 + 1) + "a" * (n - n // 2 - 1))[0]
+        assert not toxicity.patterns_of("A" * (n // 4 + 100) + "a" * (n - n // 4 - 100))[0] or n < 500
+    assert toxicity.patterns_of("aAAA" * 4096)[0] and not toxicity.patterns_of("Aaaa" * 4096)[0]
+
+
 def test_isotonic_is_the_best_monotone_fit():
     at, level = quality.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]))
     assert list(at) == [1, 1, 2, 3, 4, 4] and all(np.diff(level) >= 0)
