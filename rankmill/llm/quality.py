@@ -52,7 +52,7 @@ def statistics(text: str | None) -> list[float]:
     return [
         np.log1p(n), np.log1p(w), sum(map(len, words)) / w,
         sum(x.isupper() and len(x) > 1 for x in words) / w,
-        sum(c.isdigit() for x in words for c in x[:64]) / n,
+        sum(map(str.isdigit, text)) / n,
         len(symbols) / w,
         kinds.most_common(1)[0][1] / w if kinds else 0.0,
         len(lower) / w, np.log1p(w) * (1 - len(lower) / w),

@@ -353,6 +353,10 @@ def test_shouting_counts_the_whole_text():
     assert toxicity.patterns_of("aAAA" * 4096)[0] and not toxicity.patterns_of("Aaaa" * 4096)[0]
 
 
+def test_digit_share_of_texts_without_blanks():
+    assert quality.statistics("7" * 100_000)[4] == 1 and quality.statistics("a" * 64 + "7" * 192)[4] == 0.75
+
+
 def test_isotonic_is_the_best_monotone_fit():
     at, level = quality.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]))
     assert list(at) == [1, 1, 2, 3, 4, 4] and all(np.diff(level) >= 0)
