@@ -12,12 +12,15 @@ from rankmill.llm.ann import nearest
 from rankmill.llm.decontaminate import matches
 from rankmill.llm.licenses import file_licenses
 from rankmill.llm.line_dedup import dropped_lines, kept_text, lines_of, n_dropped, with_bitmaps
+from rankmill.llm.main_text import extract
 from rankmill.llm.near_dedup import near_duplicates
 from rankmill.llm.packing import pack
 from rankmill.llm.pii import KINDS, listed, personal_data
 from rankmill.llm.quality import quality
+from rankmill.llm.search import search
 from rankmill.llm.toxicity import toxicity
 from rankmill.llm.warc import archive_pages
+from rankmill.llm.whitening import whitened
 from rankmill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,3 +150,41 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 100), "doc_id")
     found = file_licenses(docs.select(path.alias("path"), "text"))
     return found.withColumn("doc_id", F.element_at(F.split("path", "/"), -1).cast("long"))
+
+
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings whitened along the 16 leading components; SQL has no eigenvectors."""
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_main_text")
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by the consensus of its host; SQL reads no markup."""
+    return extract(table(spark, sf_dir, "pages"))
+
+
+TERMS = rf"regexp_extract_all({LOWER.format('text')}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query(
+    "op13_search",
+    f"""
+    WITH d AS (SELECT doc_id, unnest({TERMS}) AS term FROM documents WHERE text IS NOT NULL),
+    t AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL),
+    n AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM t GROUP BY doc_id),
+    a AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS l FROM n),
+    f AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, a GROUP BY term, docs),
+    q AS (SELECT item_id, unnest({TERMS}) AS term FROM benchmark WHERE text IS NOT NULL),
+    r AS (SELECT item_id, term, count(*) AS k FROM q GROUP BY ALL),
+    s AS (
+      SELECT item_id, doc_id, CAST(sum(k * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // l)))) AS BIGINT) AS score
+      FROM r JOIN t USING (term) JOIN f USING (term) JOIN n USING (doc_id), a GROUP BY item_id, doc_id
+    )
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+    FROM s WHERE score > 0 QUALIFY rank <= 10
+    """,
+)
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item, among all."""
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
