@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +27,12 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
     return spark
 
 
+@cache
+def _local_base() -> str:
+    """One temporary folder per process; the session setting itself is fixed once a session runs."""
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder below the cluster's checkpoint directory.
 
@@ -37,8 +44,7 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_base()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

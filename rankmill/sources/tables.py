@@ -13,8 +13,19 @@ TABLES = (
 )
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+PARTS = "rankmill.read.parts"  # session setting: default of ``table``'s ``parts``
+
+
+def table(spark: SparkSession, folder: str, name: str, parts: int | None = None) -> DataFrame:
+    """A table of a folder.
+
+    Files of many row groups are split by the scan itself. For tables of a single row group the caller may ask for
+    ``parts`` (or set ``rankmill.read.parts`` in its session): the columns a query needs are then dealt out to that many tasks.
+    Without it nothing is shuffled.
+    """
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    parts = parts or int(spark.conf.get(PARTS, "0"))
+    return df.repartition(parts) if parts else df
 
 
 def file_listing(spark: SparkSession, folder: str) -> DataFrame:
