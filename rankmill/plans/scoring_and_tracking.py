@@ -15,8 +15,10 @@ from rankmill.plans.bindings import (
     CRITERIA, ROWS_SQL, SCORES, SCORES_SQL, WEIGHTS, candidates, document_rows, order_scores, with_cand,
 )
 from rankmill.plans.registry import query
+from rankmill.session import shared_folder
 from rankmill.sources.tables import table
-from rankmill.streaming import budget, live
+from rankmill.streaming import budget, live, reuse
+from rankmill.streaming.keyed_table import KeyedTable
 
 # --- totals -----------------------------------------------------------------------------
 
@@ -417,32 +419,37 @@ SELECT sha256('sign-in:' || user_id) AS key, us AS at_us, 1 AS offered, allowed:
 
 @query("t01_budget_per_key", THROTTLE_SQL)
 def t01(spark, d):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    events = live.read_table_as_stream(spark, d, "events")
-    return live.run_available(budget.throttle(events, "sign-in", "user_id", "ts", 2, 86_400), "budget")
+    own = budget.own_session(spark)
+    events = budget.throttle(live.read_table_as_stream(own, d, "events"), "sign-in", "user_id", "ts", 2, 86_400)
+    decided, progress = live.run_available(events, "budget")
+    return decided.unionByName(budget.undecided(own, progress, 2, 86_400))
+
+
+COUNTERS = "user_id long, total long, n_pending long, n_scored long"
 
 
 @query("t02_live_counters", f"WITH {STATUS_SQL} SELECT user_id, total, pending + 0 AS n_pending, scored + 0 AS n_scored FROM (SELECT user_id, count(*) AS total, count(*) FILTER (stage_status = 'pending') AS pending, count(*) FILTER (stage_status = 'scored') AS scored FROM ev GROUP BY 1)")
 def t02(spark, d):
     events = _status(live.read_table_as_stream(spark, d, "events"))
-    return live.run_available(live.counters(events, "user_id", "stage_status", ["pending", "scored"]), "counters", "complete")
+    counters = KeyedTable(shared_folder(spark, "counters"), ("user_id",), COUNTERS)
+    live.live_counters(events, "user_id", "stage_status", ["pending", "scored"], counters, shared_folder(spark, "counters-progress"))
+    return counters.read(spark).drop("batch")
 
 
 @query("t03_incremental_intake", """
-WITH hist AS (SELECT sha256(text) AS h, min(doc_id) AS reused_from FROM documents SEMI JOIN labels USING (doc_id) WHERE length(regexp_replace(text, '[^\\p{L}\\p{N}]+', '', 'g')) >= 80 GROUP BY 1),
-n AS (SELECT doc_id, sha256(text) AS content_hash, length(regexp_replace(text, '[^\\p{L}\\p{N}]+', '', 'g')) AS len FROM documents)
-SELECT doc_id, content_hash, reused_from, CASE WHEN reused_from IS NULL AND len < 80 THEN 'needs_ocr' ELSE 'parsed' END AS parse_status FROM n LEFT JOIN hist ON h = content_hash
+WITH n AS (SELECT doc_id, sha256(text) AS content_hash, length(regexp_replace(text, '[^\\p{L}\\p{N}]+', '', 'g')) AS len FROM documents),
+hist AS (SELECT content_hash, min(doc_id) AS holder FROM n SEMI JOIN labels USING (doc_id) WHERE len >= 80 GROUP BY 1),
+first AS (SELECT content_hash, min(doc_id) AS holder FROM n WHERE len >= 80 GROUP BY 1),
+r AS (SELECT n.*, nullif(coalesce(hist.holder, first.holder), doc_id) AS reused_from FROM n LEFT JOIN hist USING (content_hash) LEFT JOIN first USING (content_hash))
+SELECT doc_id, content_hash, reused_from, CASE WHEN reused_from IS NULL AND len < 80 THEN 'needs_ocr' ELSE 'parsed' END AS parse_status FROM r
 """)
 def t03(spark, d):
-    from rankmill.functions.text import near_empty
-    from rankmill.operators.intake import content_hash
-
-    history = (
-        table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").where(~near_empty(F.col("text")))
-        .groupBy(content_hash(F.col("text")).alias("content_hash")).agg(F.min("doc_id").alias("reused_from"))
-    )
-    arrivals = live.read_table_as_stream(spark, d, "documents").select("doc_id", "text")
-    return live.run_available(live.incremental_intake(arrivals, history, "doc_id"), "intake")
+    earlier = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    holders = reuse.Holders(shared_folder(spark, "holders"), 1)
+    holders.add(reuse.first_holders(earlier, "doc_id"), -1)
+    intake = reuse.Intake(holders, shared_folder(spark, "intake"), "doc_id")
+    live.merge_available(live.read_table_as_stream(spark, d, "documents").select("doc_id", "text"), intake.admit, shared_folder(spark, "intake-progress"))
+    return intake.results(spark, "doc_id long, content_hash string, reused_from long, parse_status string")
 
 
 @query("t04_throughput_over_time", """
@@ -452,5 +459,6 @@ def t04(spark, d):
     events = live.read_table_as_stream(spark, d, "events").select(
         F.col("ts").cast("timestamp").alias("at"), F.floor("value").alias("value")
     )
-    done = live.run_available(live.throughput(events, "at", "value"), "throughput", "complete")
+    closed, progress = live.run_available(live.throughput(events, "at", "value"), "throughput")
+    done = closed.unionByName(live.open_windows(spark, progress))
     return done.select(F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour"), "items", "tokens")

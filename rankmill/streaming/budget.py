@@ -8,13 +8,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from rankmill.functions.dates import utc_micros
 
 OUTPUT = "key string, at_us long, offered long, allowed long, opened_us long"
+WINDOW, WAITING = "opened_us long, used long", "at_us long, offered long"
 
 
 def admit(
@@ -37,11 +38,20 @@ def admit(
 
 
 class Budget(StatefulProcessor):
+    """Decides in the order of event time, whatever the order of arrival.
+
+    Arrivals wait in the key's list until the watermark has passed them; a timer at the first instant that waits
+    wakes the key. What was decided leaves the list, and a timer at the window's end takes the window away, so a key
+    that stays idle for one window has no state.
+    """
+
     def __init__(self, max_events: int, seconds: int) -> None:
         self.max_events, self.span_us = max_events, seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("budget", "opened_us long, used long")
+        self.handle = handle
+        self.window = handle.getValueState("window", WINDOW)
+        self.waiting = handle.getListState("waiting", WAITING)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # fold chunk by chunk to one count per distinct time stamp of this key; the
@@ -49,19 +59,55 @@ class Budget(StatefulProcessor):
         count = pd.Series(dtype="int64")
         for chunk in rows:
             count = count.add(chunk.groupby("at_us")["offered"].sum(), fill_value=0)
-        count = count.sort_index()
-        at, offered = count.index.to_numpy(dtype="int64"), count.to_numpy(dtype="int64")
-        opened, used = self.state.get() if self.state.exists() else (None, 0)
-        allowed, start, opened, used = admit(at, offered, opened, used, self.max_events, self.span_us)
-        self.state.update((opened, used))
-        yield pd.DataFrame(
-            {"key": key[0], "at_us": at, "offered": offered, "allowed": allowed, "opened_us": start}
-        )
+        if len(count):
+            self.waiting.appendList([(int(at), int(n)) for at, n in count.items()])
+            self.handle.registerTimer(_ms(int(count.index.min())))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        held = _folded_waiting(self.waiting.get())
+        due = held[held.index <= passed * 1000]
+        opened, used = self.window.get() if self.window.exists() else (None, 0)
+        if len(due):
+            at, offered = due.index.to_numpy(dtype="int64"), due.to_numpy(dtype="int64")
+            allowed, start, opened, used = admit(at, offered, opened, used, self.max_events, self.span_us)
+            rest = held[held.index > passed * 1000]
+            if len(rest):
+                self.waiting.put([(int(at), int(n)) for at, n in rest.items()])
+                self.handle.registerTimer(_ms(int(rest.index[0])))
+            else:
+                self.waiting.clear()
+            yield _decisions(key[0], at, offered, allowed, start)
+        if opened is None:
+            return
+        end = _ms(opened + self.span_us)
+        if end <= passed:  # every later event opens a window of its own
+            self.window.clear()
+        elif len(due):
+            self.window.update((opened, used))
+            self.handle.registerTimer(end)
 
     def close(self) -> None:
         pass
 
 
+def _decisions(key: str, at: np.ndarray, offered: np.ndarray, allowed: np.ndarray, start: np.ndarray) -> pd.DataFrame:
+    keys = np.full(len(at), key, dtype=object)
+    return pd.DataFrame({"key": pd.Series(keys, dtype=object), "at_us": at, "offered": offered, "allowed": allowed, "opened_us": start})
+
+
+def _ms(us: int) -> int:
+    """Milliseconds, not before the instant."""
+    return -(-us // 1000)
+
+
+def _folded_waiting(rows) -> pd.Series:
+    """Counts by instant, in order; one instant may have arrived in several batches."""
+    held = pd.DataFrame(list(rows), columns=["at_us", "offered"], dtype="int64")
+    return held.groupby("at_us")["offered"].sum().sort_index()
+
+
 def folded(events: DataFrame, scope: str, identifier: str, ts: str) -> DataFrame:
     """One row per (hashed key, time stamp): copies of one instant fold first."""
     key = F.sha2(F.concat_ws(":", F.lit(scope), F.col(identifier).cast("string")), 256)
@@ -71,14 +117,54 @@ def folded(events: DataFrame, scope: str, identifier: str, ts: str) -> DataFrame
 
 
 def throttle(
-    events: DataFrame, scope: str, identifier: str, ts: str, max_events: int, seconds: int = 300
+    events: DataFrame, scope: str, identifier: str, ts: str, max_events: int, seconds: int = 300, delay: str = "1 hour"
 ) -> DataFrame:
-    """Streaming decision per (key, instant): offered and allowed counts."""
+    """Streaming decision per (key, instant): offered and allowed counts, once the watermark has passed the instant.
+
+    ``delay``: how far behind the newest event an arrival may be; later ones are dropped by the watermark, and
+    counted in the query's progress. The session needs a state store with columns (``own_session``).
+    """
     return (
         folded(events, scope, identifier, ts)
+        .withColumn("at", F.timestamp_micros("at_us"))
+        .withWatermark("at", delay)
         .groupBy("key")
         .transformWithStateInPandas(
             statefulProcessor=Budget(max_events, seconds), outputStructType=OUTPUT,
-            outputMode="append", timeMode="none",
+            outputMode="append", timeMode="eventtime",
         )
     )
+
+
+def own_session(spark: SparkSession) -> SparkSession:
+    """A session beside the caller's, with the state store that keyed state needs; the caller's settings stay."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return own
+
+
+def _state(spark: SparkSession, progress: str, name: str) -> DataFrame:
+    return spark.read.format("statestore").option("stateVarName", name).load(progress)
+
+
+def open_windows(spark: SparkSession, progress: str) -> DataFrame:
+    """``key, opened_us, used`` of the windows a stopped query holds."""
+    return _state(spark, progress, "window").select("key.key", "value.*")
+
+
+def undecided(spark: SparkSession, progress: str, max_events: int, seconds: int) -> DataFrame:
+    """What a stopped query still waits with, decided as if no earlier event came any more."""
+    waiting = _state(spark, progress, "waiting").select("key.key", "list_element.*")
+    windows = open_windows(spark, progress)
+    span_us = seconds * 1_000_000
+
+    def decide(key: tuple[str], rows: pd.DataFrame) -> pd.DataFrame:
+        held = _folded_waiting(rows[["at_us", "offered"]].itertuples(index=False))
+        at, offered = held.index.to_numpy(dtype="int64"), held.to_numpy(dtype="int64")
+        opened = rows["opened_us"].iloc[0]
+        opened, used = (None, 0) if pd.isna(opened) else (int(opened), int(rows["used"].iloc[0]))
+        allowed, start, _, _ = admit(at, offered, opened, used, max_events, span_us)
+        return _decisions(key[0], at, offered, allowed, start)
+
+    return waiting.join(windows, "key", "left").groupBy("key").applyInPandas(decide, OUTPUT)

@@ -1,14 +1,16 @@
-"""Incremental intake, live counters and throughput over time."""
+"""Stream sources, live counters and throughput over time."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from rankmill.functions.text import near_empty
-from rankmill.operators.intake import content_hash
 from rankmill.session import shared_folder
-
+from rankmill.streaming.keyed_table import KeyedTable
 
 MAX_BATCH = 256 * 1024 * 1024
 
@@ -35,7 +37,7 @@ def counters(rows: DataFrame, job: str, status: str, values: list[str]) -> DataF
 
 
 def throughput(rows: DataFrame, ts: str, value: str, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """Items and tokens per time window. ``ts`` must be a timestamp."""
+    """Items and tokens per time window, emitted once the watermark has closed the window. ``ts`` must be a timestamp."""
     return (
         rows.withWatermark(ts, late)
         .groupBy(F.window(ts, width))
@@ -44,45 +46,61 @@ def throughput(rows: DataFrame, ts: str, value: str, width: str = "1 hour", late
     )
 
 
-def incremental_intake(docs: DataFrame, history: DataFrame, row_id: str) -> DataFrame:
-    """Every arriving document against the history (one row per content hash); one row per arrival.
+def run_available(stream: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Process what is there, then stop: the appended rows, and the folder of the query's progress and state."""
+    spark = stream.sparkSession
+    out, progress = shared_folder(spark, f"{label}-out"), shared_folder(spark, f"{label}-progress")
+    append_available(stream, out, progress)
+    return spark.read.schema(stream.schema).parquet(out), progress
 
-    Copies that arrive are rows too: each takes the id the history has for its content, so the
-    parsed content need not be made again. The join is on the hash alone and keeps no state.
-    """
-    hashed = docs.select(
-        row_id, content_hash(F.col("text")).alias("content_hash"), near_empty(F.col("text")).alias("_empty")
-    )
-    status = F.when(F.col("reused_from").isNotNull() | ~F.col("_empty"), "parsed").otherwise("needs_ocr")
-    return hashed.join(history, "content_hash", "left").select(
-        row_id, "content_hash", "reused_from", status.alias("parse_status")
-    )
 
+def append_available(stream: DataFrame, out: str, progress: str) -> None:
+    """Appends to ``out``; with the same ``progress`` a restart goes on where the last run ended."""
+    writer = stream.writeStream.option("checkpointLocation", progress).trigger(availableNow=True).outputMode("append")
+    writer.format("parquet").option("path", out).start().awaitTermination()
 
-def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Process what is there, then stop; result and progress live in the shared
-    folder, so a restart goes on where the last run ended."""
-    spark = stream.sparkSession
-    out, progress = shared_folder(spark, f"{label}-out"), shared_folder(spark, f"{label}-progress")
-    writer = stream.writeStream.option("checkpointLocation", progress).trigger(availableNow=True)
-    if mode == "append":
-        query = writer.outputMode("append").format("parquet").option("path", out).start()
-    else:
-
-        def keep_latest(batch: DataFrame, batch_id: int) -> None:
-            # complete mode: every batch holds the whole result; a replayed batch
-            # overwrites its own folder
-            batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-        query = writer.outputMode("complete").foreachBatch(keep_latest).start()
-    query.awaitTermination()
-    if mode == "append":
-        return spark.read.schema(stream.schema).parquet(out)
-    # the newest batch holds the whole result
-    batches = spark.read.schema(f"{_ddl(stream)}, batch long").parquet(out)
-    newest = batches.agg(F.max("batch").alias("batch"))
-    return batches.join(newest, "batch", "left_semi").drop("batch")
-
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+def merge_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], progress: str, mode: str = "append") -> None:
+    """Hands every batch with its number to ``sink``, which must take a replayed batch."""
+    writer = stream.writeStream.option("checkpointLocation", progress).trigger(availableNow=True).outputMode(mode)
+    writer.foreachBatch(sink).start().awaitTermination()
+
+
+def live_counters(rows: DataFrame, job: str, status: str, values: list[str], table: KeyedTable, progress: str) -> None:
+    """Counters per job in update mode: each batch merges the jobs it changed."""
+    merge_available(counters(rows, job, status, values), table.merge, progress, "update")
+    table.compact(rows.sparkSession)
+
+
+def open_windows(spark: SparkSession, progress: str) -> DataFrame:
+    """Windows of ``throughput`` that the watermark has not closed, as they stand in the state of a stopped query."""
+    state = spark.read.format("statestore").load(progress)
+    return state.select(F.col("key.window.start").alias("hour"), F.col("value.count").alias("items"), F.col("value.sum").alias("tokens"))
+
+
+@dataclass(frozen=True)
+class LateRows:
+    """Side table of the rows that came after their window was closed; ``put`` is a foreachBatch function.
+
+    Fed by the same source, with the same limits per batch, as ``throughput``. A window is closed to arrivals of a batch once
+    the newest event of all batches but the one before it, less ``late``, has passed its end; that event's time is kept per
+    batch, so a replayed batch decides as before and overwrites its own rows.
+    """
+
+    path: str
+    ts: str
+    width: str = "1 hour"
+    late: str = "1 hour"
+
+    def put(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        newest = batch.agg(F.max(F.date_trunc("millisecond", self.ts)).alias("newest"))
+        newest.write.mode("overwrite").parquet(f"{self.path}/newest/batch={batch_id}")
+        seen = spark.read.schema("newest timestamp, batch long").parquet(f"{self.path}/newest").where(F.col("batch") <= batch_id - 2)
+        closed = seen.agg((F.max("newest") - F.expr(f"INTERVAL {self.late}")).alias("_closed"))
+        end = F.window(self.ts, self.width)["end"]
+        behind = batch.withColumn("_end", end).join(F.broadcast(closed), F.col("_end") <= F.col("_closed"))  # one row
+        behind.drop("_end", "_closed").write.mode("overwrite").parquet(f"{self.path}/rows/batch={batch_id}")
+
+    def read(self, spark: SparkSession, schema: StructType) -> DataFrame:
+        return spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(f"{self.path}/rows")

@@ -1,13 +1,17 @@
 """Streams over several batches give what one batch job gives."""
 
+import datetime as dt
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from rankmill.operators import tracking
 from rankmill.plans import QUERIES
-from rankmill.streaming import budget, live
+from rankmill.sources.folders import subfolders
+from rankmill.streaming import budget, live, reuse
+from rankmill.streaming.keyed_table import KeyedTable
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -28,55 +32,159 @@ def stream(spark, folder):
     return live.read_new_files(spark, f"{path}/*", events.schema, maxFilesPerTrigger=1)
 
 
-def test_budget_state_carries_over(spark, folder):
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
-    _, events = folder
-    got = live.run_available(budget.throttle(stream(spark, folder), "s", "user_id", "ts", 3, 172_800), "t-budget")
-    want = {}
-    rows = events.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")).orderBy("at").collect()
-    state = {}
-    for r in rows:
+SPAN = 172_800
+
+
+def decided_by_hand(events, limit=3):
+    """Sequential walk over all events in the order of time."""
+    want, state = {}, {}
+    for r in events.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")).orderBy("at").collect():
         opened, used = state.get(r["user_id"], (None, 0))
-        if opened is None or r["at"] - opened >= 172_800_000_000:
+        if opened is None or r["at"] - opened >= SPAN * 1_000_000:
             opened, used = r["at"], 0
-        ok = used < 3
+        ok = used < limit
         state[r["user_id"]] = (opened, used + ok)
-        want[r["at"]] = int(ok)
-    assert {r["at_us"]: r["allowed"] for r in got.collect()} == want and 0 in want.values()
-
+        want[r["at"]] = (int(ok), opened)
+    return want
 
-def test_counters_over_batches(spark, folder):
-    _, events = folder
-    got = live.run_available(live.counters(stream(spark, folder), "user_id", "event_type", ["view", "error"]), "t-count", "complete")
-    want = live.counters(events, "user_id", "event_type", ["view", "error"])
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-
-
-def test_throughput_over_batches(spark, folder):
-    def at(df):
-        return df.select(F.col("ts").cast("timestamp").alias("at"), F.floor("value").alias("value"))
 
-    got = live.run_available(live.throughput(at(stream(spark, folder)), "at", "value", "6 hours"), "t-rate", "complete")
-    want = live.throughput(at(folder[1]), "at", "value", "6 hours")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+def run_budget(spark, path, schema, progress, out, delay):
+    own = budget.own_session(spark)
+    source = live.read_new_files(own, f"{path}/*", schema, maxFilesPerTrigger=1)
+    live.append_available(budget.throttle(source, "s", "user_id", "ts", 3, SPAN, delay), out, progress)
+    done = own.read.schema(budget.OUTPUT).parquet(out)
+    return own, done
 
 
-def test_intake_keeps_every_arrival_across_batches(spark, tmp_path):
+def test_budget_of_files_out_of_order(spark, folder, tmp_path):
+    """Files arrive shuffled; with a delay that covers the disorder every decision is the one of the ordered walk."""
+    _, events = folder
+    rows = events.orderBy("ts").collect()
+    cut = len(rows) // 6
+    parts = [rows[i * cut : (i + 1) * cut] if i < 5 else rows[5 * cut :] for i in range(6)]
+    for i in (2, 0, 1, 4, 3, 5):
+        spark.createDataFrame(parts[i], events.schema).coalesce(1).write.parquet(str(tmp_path / f"in/p{i}"))
+        time.sleep(0.05)
+    own, done = run_budget(spark, tmp_path / "in", events.schema, str(tmp_path / "progress"), str(tmp_path / "out"), "60 days")
+    rest = budget.undecided(own, str(tmp_path / "progress"), 3, SPAN)
+    got = {r["at_us"]: (r["allowed"], r["opened_us"]) for r in done.unionByName(rest).collect()}
+    want = decided_by_hand(events)
+    assert got == want and 0 in {a for a, _ in want.values()}
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").endswith("RocksDBStateStoreProvider") is False
+
+
+def test_budget_state_of_idle_keys_ends(spark, tmp_path):
+    """A restart goes on from the state; a key idle for one window has none left."""
+    schema = "user_id long, ts timestamp"
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    first = [(1, day(0)), (1, day(0.5)), (1, day(1)), (1, day(1.2)), (2, day(1))]
+    spark.createDataFrame(first, schema).coalesce(1).write.parquet(str(tmp_path / "in/p0"))
+    at = [str(tmp_path / x) for x in ("progress", "out")]
+    own, done = run_budget(spark, tmp_path / "in", schema, *at, "1 hour")
+    assert {r["used"] for r in budget.open_windows(own, at[0]).collect()} == {1, 3}
+    spark.createDataFrame([(2, day(1.5)), (3, day(30))], schema).coalesce(1).write.parquet(str(tmp_path / "in/p1"))
+    own, done = run_budget(spark, tmp_path / "in", schema, *at, "1 hour")
+    assert budget.open_windows(own, at[0]).count() == 0  # user 3 still waits for its decision, nobody else has state
+    rest = budget.undecided(own, at[0], 3, SPAN).collect()
+    assert len(rest) == 1 and rest[0]["allowed"] == 1
+    assert sorted(r["allowed"] for r in done.collect()) == [0, 1, 1, 1, 1, 1]
+
+
+def test_counters_merge_by_key(spark, folder, tmp_path):
+    _, events = folder
+    table = KeyedTable(str(tmp_path / "table"), ("user_id",), "user_id long, total long, n_view long, n_error long")
+    rows = live.counters(stream(spark, folder), "user_id", "event_type", ["view", "error"])
+    batches = []
+
+    def twice(batch, batch_id):  # every batch is replayed at once, and batch 0 again after batch 2
+        kept = batch.select("*").collect()
+        batches.append(kept)
+        for n in (batch_id, batch_id, *([0] if batch_id == 2 else [])):
+            table.merge(spark.createDataFrame(batches[n], batch.schema), n)
+
+    live.merge_available(rows, twice, str(tmp_path / "progress"), "update")
+    want = sorted(map(tuple, live.counters(events, "user_id", "event_type", ["view", "error"]).collect()))
+    assert len(batches) >= 5 and len(subfolders(spark, table.path)) == len(batches)
+    assert sorted(map(tuple, table.read(spark).drop("batch").collect())) == want
+    for _ in range(2):
+        table.compact(spark)
+        assert subfolders(spark, table.path) == [f"base-{len(batches) - 1}"]  # no old folders
+        assert sorted(map(tuple, table.read(spark).drop("batch").collect())) == want
+    table.merge(spark.createDataFrame(batches[1], "user_id long, total long, n_view long, n_error long"), 1)  # held by the base: nothing
+    assert sorted(map(tuple, table.read(spark).drop("batch").collect())) == want and len(subfolders(spark, table.path)) == 1
+    table.merge(spark.createDataFrame([(-5, 1, 1, 0)], table.schema), 99)
+    assert table.read(spark).count() == len(want) + 1
+    assert KeyedTable(str(tmp_path / "none"), ("user_id",), table.schema).read(spark).count() == 0
+
+
+def test_throughput_closes_windows_and_keeps_late_rows(spark, tmp_path):
+    hour = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    files = [[0, 1, 2], [10, 3, 4], [11, 5, 1], [20, 2, 11.5], [9.5, 21, 3], [30, 0, 28.5]]
+    for i, f in enumerate(files):
+        spark.createDataFrame([(hour(h), int(h)) for h in f], "at timestamp, value long").coalesce(1).write.parquet(str(tmp_path / f"in/p{i}"))
+        time.sleep(0.05)
+
+    def source():
+        return live.read_new_files(spark, f"{tmp_path}/in/*", "at timestamp, value long", maxFilesPerTrigger=1)
+
+    out, progress = str(tmp_path / "out"), str(tmp_path / "progress")
+    held = []
+    for _ in range(2):  # the second run finds nothing new
+        live.append_available(live.throughput(source(), "at", "value", late="2 hours"), out, progress)
+        held.append(live.open_windows(spark, progress).count())
+    late = live.LateRows(str(tmp_path / "late"), "at", late="2 hours")
+    live.merge_available(source(), late.put, str(tmp_path / "late-progress"))
+    schema = spark.createDataFrame([], "at timestamp, value long").schema
+    behind = late.read(spark, schema)
+    assert sorted((r["batch"], r["at"]) for r in behind.collect()) == [(3, hour(2)), (4, hour(3)), (5, hour(0))]
+    closed = spark.read.schema("hour timestamp, items long, tokens long").parquet(out)
+    still = live.open_windows(spark, progress)
+    assert held == [2, 2] and {r["hour"] for r in still.collect()} == {hour(28), hour(30)}  # state fell to what is open
+    assert closed.count() == closed.select("hour").distinct().count()
+    total = closed.unionByName(still).agg(F.sum("items").alias("n"), F.sum("tokens").alias("t")).first()
+    gone = behind.agg(F.count("*").alias("n"), F.sum("value").alias("t")).first()
+    assert total["n"] + gone["n"] == 18 and total["t"] + gone["t"] == sum(int(h) for f in files for h in f)
+    late.put(source_batch(spark, tmp_path / "in/p4"), 4)  # a replay overwrites its own rows
+    assert late.read(spark, schema).count() == 3
+
+
+def source_batch(spark, path):
+    return spark.read.schema("at timestamp, value long").parquet(str(path))
+
+
+def test_intake_reuses_inside_the_stream(spark, tmp_path):
     rng = random.Random(1)
-    texts = [f"{i % 7} " + "word " * 40 for i in range(30)]
-    rows = [(i, t) for i, t in enumerate(texts)]
+    texts = [f"{i % 7} " + "word " * 40 for i in range(28)] + ["tiny", "tiny", None, ""]
+    rows = list(enumerate(texts))
     rng.shuffle(rows)
-    for b in range(3):
-        spark.createDataFrame(rows[b * 10 : b * 10 + 10], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / f"b{b}"))
-    source = live.read_new_files(spark, f"{tmp_path}/*", "doc_id long, text string", maxFilesPerTrigger=1)
-    known = spark.createDataFrame([(texts[3], 900)], "text string, reused_from long")
-    history = known.select(F.sha2("text", 256).alias("content_hash"), "reused_from")
-    got = live.run_available(live.incremental_intake(source, history, "doc_id"), "t-intake")
-    assert sorted(r["doc_id"] for r in got.collect()) == list(range(30)) and got.select("content_hash").distinct().count() == 7
-    assert {r["doc_id"] for r in got.where("reused_from = 900").collect()} == {i for i in range(30) if i % 7 == 3}
+    for b in range(4):
+        spark.createDataFrame(rows[b * 8 : b * 8 + 8], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / f"in/b{b}"))
+        time.sleep(0.05)
+    holders = reuse.Holders(str(tmp_path / "holders"))
+    known = spark.createDataFrame([(texts[3], 900), ("tiny", 901)], "text string, doc_id long")
+    holders.add(reuse.first_holders(known, "doc_id"), -1)
+    intake = reuse.Intake(holders, str(tmp_path / "out"), "doc_id")
+    source = live.read_new_files(spark, f"{tmp_path}/in/*", "doc_id long, text string", maxFilesPerTrigger=1)
+    live.merge_available(source, intake.admit, str(tmp_path / "progress"))
+    schema = "doc_id long, content_hash string, reused_from long, parse_status string"
+    want, first = {}, {texts[3]: 900}
+    for b in range(4):
+        part = sorted(rows[b * 8 : b * 8 + 8])
+        for i, t in part:
+            if t and t != "tiny":
+                first.setdefault(t, i)
+        want |= {i: (first[t] if first.get(t, i) != i else None, "parsed" if t and t != "tiny" else "needs_ocr") for i, t in part}
+
+    def got():
+        return {r["doc_id"]: (r["reused_from"], r["parse_status"]) for r in intake.results(spark, schema).collect()}
+
+    assert got() == want and sum(r[0] == 900 for r in want.values()) == 4
+    for b in (3, 1):  # replayed batches change nothing
+        intake.admit(spark.createDataFrame(rows[b * 8 : b * 8 + 8], "doc_id long, text string"), b)
+        assert got() == want
+    prefixes = [r[0] for r in spark.createDataFrame([(texts[3],)], "t string").select(F.substring(F.sha2("t", 256), 1, 2)).collect()]
+    plan = holders.known(spark, prefixes, 3)._jdf.queryExecution().executedPlan().toString()
+    assert f"prefix IN ({prefixes[0]})" in plan.replace("#", " ").replace("  ", " ") or "PartitionFilters" in plan and prefixes[0] in plan
 
 
 def plan(spark, name):
