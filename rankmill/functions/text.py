@@ -205,6 +205,14 @@ def first_phone(text: Column, strict: bool = False) -> Column:
     return found
 
 
+def contact_fields(text: Column) -> Column:
+    """Struct of full name, mail, phone and profile URL, null where the text has none."""
+    return F.struct(
+        header_name(text).alias("full_name"), first_mail(text).alias("email"), first_phone(text).alias("phone"),
+        first_profile_url(text).alias("linkedin"),
+    )
+
+
 def name_from_file(file_name: Column) -> Column:
     base = F.regexp_replace(file_name, r"\.[^.]+$", "")
     base = squeeze_ws(F.regexp_replace(base, r"_+", " "))

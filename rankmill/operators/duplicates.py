@@ -7,6 +7,8 @@ row, so its size never depends on how many copies a text has.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ NUM, DEN = 17, 20
 # Earlier sets every set is compared with first, per token. Speed only: sets that
 # match none of them meet all others afterwards.
 LEADERS = 8
+# Holders of one (token, size band) that one task meets; more are dealt out by the earlier set.
+CROWD = 2000
 
 
 def exact_groups(docs: DataFrame, row_id: str, text: str) -> DataFrame:
@@ -52,6 +56,15 @@ def _close(a: str, b: str) -> Column:
     return common * (NUM + DEN) > (F.size(F.col(a)) + F.size(F.col(b))) * NUM
 
 
+def _band(n: Column) -> Column:
+    """Sizes whose ratio is above NUM/DEN lie in the same band or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / math.log(DEN / NUM)).cast("int")
+
+
+def _bands_near(n: Column) -> Column:
+    return F.explode(F.sequence(_band(n) - 1, _band(n) + 1))
+
+
 def near_duplicate_flags(docs: DataFrame, row_id: str, text: str) -> DataFrame:
     """(row_id, is_duplicate): is there an earlier row that is equal or close?
 
@@ -62,7 +75,9 @@ def near_duplicate_flags(docs: DataFrame, row_id: str, text: str) -> DataFrame:
     3. Each set first meets a few of the earliest sets of each of its tokens. In a
        cluster of near copies this settles almost all of them in linear work.
     4. Sets still open meet all earlier sets of their tokens with a fitting size,
-       and the exact test decides. Hot tokens are split by the earlier set's id.
+       and the exact test decides. The index is keyed by (token, size band): sizes of a
+       close pair differ by less than one band, so a set looks into three. Bands of a token
+       that more than ``CROWD`` sets hold, by measured count, are dealt out by the earlier set's id.
     """
     normal = docs.select(row_id, canonical_answer(F.col(text)).alias("normal"))
     sets = normal.select(row_id, word_set(F.col("normal")).alias("words"), F.sha2("normal", 256).alias("h"))
@@ -97,14 +112,16 @@ def near_duplicate_flags(docs: DataFrame, row_id: str, text: str) -> DataFrame:
         f"least(n, m) * {DEN} > greatest(n, m) * {NUM}"
         f" and (1 + least(n - r, m - q)) * {NUM + DEN} > (n + m) * {NUM}"
     )
-    # leaders: the earliest holders of a token that keep enough tokens behind it to
+    # leaders: the earliest holders of a token and band that keep enough tokens behind it to
     # be close to a set of their own size
+    prefix = prefix.withColumn("band", _band(F.col("n")))
     central = prefix.where(f"(1 + n - r) * {NUM + DEN} > n * {2 * NUM}")
-    leaders = top_k(central, ["token"], [F.col("rep")], LEADERS).select(
-        "token", F.col("rep").alias("leader"), F.col("n").alias("m"), F.col("r").alias("q")
+    leaders = top_k(central, ["token", "band"], [F.col("rep")], LEADERS).select(
+        "token", "band", F.col("rep").alias("leader"), F.col("n").alias("m"), F.col("r").alias("q")
     )
     led = (
-        prefix.join(leaders, "token").where(f"leader < rep and {fits}").select("rep", "leader").distinct()
+        prefix.drop("band").withColumn("band", _bands_near(F.col("n"))).join(leaders, ["token", "band"])
+        .where(f"leader < rep and {fits}").select("rep", "leader").distinct()
     )
     words = reps.select("rep", "words")
     settled = cut_lineage(
@@ -115,11 +132,16 @@ def near_duplicate_flags(docs: DataFrame, row_id: str, text: str) -> DataFrame:
         "settled-sets",
     )
     open_sets = prefix.join(settled, "rep", "left_anti")
-    earlier = prefix.select(
-        "token", F.col("rep").alias("prior"), F.col("n").alias("m"), F.col("r").alias("q")
+    crowds = prefix.groupBy("token", "band").agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("parts"))
+    crowds = crowds.where("parts > 1")  # few: the others have one part
+    one = F.coalesce("parts", F.lit(1))
+    earlier = prefix.join(crowds, ["token", "band"], "left").select(
+        "token", "band", F.pmod(F.xxhash64("rep"), one).cast("int").alias("part"), F.col("rep").alias("prior"), F.col("n").alias("m"), F.col("r").alias("q")
     )
+    looking = open_sets.drop("band").withColumn("band", _bands_near(F.col("n"))).join(crowds, ["token", "band"], "left")
+    looking = looking.withColumn("part", F.explode(F.sequence(F.lit(0), one - 1)))
     candidates = (
-        open_sets.join(earlier, "token")
+        looking.join(earlier, ["token", "band", "part"])
         .where(f"prior < rep and {fits}")
         .select("rep", "prior")
         .distinct()

@@ -173,3 +173,47 @@ def translated(df: DataFrame, column: str, dictionary: DataFrame, name: str) ->
     (source, target); a left join, broadcast by Spark when its size allows."""
     words = dictionary.select(F.col("source").alias(column), F.col("target").alias("_target"))
     return df.join(words, column, "left").withColumn(name, F.coalesce("_target", column)).drop("_target")
+
+
+def first_seen_join(rows: DataFrame, values: Sequence[str], position: str, sep: str = " / ") -> DataFrame:
+    """One row: for each column the distinct filled values in the order of their smallest position, joined.
+
+    Rows fold to one per column and value before anything is gathered; what is gathered are the values of a list to be shown.
+    """
+    pairs = F.array(*[F.struct(F.lit(v).alias("column"), F.col(v).alias("value")) for v in values])
+    firsts = (
+        rows.select(position, F.explode(pairs).alias("p")).where(F.length(F.trim("p.value")) > 0)
+        .groupBy("p.column", "p.value").agg(F.min(position).alias("at"))
+    )
+
+    def joined(v: str) -> Column:
+        own = F.sort_array(F.collect_list(F.when(F.col("column") == v, F.struct("at", "value"))))
+        return F.array_join(F.transform(own, lambda x: x["value"]), sep).alias(v)
+
+    return firsts.agg(*[joined(v) for v in values])
+
+
+def date_stamp(day: Column) -> Column:
+    return F.date_format(day, "yyyy-MM-dd")
+
+
+def reviewed_counts(job: str, *groups: DataFrame) -> DataFrame:
+    """Rows per job over all groups (ranked, unparsed, not screened), duplicates kept."""
+    every = groups[0].select(job)
+    for more in groups[1:]:
+        every = every.unionByName(more.select(job))
+    return every.groupBy(job).agg(F.count(F.lit(1)).alias("reviewed"))
+
+
+def verification_sheet(jobs: DataFrame, top: DataFrame, job: str, themes: Sequence[tuple[str, str]]) -> DataFrame:
+    """``job, theme, question, place``: the generic themes of every job, then its listed rows with their verification points.
+
+    ``top``: job, rank, name, verification (list of points).
+    """
+    generic = F.array(*[F.struct(F.lit(t).alias("theme"), F.lit(q).alias("question"), F.lit(i).alias("place")) for i, (t, q) in enumerate(themes, 1)])
+    opening = jobs.select(job, F.explode(generic).alias("g")).select(job, "g.*")
+    own = top.select(
+        job, display_value(F.col("name")).alias("theme"), join_list(F.col("verification"), "\n").alias("question"),
+        (F.col("rank") + len(themes)).alias("place"),
+    )
+    return opening.unionByName(own)

@@ -150,20 +150,25 @@ def facet_counts(df: DataFrame, f: ViewFilters, by: tuple[str, ...] = ()) -> Dat
             label = F.when(
                 (F.col("facet") == facet) & (F.col("value_key") == value.lower()), value
             ).otherwise(label)
+    # first per exact spelling, with numbers only in the buffers; then the few spellings of a value
+    spelled = (
+        df.select(*by, _place().alias("place"), F.explode(fan).alias("e"))
+        .groupBy(*by, F.col("e.facet").alias("facet"), F.col("e.value").alias("value"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place"))
+    )
     return (
-        df.select(
-            *by, F.struct(-F.coalesce("total", F.lit(-1.0)), "id").alias("place"),
-            F.explode(fan).alias("e"),
-        )
-        .groupBy(*by, F.col("e.facet").alias("facet"), F.lower("e.value").alias("value_key"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min_by("e.value", F.struct("place", "e.value")).alias("first_spelling"),
-        )
+        spelled.groupBy(*by, "facet", F.lower("value").alias("value_key"))
+        .agg(F.sum("n").alias("n"), F.array_min(F.collect_list(F.struct("place", "value")))["value"].alias("first_spelling"))
         .select(*by, "facet", label.alias("value"), "n")
     )
 
 
+def _place() -> Column:
+    """Rank order as one number: totals of one decimal falling (null as -1), then ids ascending."""
+    behind = F.floor((1000 - F.coalesce("total", F.lit(-1.0))) * 10 + 0.5).cast("decimal(18,0)")
+    return (behind * F.lit(str(10**19)).cast("decimal(20,0)") + F.col("id").cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
 def facet_useful(facets: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return facets.groupBy(*by, "facet").agg(F.max(F.col("value") != NOT_STATED).alias("useful"))
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankmill.functions.numbers import percentage, round2
 from rankmill.functions.text import trim_ws
+from rankmill.operators.contracts import violations
 
 CONFIRMED_TYPES = ("scenario", "journal_entry", "case", "calculation")
 
@@ -30,6 +31,27 @@ def item_mark(
     return F.struct(final.alias("earned"), result.alias("result"))
 
 
+def mark_violations(items: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per (key, rule) for marks that must not be accepted.
+
+    ``items``: answer, q_type, points, rubric_maxima and rubric_points (arrays), override, override_reason. A filled answer of
+    an open type needs one confirmed score per rubric line, none above its maximum; an override needs a reason and at most the points.
+    """
+    filled = F.length(trim_ws(F.coalesce("answer", F.lit("")))) > 0
+    opened = filled & F.col("q_type").isin(*CONFIRMED_TYPES)
+    given, allowed = F.coalesce(F.size("rubric_points"), F.lit(0)), F.coalesce(F.size("rubric_maxima"), F.lit(0))
+    above = F.exists(F.arrays_zip("rubric_points", "rubric_maxima"), lambda x: F.coalesce(x["rubric_points"] > x["rubric_maxima"], F.lit(False)))
+    stated = F.col("override").isNotNull()
+    return violations(
+        items, keys,
+        {
+            "rubric_confirmed": opened & ((given != allowed) | (allowed <= 0)), "rubric_maximum": opened & F.coalesce(above, F.lit(False)),
+            "override_reason": stated & (F.length(trim_ws(F.coalesce("override_reason", F.lit("")))) == 0),
+            "override_maximum": stated & (F.col("override") > F.col("points")),
+        },
+    )
+
+
 def totals(items: DataFrame, attempt: str, pass_mark: float) -> DataFrame:
     """``items``: attempt, earned, possible, result. One combined aggregate."""
     def n_of(result: str) -> Column:
@@ -54,16 +76,22 @@ def totals(items: DataFrame, attempt: str, pass_mark: float) -> DataFrame:
     )
 
 
-def score_groups(items: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Earned, possible and percentage by each column of ``by`` in one pass."""
-    members = F.array(
-        *[F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("member")) for c in by]
+def score_groups(items: DataFrame, attempt: str, by: Mapping[str, str]) -> DataFrame:
+    """Earned, possible and percentage of each attempt by each dimension, in one pass over grouping sets.
+
+    ``by``: dimension name to its column. A member that is null is a member of its own.
+    """
+    columns = list(by.values())
+    grouped = items.groupingSets([[attempt, c] for c in columns], attempt, *columns).agg(
+        F.sum("earned").alias("earned"), F.sum("possible").alias("possible"), F.grouping_id().alias("_gid")
     )
-    return (
-        items.select("earned", "possible", F.explode(members).alias("g"))
-        .groupBy("g.dimension", "g.member")
-        .agg(F.sum("earned").alias("earned"), F.sum("possible").alias("possible"))
-        .withColumn("percentage", percentage(F.col("earned"), F.col("possible")))
+    # the bit of a column is 0 where the set holds it
+    held = {name: F.col("_gid").bitwiseAND(1 << (len(columns) - 1 - i)) == 0 for i, name in enumerate(by)}
+    dimension = F.coalesce(*[F.when(on, F.lit(name)) for name, on in held.items()])
+    member = F.coalesce(*[F.when(on, F.col(by[name]).cast("string")) for name, on in held.items()])
+    return grouped.select(
+        attempt, dimension.alias("dimension"), member.alias("member"), "earned", "possible",
+        percentage(F.col("earned"), F.col("possible")).alias("percentage"),
     )
 
 

@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankmill.functions.text import file_extension, near_empty, trim_ws
+from rankmill.functions.text import contact_fields, file_extension, near_empty, scrub, trim_ws
 from rankmill.operators.ranking import top_k
+from rankmill.session import cut_lineage
 
 # Reasons stored with a refused item.
 ZIP_TOO_LARGE = "ZIP files can be up to 500 MB"
@@ -91,27 +92,38 @@ def content_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def reuse_by_hash(incoming: DataFrame, history: DataFrame, row_id: str, min_chars: int = 80) -> DataFrame:
-    """Match new items with earlier parsed ones by content hash (smallest id).
+def content_store(history: DataFrame, row_id: str, min_chars: int = 80) -> DataFrame:
+    """Parsed content of every hash: ``content_hash, reused_from, raw_text, pages, anonymized_text, contact``.
 
-    Only hash and id travel. The history holds one row per hash, so a hash that
-    covers a third of the new items is split by the skew join.
+    ``history``: row_id, text, content_hash. Only hash and id travel to find the first parsed row of a content, so a
+    content of a third of all rows is a row per task; the text is parsed once per content.
     """
-    earlier = (
-        history.where(~near_empty(F.col("text"), min_chars))
-        .select(content_hash(F.col("text")).alias("content_hash"), F.col(row_id).alias("_id"))
-        .groupBy("content_hash")
-        .agg(F.min("_id").alias("reused_from"))
-    )
-    fresh = incoming.select(
-        row_id, content_hash(F.col("text")).alias("content_hash"),
-        near_empty(F.col("text"), min_chars).alias("_empty"),
-    )
-    status = F.when(F.col("reused_from").isNotNull(), "parsed").when(
-        F.col("_empty"), "needs_ocr"
-    ).otherwise("parsed")
-    return fresh.join(earlier, "content_hash", "left").select(
-        row_id, "content_hash", "reused_from", status.alias("parse_status")
+    earlier = history.where(~near_empty(F.col("text"), min_chars))
+    first = earlier.groupBy("content_hash").agg(F.min(row_id).alias("reused_from"))
+    held = earlier.join(first, (earlier["content_hash"] == first["content_hash"]) & (earlier[row_id] == first["reused_from"]), "left_semi")
+    return held.select("content_hash", F.col(row_id).alias("reused_from"), *parsed_content(F.col("text"))).dropDuplicates(["content_hash"])
+
+
+def parsed_content(text: Column) -> list[Column]:
+    """What parsing a text yields: the text, its pages, the scrubbed text and the contact fields."""
+    pages = F.filter(F.transform(F.split(text, "\f"), trim_ws), lambda p: F.length(p) > 0)
+    return [text.alias("raw_text"), pages.alias("pages"), scrub(text).alias("anonymized_text"), contact_fields(text).alias("contact")]
+
+
+def reuse_by_hash(rows: DataFrame, known: Column, row_id: str, min_chars: int = 80) -> DataFrame:
+    """New items take over the parsed content of earlier ones with the same hash; the table is read and hashed once.
+
+    ``known`` marks earlier rows. A new item without an earlier copy has null content: it goes on to the parser.
+    The store holds one row per hash, and only hashes that new items have are parsed, so a content
+    of a third of the new items is split by the skew join.
+    """
+    hashed = cut_lineage(rows.select(row_id, "text", F.coalesce(known, F.lit(False)).alias("_known"), content_hash(F.col("text")).alias("content_hash")), "hashed")
+    fresh = hashed.where(~F.col("_known")).select(row_id, "content_hash", F.coalesce(near_empty(F.col("text"), min_chars), F.lit(True)).alias("_empty"))
+    wanted = fresh.select("content_hash").distinct()
+    store = content_store(hashed.where("_known").drop("_known").join(wanted, "content_hash", "left_semi"), row_id, min_chars)
+    status = F.when(F.col("reused_from").isNotNull() | ~F.col("_empty"), "parsed").otherwise("needs_ocr")
+    return fresh.join(cut_lineage(store, "content"), "content_hash", "left").select(
+        row_id, "content_hash", "reused_from", status.alias("parse_status"), "raw_text", "pages", "anonymized_text", "contact"
     )
 
 

@@ -153,6 +153,36 @@ def covered_years(ranges: DataFrame, now_m: int) -> DataFrame:
     )
 
 
+def overlap_pairs(ranges: DataFrame, now_m: int, cell_months: int = 12) -> DataFrame:
+    """Every overlap of two precise ranges of one entity, with position and evidence of both sides, the earlier position first.
+
+    A sweep cut into calendar cells: a range stands in each cell it touches, and two ranges meet in the cell of
+    their later start, where the one that starts first is still open. Work per (entity, cell) follows what is open there; the
+    output is in step with the number of overlaps. A busy entity is spread over its cells, a busy cell by the skew join.
+    """
+    here = sane(ranges, now_m).where("precise").select("entity", "pos", "start_m", "end_m", "evidence")
+    celled = here.withColumn(
+        "cell", F.explode(F.sequence(F.floor(F.col("start_m") / cell_months), F.floor((F.col("end_m") - 1) / cell_months)))
+    )
+    # the side that starts later (ties: the later position) stands only in the cell of its start
+    later = here.withColumn("cell", F.floor(F.col("start_m") / cell_months))
+    a, b = celled.alias("a"), later.alias("b")
+    before = F.struct("a.start_m", "a.pos") < F.struct("b.start_m", "b.pos")
+    first = F.col("a.pos") < F.col("b.pos")
+
+    def side(c: str, lower: bool) -> Column:
+        x, y = F.col(f"a.{c}"), F.col(f"b.{c}")
+        return F.when(first, x).otherwise(y) if lower else F.when(first, y).otherwise(x)
+
+    return a.join(
+        b, (F.col("a.entity") == F.col("b.entity")) & (F.col("a.cell") == F.col("b.cell")) & before & (F.col("a.end_m") > F.col("b.start_m"))
+    ).select(
+        F.col("a.entity").alias("entity"), side("pos", True).alias("a_pos"), side("pos", False).alias("b_pos"),
+        (F.least("a.end_m", "b.end_m") - F.col("b.start_m")).alias("months"),
+        side("evidence", True).alias("evidence_a"), side("evidence", False).alias("evidence_b"),
+    )
+
+
 def overlaps(ranges: DataFrame, now_m: int, cell_months: int = 12) -> DataFrame:
     """Overlapping precise ranges of one entity, folded to distinct month pairs.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rankmill.functions import labels
 from rankmill.functions.text import trim_ws
+from rankmill.operators.exports import number_text
 
 # The seven criteria and their default weights.
 DEFAULT_WEIGHTS: dict[str, float] = {
@@ -137,3 +138,37 @@ def long_scores(df: DataFrame, keys: Sequence[str], criteria: Sequence[str], evi
     return df.select(*keys, F.posexplode(entries).alias("pos", "entry")).select(
         *keys, "entry.criterion", "entry.score", F.lit(evidence).alias("evidence"), "pos"
     )
+
+
+def profile_row(flat: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The profile of a flat result: facts as stated, years as text, flags as note and list; contact data stay empty.
+
+    ``flat``: location, current_title, last_employer, specialization, education, total_years, relevant_years, local_years,
+    leadership_text, software, certifications, languages, flags (lists), strengths, gaps.
+    """
+    none = F.lit(None).cast("string")
+
+    def years(c: str) -> Column:
+        return F.when(F.col(c).isNotNull(), F.concat(number_text(F.col(c)), F.lit(" years")))
+
+    def one(c: str) -> Column:
+        return F.array_compact(F.array(F.when(F.length(F.col(c)) > 0, F.col(c))))
+
+    same = {"currentLocation": "location", "currentTitle": "current_title", "lastEmployer": "last_employer", "specialization": "specialization", "education": "education"}
+    empty = ("fullName", "nationality", "availabilityNotice", "expectedSalary", "evidencePages", "phone", "email", "linkedin")
+    return flat.select(
+        *keys, *[none.alias(n) for n in empty], *[F.col(c).alias(n) for n, c in same.items()],
+        years("total_years").alias("totalExperienceText"), F.col("total_years").alias("totalYearsExperience"),
+        F.when(F.size("flags") > 0, F.array_join("flags", ", ")).alias("dataQualityNote"),
+        years("relevant_years").alias("relevantExperienceText"), F.col("leadership_text").alias("leadershipExperienceText"),
+        years("local_years").alias("uaeExperienceText"), F.col("software").alias("softwareSystems"), F.col("software").alias("technicalSkills"),
+        "certifications", F.array().cast("array<string>").alias("courses"), "languages", one("strengths").alias("keyAchievements"),
+        one("gaps").alias("gaps"), F.col("flags").alias("inconsistencies"),
+    )
+
+
+def finalised(damped: DataFrame, keys: Sequence[str], weights: Mapping[str, float]) -> DataFrame:
+    """Total of the damped scores and the narrative in the second language. ``damped``: criteria, deal_breaker, strengths, gaps."""
+    total = weighted_total([F.col(c) for c in weights], list(weights.values()), F.col("deal_breaker"))
+    scored = damped.withColumn("total_score", total)
+    return scored.select(*keys, "total_score", labels.narrative_second_language(F.col("total_score"), F.col("strengths"), F.col("gaps")).alias("narrative"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from rankmill.functions import text as tx
 from rankmill.operators import changes, contracts
+from rankmill.operators import json_contracts as jc
 from rankmill.operators.contracts import outside, too_long, violations
 from rankmill.plans.bindings import ROWS_SQL, candidates, document_rows, with_cand
 from rankmill.plans.registry import query
@@ -159,10 +162,10 @@ def k10(spark, d):
 
 
 @query("k11_references_and_keys", """
-SELECT 'orphan' AS rule, o_orderkey AS k1, 0 AS k2, 1 AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > -900) UNION ALL SELECT 'repeated', l_orderkey, l_linenumber, count(*) FROM lineitem GROUP BY 2, 3 HAVING count(*) > 1
+SELECT 'orphan' AS rule, o_orderkey AS k1, 0 AS k2, 1 AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'repeated', l_orderkey, l_linenumber, count(*) FROM lineitem GROUP BY 2, 3 HAVING count(*) > 1
 """)
 def k11(spark, d):
-    lost = contracts.orphans(table(spark, d, "orders"), table(spark, d, "customer").where("c_acctbal > -900"), "o_custkey", "c_custkey")
+    lost = contracts.orphans(table(spark, d, "orders"), table(spark, d, "customer"), "o_custkey", "c_custkey")
     again = contracts.repeated_keys(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
     return lost.select(F.lit("orphan").alias("rule"), F.col("o_orderkey").alias("k1"), F.lit(0).alias("k2"), F.lit(1).cast("long").alias("n")).unionByName(
         again.select(F.lit("repeated").alias("rule"), F.col("l_orderkey").alias("k1"), F.col("l_linenumber").alias("k2"), "n")
@@ -182,6 +185,124 @@ def k12(spark, d):
     return violations(ref, ["page_id"], contracts.salary_reference_rules())
 
 
+# stored JSON: each customer's document is whole or breaks one rule; which, its id says. The rule
+# names in the SQL are written out by hand, not taken from the schema.
+
+
+def _documents(spark, d, whole: dict, cases: list[tuple[str, dict]]):
+    """(c_custkey, body): case ``c_custkey % (cases + 1)`` of a document that bears the customer's name, the last one whole."""
+    bodies = [json.dumps({k: v for k, v in (whole | change).items() if v is not MISSING}, ensure_ascii=False) for _, change in cases]
+    every = F.array(*[F.lit(b) for b in [*bodies, json.dumps(whole, ensure_ascii=False)]])
+    body = F.get(every, (F.col("c_custkey") % (len(cases) + 1)).cast("int"))
+    return table(spark, d, "customer").select("c_custkey", F.replace(body, F.lit("$NAME"), F.col("c_name")).alias("body"))
+
+
+def cases_sql(cases: list[tuple[str, dict]]) -> str:
+    names = ", ".join(f"'{rule}'" for rule, _ in cases)
+    return f"SELECT c_custkey, ([{names}])[c_custkey % {len(cases) + 1} + 1] AS rule FROM customer WHERE c_custkey % {len(cases) + 1} < {len(cases)}"
+
+
+MISSING = object()
+ROW = {n: "$NAME" for n in jc.NULLABLE_TEXTS} | {"totalYearsExperience": 7.5, "nationality": None} | {n: ["a", "b"] for n in jc.TEXT_LISTS}
+ROW_CASES = [
+    ("fullName:type", {"fullName": 7}), ("nationality:type", {"nationality": MISSING}), ("currentLocation:type", {"currentLocation": True}),
+    ("currentTitle:type", {"currentTitle": []}), ("lastEmployer:type", {"lastEmployer": {}}), ("specialization:type", {"specialization": 1.5}),
+    ("education:type", {"education": MISSING}), ("totalExperienceText:type", {"totalExperienceText": 7}), ("totalYearsExperience:type", {"totalYearsExperience": "7"}),
+    ("availabilityNotice:type", {"availabilityNotice": 7}), ("expectedSalary:type", {"expectedSalary": 100}), ("dataQualityNote:type", {"dataQualityNote": MISSING}),
+    ("evidencePages:type", {"evidencePages": [1]}), ("phone:type", {"phone": 971}), ("email:type", {"email": MISSING}), ("linkedin:type", {"linkedin": False}),
+    ("relevantExperienceText:type", {"relevantExperienceText": 2}), ("leadershipExperienceText:type", {"leadershipExperienceText": 2}), ("uaeExperienceText:type", {"uaeExperienceText": 2}),
+    ("softwareSystems:type", {"softwareSystems": None}), ("technicalSkills:type", {"technicalSkills": "a; b"}), ("certifications:type", {"certifications": MISSING}),
+    ("courses[]:type", {"courses": ["a", 1]}), ("languages[]:type", {"languages": ["$NAME", None]}), ("keyAchievements:type", {"keyAchievements": {}}),
+    ("gaps[]:type", {"gaps": [["a"]]}), ("inconsistencies:type", {"inconsistencies": 0}),
+]
+
+
+@query("k01_candidate_contract", cases_sql(ROW_CASES))
+def k01_candidate(spark, d):
+    return jc.json_violations(_documents(spark, d, ROW, ROW_CASES), ["c_custkey"], "body", jc.CANDIDATE)
+
+
+GOOD_SCORE = {"criterion": "leadership", "score": 10, "evidence": "$NAME"}
+RESULT = {
+    "scores": [GOOD_SCORE, GOOD_SCORE | {"score": 0}], "dealBreakerHit": False, "strengths": "$NAME", "risksAndGaps": "", "verificationPoints": ["ask"],
+    "recommendationNarrative": "", "tier": "Good — conditional interview",
+}
+RESULT_CASES = [
+    ("scores:type", {"scores": None}), ("scores[].criterion:enum", {"scores": [GOOD_SCORE, GOOD_SCORE | {"criterion": "charm"}]}), ("scores[].score:max", {"scores": [GOOD_SCORE | {"score": 10.5}]}),
+    ("scores[].score:min", {"scores": [GOOD_SCORE | {"score": -1}]}), ("scores[].score:type", {"scores": [GOOD_SCORE | {"score": "9"}]}), ("scores[].evidence:type", {"scores": [{"criterion": "jobFit", "score": 1}]}),
+    ("dealBreakerHit:type", {"dealBreakerHit": "no"}), ("strengths:type", {"strengths": None}), ("verificationPoints[]:type", {"verificationPoints": [1]}),
+    ("recommendationNarrative:type", {"recommendationNarrative": MISSING}), ("tier:enum", {"tier": "Strong candidate"}), ("tier:type", {"tier": None}),
+]
+
+
+@query("k02_score_result_contract", cases_sql(RESULT_CASES))
+def k02_result(spark, d):
+    return jc.json_violations(_documents(spark, d, RESULT, RESULT_CASES), ["c_custkey"], "body", jc.SCORE)
+
+
+STEP = {"id": "s1", "instruction": {"en": "$NAME", "ar": ""}, "points": 5, "evidence": ""}
+PRACTICAL = {"system": "", "timeLimitMin": 30, "steps": [STEP]}
+PLAN = {
+    "level": "mid", "questionCount": 20, "durationMin": 45.5, "passMark": 60, "difficulty": {"easy": 0.2, "medium": 0.5, "hard": 0.3}, "includesCase": True,
+    "topicWeights": {"$NAME": 2, "tax": 0.5}, "probes": ["p"], "uncoveredProbes": [], "practical": PRACTICAL,
+}
+PLAN_CASES = [
+    ("level:enum", {"level": "boss"}), ("questionCount:whole", {"questionCount": 2.5}), ("questionCount:above", {"questionCount": 0}), ("durationMin:above", {"durationMin": -1}),
+    ("passMark:max", {"passMark": 100.5}), ("passMark:min", {"passMark": -0.5}), ("difficulty.hard:type", {"difficulty": {"easy": 1, "medium": 1}}), ("difficulty:type", {"difficulty": MISSING} | {"difficulty": 3}),
+    ("includesCase:type", {"includesCase": "yes"}), ("topicWeights{}:above", {"topicWeights": {"a": 1, "b": 0}}), ("topicWeights{}:type", {"topicWeights": {"a": "1"}}), ("probes[]:type", {"probes": [None]}),
+    ("uncoveredProbes:type", {"uncoveredProbes": MISSING}), ("practical.steps:min_items", {"practical": PRACTICAL | {"steps": []}}), ("practical.steps[].instruction.en:min_length", {"practical": PRACTICAL | {"steps": [STEP | {"instruction": {"en": "", "ar": ""}}]}}),
+    ("practical.steps[].points:above", {"practical": PRACTICAL | {"steps": [STEP, STEP | {"points": 0}]}}), ("practical.timeLimitMin:type", {"practical": PRACTICAL | {"timeLimitMin": None}}),
+]
+
+
+@query("k09_blueprint_contract", cases_sql(PLAN_CASES))
+def k09_blueprint(spark, d):
+    return jc.json_violations(_documents(spark, d, PLAN, PLAN_CASES), ["c_custkey"], "body", jc.BLUEPRINT)
+
+
+RULED = {
+    "compositeWeights": {"cv": 1, "exam": 0, "interview": 0}, "relevantExcludedItems": [2, 26], "relevanceReason": "$NAME", "blueprintOverrides": {"questionCount": 10}, "marketReference": {"text": "", "source": "s", "date": ""},
+}
+RULED_CASES = [
+    ("compositeWeights.exam:min", {"compositeWeights": {"cv": 2, "exam": -1, "interview": 0}}), ("compositeWeights:sum", {"compositeWeights": {"cv": 0, "exam": 0, "interview": 0}}),
+    ("relevantExcludedItems[]:enum", {"relevantExcludedItems": [4]}), ("relevanceReason:required", {"relevanceReason": " "}), ("blueprintOverrides.questionCount:min", {"blueprintOverrides": {"questionCount": 9}}),
+    ("blueprintOverrides.questionCount:max", {"blueprintOverrides": {"questionCount": 101}}), ("blueprintOverrides.passMark:max", {"blueprintOverrides": {"passMark": 101}}), ("blueprintOverrides.durationMin:above", {"blueprintOverrides": {"durationMin": 0}}),
+    ("marketReference.source:min_length", {"marketReference": {"text": "", "source": "", "date": ""}}), ("marketReference.date:type", {"marketReference": {"text": "", "source": "s"}}),
+]
+
+
+@query("k09_settings_contract", cases_sql(RULED_CASES))
+def k09_settings(spark, d):
+    return jc.json_violations(_documents(spark, d, RULED, RULED_CASES), ["c_custkey"], "body", jc.SETTINGS, jc.settings_rules())
+
+
+GRADED = {"answers": {"q1": {"answer": "$NAME", "rubricScores": [1, 0]}, "q2": {"answer": "", "override": None}}, "practical": {"s1": {"points": 0, "evidence": "seen"}}, "durationMin": None, "confirmed": True}
+GRADED_CASES = [
+    ("answers{}.answer:type", {"answers": {"q1": {}}}), ("answers{}.rubricScores[]:min", {"answers": {"q1": {"answer": "", "rubricScores": [1, -1]}}}), ("answers{}.override:min", {"answers": {"q1": {"answer": "", "override": -2}}}),
+    ("answers{}.overrideReason:type", {"answers": {"q1": {"answer": "", "overrideReason": None}}}), ("practical{}.points:min", {"practical": {"s1": {"points": -1, "evidence": "x"}}}), ("practical{}.evidence:min_length", {"practical": {"s1": {"points": 1, "evidence": ""}}}),
+    ("durationMin:above", {"durationMin": 0}), ("durationMin:type", {"durationMin": MISSING}), ("confirmed:equals", {"confirmed": False}), ("answers:type", {"answers": []}),
+]
+
+
+@query("k09_grade_input_contract", cases_sql(GRADED_CASES))
+def k09_grade(spark, d):
+    return jc.json_violations(_documents(spark, d, GRADED, GRADED_CASES), ["c_custkey"], "body", jc.GRADE_INPUT)
+
+
+SEEN = {"reference": "[CV]", "snippet": "$NAME", "confidence": "low"}
+FOUND = {"fact": "$NAME", "evidence": [SEEN] * 8, "confidence": "high"}
+FOUND_CASES = [
+    ("fact:max_length", {"fact": "x" * 1801}), ("fact:type", {"fact": None}), ("evidence:max_items", {"evidence": [SEEN] * 9}), ("evidence[].reference:max_length", {"evidence": [SEEN | {"reference": "r" * 121}]}),
+    ("evidence[].snippet:max_length", {"evidence": [SEEN, SEEN | {"snippet": "s" * 501}]}), ("evidence[].confidence:enum", {"evidence": [SEEN | {"confidence": "sure"}]}), ("confidence:enum", {"confidence": "sure"}),
+    ("insufficientEvidence:type", {"insufficientEvidence": "no"}), ("evidence[].snippet:type", {"evidence": [{"reference": "", "confidence": "low"}]}),
+]
+
+
+@query("k12_finding_contract", cases_sql(FOUND_CASES))
+def k12_finding(spark, d):
+    return jc.json_violations(_documents(spark, d, FOUND, FOUND_CASES), ["c_custkey"], "body", jc.FINDING)
+
+
 @query("h16_contact_validity", """
 SELECT c_custkey, c_mktsegment <> 'BUILDING' AS email_ok, c_mktsegment <> 'MACHINERY' AS phone_ok, c_mktsegment NOT IN ('BUILDING', 'HOUSEHOLD') AS url_ok FROM customer
 """)
@@ -225,30 +346,34 @@ def m03(spark, d):
 WANT = {"view": "queued", "signup": "approved", "click": "running", "purchase": "done", "error": "cancelled"}
 
 
+def _some_unknown():
+    """The event's user; every tenth event names a key nobody has."""
+    return F.when(F.col("event_id") % 10 == 0, -F.col("event_id") - 1).otherwise(F.col("user_id"))
+
+
 @query("m04_status_moves", """
-WITH st AS (SELECT o_orderkey AS user_id, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'queued' ELSE 'running' END AS status FROM orders WHERE o_orderpriority <> '5-LOW'),
-rq AS (SELECT event_id, user_id, CASE event_type WHEN 'view' THEN 'queued' WHEN 'signup' THEN 'approved' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'done' ELSE 'cancelled' END AS wanted FROM events)
+WITH st AS (SELECT o_orderkey AS user_id, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'queued' ELSE 'running' END AS status FROM orders),
+rq AS (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN -event_id - 1 ELSE user_id END AS user_id, CASE event_type WHEN 'view' THEN 'queued' WHEN 'signup' THEN 'approved' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'done' ELSE 'cancelled' END AS wanted FROM events)
 SELECT event_id, wanted, status, CASE WHEN status IS NULL THEN 'not_found' WHEN (status, wanted) IN (('queued','running'),('queued','cancelled'),('running','cancelled'),('running','done')) THEN 'accepted' ELSE 'not_allowed' END AS verdict FROM rq LEFT JOIN st USING (user_id)
 """)
 def m04(spark, d):
-    o = table(spark, d, "orders").where("o_orderpriority <> '5-LOW'")
+    o = table(spark, d, "orders")
     state = o.select(F.col("o_orderkey").alias("user_id"), F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "queued").otherwise("running").alias("status"))
     wanted = F.lit("cancelled")
     for event, want in WANT.items():
         wanted = F.when(F.col("event_type") == event, want).otherwise(wanted)
-    requests = table(spark, d, "events").select("event_id", "user_id", wanted.alias("wanted"))
+    requests = table(spark, d, "events").select("event_id", _some_unknown().alias("user_id"), wanted.alias("wanted"))
     return changes.status_moves(requests, state, "user_id").select("event_id", "wanted", "status", "verdict")
 
 
 @query("m05_upsert_latest", """
-WITH st AS (SELECT c_custkey AS user_id, c_mktsegment AS outcome, c_acctbal AS amount FROM customer WHERE c_mktsegment <> 'BUILDING'),
-l AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS outcome, arg_max(value, (ts, event_id)) AS amount, count(*) AS n FROM events GROUP BY 1)
+WITH st AS (SELECT c_custkey AS user_id, c_mktsegment AS outcome, c_acctbal AS amount FROM customer),
+l AS (SELECT CASE WHEN event_id % 10 = 0 THEN -event_id - 1 ELSE user_id END AS user_id, arg_max(event_type, (ts, event_id)) AS outcome, arg_max(value, (ts, event_id)) AS amount, count(*) AS n FROM events GROUP BY 1)
 SELECT user_id, CASE WHEN n IS NOT NULL THEN l.outcome ELSE st.outcome END AS outcome, CASE WHEN n IS NOT NULL THEN l.amount ELSE st.amount END AS amount, coalesce(n, 0) AS n_changes FROM st FULL OUTER JOIN l USING (user_id)
 """)
 def m05(spark, d):
-    # one segment has no stored decision yet: its keys are new
-    state = table(spark, d, "customer").where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("outcome"), F.col("c_acctbal").alias("amount"))
-    new = table(spark, d, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("outcome"), F.col("value").alias("amount"))
+    state = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("outcome"), F.col("c_acctbal").alias("amount"))
+    new = table(spark, d, "events").select(_some_unknown().alias("user_id"), "ts", "event_id", F.col("event_type").alias("outcome"), F.col("value").alias("amount"))
     return changes.upsert_latest(state, new, "user_id", ["ts", "event_id"], ["outcome", "amount"])
 
 

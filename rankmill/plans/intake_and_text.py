@@ -90,17 +90,6 @@ def a05(spark, d):
     return _docs(spark, d).select("doc_id", intake.content_hash(F.col("text")).alias("content_hash"))
 
 
-@query("a06_reuse_by_hash", f"""
-WITH hist AS (SELECT sha256(text) AS content_hash, min(doc_id) AS reused_from FROM documents SEMI JOIN labels USING (doc_id) WHERE {NE} >= 80 GROUP BY 1)
-SELECT doc_id, sha256(text) AS content_hash, reused_from,
-  CASE WHEN reused_from IS NULL AND {NE} < 80 THEN 'needs_ocr' ELSE 'parsed' END AS parse_status
-FROM documents n ANTI JOIN labels USING (doc_id) LEFT JOIN hist ON hist.content_hash = sha256(text)
-""")
-def a06(spark, d):
-    docs, marks = _docs(spark, d), table(spark, d, "labels").select("doc_id")
-    return intake.reuse_by_hash(docs.join(marks, "doc_id", "left_anti"), docs.join(marks, "doc_id", "left_semi"), "doc_id")
-
-
 @query("a07_page_assembly", """
 WITH p AS (SELECT conv_id, turn, trim(text, E' \\n') AS t, length(text) AS n FROM conversations)
 SELECT conv_id, coalesce(string_agg(t, E'\\n\\n' ORDER BY turn, t) FILTER (length(t) > 0), '') AS text, count(*) FILTER (length(t) > 0) AS n_pages, 'parsed' AS status
@@ -275,9 +264,34 @@ def h04(spark, d):
     )
 
 
-@query("h05_labelled_value", "SELECT doc_id, CASE lang WHEN 'en' THEN 'British' WHEN 'de' THEN 'German citizen' END AS nationality FROM documents")
+@query("a06_reuse_by_hash", rf"""
+WITH hist AS (SELECT sha256(text) AS content_hash, min(doc_id) AS reused_from FROM documents SEMI JOIN labels USING (doc_id) WHERE {NE} >= 80 GROUP BY 1),
+{head_sql('documents', 'text')}, x AS (SELECT d.doc_id, text, header_name, CASE WHEN header_name IS NULL THEN text ELSE replace(text, header_name, '[NAME]') END AS named FROM documents d JOIN nm USING (doc_id) WHERE doc_id IN (SELECT reused_from FROM hist)),
+y AS (SELECT *, {SCRUBBED_SQL.replace("{x}", "named")} AS t FROM x),
+store AS (SELECT content_hash, reused_from, text AS raw_text, 1 AS n_pages, trim(text, E' \n\t\r') AS first_page, {SCRUBBED2_SQL.replace("{x}", "t")} AS anonymized_text, header_name AS full_name,
+  nullif(trim(regexp_extract(text, '(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{{2,}}\b')), '') AS email, nullif(trim(regexp_extract(text, '{PHONE_RE}')), '') AS phone FROM hist JOIN y ON y.doc_id = reused_from)
+SELECT doc_id, sha256(text) AS content_hash, reused_from, CASE WHEN reused_from IS NULL AND {NE} < 80 THEN 'needs_ocr' ELSE 'parsed' END AS parse_status,
+  raw_text, n_pages, first_page, anonymized_text, full_name, email, phone
+FROM documents n ANTI JOIN labels USING (doc_id) LEFT JOIN store ON store.content_hash = sha256(text)
+""")
+def a06(spark, d):
+    marks = table(spark, d, "labels").select("doc_id", F.lit(True).alias("known")).distinct()
+    rows = _docs(spark, d).join(marks, "doc_id", "left")
+    found = intake.reuse_by_hash(rows, F.col("known"), "doc_id")
+    pages = F.when(F.col("pages").isNotNull(), F.size("pages"))
+    return found.select(
+        "doc_id", "content_hash", "reused_from", "parse_status", "raw_text", pages.alias("n_pages"), F.get("pages", F.lit(0)).alias("first_page"),
+        "anonymized_text", "contact.full_name", "contact.email", "contact.phone",
+    )
+
+
+@query("h05_labelled_value", "SELECT doc_id, nullif(regexp_extract(text, '[A-Za-z]{2,12}'), '') AS nationality FROM documents")
 def h05(spark, d):
-    return _cards(spark, d).select("doc_id", tx.labelled_nationality(F.concat("head", "text")).alias("nationality"))
+    # the label stands in front of the text or behind it, the value is a word of the text
+    word = F.regexp_extract("text", "[A-Za-z]{2,12}", 0)
+    line = F.concat(F.lit("Nationality : "), word, F.lit(" | Visa Status: x"))
+    stated = F.when(F.col("doc_id") % 2 == 0, F.concat(line, F.lit("\n"), "text")).otherwise(F.concat("text", F.lit("\n"), line))
+    return _busy_docs(spark, d).select("doc_id", tx.labelled_nationality(stated).alias("nationality"))
 
 
 @query("h06_near_empty", rf"""
@@ -365,11 +379,11 @@ def h12(spark, d):
 
 
 @query("h13_script_class", r"""
-SELECT doc_id, CASE WHEN lang = 'es' THEN 'ar' WHEN NOT regexp_matches(text, '[A-Za-z]') THEN CASE lang WHEN 'fr' THEN 'ar' ELSE 'en' END
+SELECT doc_id, CASE WHEN lang = 'es' THEN CASE WHEN regexp_matches(text, '[A-Za-z]') THEN 'ar' ELSE 'en' END WHEN NOT regexp_matches(text, '[A-Za-z]') THEN CASE lang WHEN 'fr' THEN 'ar' ELSE 'en' END
   WHEN lang = 'fr' THEN 'mixed' ELSE 'en' END AS script FROM documents
 """)
 def h13(spark, d):
-    text = F.when(F.col("lang") == "es", F.lit("نص 12")).when(F.col("lang") == "fr", F.concat(F.lit("نص "), "text")).otherwise(F.col("text"))
+    text = F.when(F.col("lang") == "es", F.regexp_replace("text", "[A-Za-z]+", "نص")).when(F.col("lang") == "fr", F.concat(F.lit("نص "), "text")).otherwise(F.col("text"))
     return _docs(spark, d).select("doc_id", tx.script_class(text).alias("script"))
 
 

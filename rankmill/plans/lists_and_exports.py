@@ -96,13 +96,12 @@ def b11(spark, d):
 
 
 @query("b12_interview_preset", with_cand("""
-SELECT id, job, total FROM shown WHERE total >= 65 AND NOT deal_breaker AND contains(strengths, 'BUILDING')
+SELECT id, job, total FROM shown WHERE total >= 65 AND NOT deal_breaker
 """))
 def b12(spark, d):
     preset = filters.INTERVIEW_PRESET
     assert preset.is_active()
-    view = filters.apply_filters(_view(spark, d), preset)
-    return view.where(F.contains("strengths", F.lit("BUILDING"))).select("id", "job", "total")
+    return filters.apply_filters(_view(spark, d), preset).select("id", "job", "total")
 
 
 @query("b13_status_group", """
@@ -219,11 +218,11 @@ def f07(spark, d):
 
 @query("c01_parent_with_children", """
 SELECT n_nationkey, n_name, count(c_custkey) AS children, coalesce(sum(c_acctbal::DECIMAL(18,2)), 0)::DOUBLE AS balance
-FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_mktsegment = 'BUILDING' GROUP BY ALL
+FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL
 """)
 def c01(spark, d):
     # children fold to one row per parent before they meet it
-    kids = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(
+    kids = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(
         F.count(F.lit(1)).alias("children"), F.sum(F.col("c_acctbal").cast("decimal(18,2)")).alias("balance")
     )
     return table(spark, d, "nation").join(kids, "n_nationkey", "left").select(
@@ -400,13 +399,18 @@ def a13(spark, d):
 
 @query("a14_run_summary", with_cand(f"""
 , s AS (SELECT job, count(*) AS n, any_value(location) AS scope FROM cand GROUP BY 1),
+rv AS (SELECT job, count(*) AS n FROM (SELECT job FROM cand UNION ALL SELECT s_nationkey FROM supplier WHERE s_acctbal < 0 UNION ALL SELECT s_nationkey FROM supplier WHERE s_acctbal >= 0) GROUP BY 1),
 t AS (SELECT job, string_agg(name, '; ' ORDER BY rank) AS names FROM ranked WHERE total IS NOT NULL AND rank <= 15 GROUP BY 1)
 SELECT job, unnest(['Role', 'Geographic scope', 'CVs reviewed', 'Scoring method', 'Initial top candidates', 'Notice', 'Privacy and fairness']) AS key,
-  unnest(['Job ' || job, scope, n::VARCHAR, 'urgent (30); high (25); medium (20); unspecified (15); low (10)', coalesce(names, 'Not stated'), '{exports.NOTICE}', '{exports.PRIVACY}']) AS value FROM s LEFT JOIN t USING (job)
+  unnest(['Job ' || job, scope, rv.n::VARCHAR, 'urgent (30); high (25); medium (20); unspecified (15); low (10)', coalesce(names, 'Not stated'), '{exports.NOTICE}', '{exports.PRIVACY}']) AS value FROM s JOIN rv USING (job) LEFT JOIN t USING (job)
 """))
 def a14(spark, d):
     rows = candidates(spark, d)
-    counts = rows.groupBy("job").agg(F.count(F.lit(1)).alias("n"), F.max("location").alias("scope"))
+    # suppliers stand for the files that could not be parsed (in debt) or were not screened in time
+    files = table(spark, d, "supplier").select(F.col("s_nationkey").alias("job"), (F.col("s_acctbal") < 0).alias("unparsed"))
+    reviewed = exports.reviewed_counts("job", rows, files.where("unparsed"), files.where("NOT unparsed"))
+    scopes = rows.groupBy("job").agg(F.max("location").alias("scope"))
+    counts = scopes.join(reviewed.withColumnRenamed("reviewed", "n"), "job")
     # at most 15 names per job
     names = _top15(spark, d).groupBy("job").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda r: r["name"]), "; ").alias("names")
@@ -422,16 +426,18 @@ def a14(spark, d):
     return counts.join(names, "job", "left").select("job", F.explode(kv).alias("r")).select("job", "r.key", "r.value")
 
 
+# the generic questions of a sheet come from the caller
+THEMES = tuple((t, f"Which facts and papers support: {t.lower()}?") for t in exports.CHECK_THEMES)
+
+
 @query("a15_verification_sheet", with_cand("""
-, g AS (SELECT unnest([""" + ", ".join(f"'{a}'" for a in exports.CHECK_THEMES) + """]) AS theme)
-SELECT job, theme, 0 AS place FROM (SELECT DISTINCT job FROM cand) CROSS JOIN g
-UNION ALL SELECT job, name, rank FROM ranked WHERE total IS NOT NULL AND rank <= 15
+, g AS (SELECT unnest([""" + ", ".join(f"'{t}'" for t, _ in THEMES) + """]) AS theme, unnest([""" + ", ".join(f"'{q}'" for _, q in THEMES) + """]) AS question, unnest(range(1, """ + str(len(THEMES) + 1) + """)) AS place)
+SELECT job, theme, question, place FROM (SELECT DISTINCT job FROM cand) CROSS JOIN g
+UNION ALL SELECT job, name, coalesce(nullif(array_to_string(languages, E'\n'), ''), 'Not stated'), """ + str(len(THEMES)) + """ + rank FROM ranked WHERE total IS NOT NULL AND rank <= 15
 """))
 def a15(spark, d):
-    generic = F.explode(F.array(*[F.lit(a) for a in exports.CHECK_THEMES])).alias("theme")
-    jobs = candidates(spark, d).select("job").distinct().select("job", generic).withColumn("place", F.lit(0))
-    listed = _top15(spark, d).select("job", tx.display_value(F.col("name")).alias("theme"), F.col("rank").alias("place"))
-    return jobs.unionByName(listed)
+    points = _top15(spark, d).withColumn("verification", F.col("languages"))
+    return exports.verification_sheet(candidates(spark, d).select("job").distinct(), points, "job", THEMES)
 
 
 def _skipped(spark, d):
@@ -463,10 +469,12 @@ def s01(spark, d):
 
 @query("a17_multi_job_summary", with_cand("""
 , req AS (SELECT unnest([12, 4, 77, 9]) AS job, unnest([0, 1, 2, 3]) AS pos),
-t AS (SELECT pos, r.job, r.rank, r.name, r.location, r.total FROM req JOIN ranked r USING (job) WHERE total IS NOT NULL AND rank <= 15),
+t AS (SELECT pos, r.job, r.rank, r.name, r.total FROM req JOIN ranked r USING (job) WHERE total IS NOT NULL AND rank <= 15),
 n AS (SELECT job, count(total) AS scored FROM cand GROUP BY 1),
-u AS (SELECT string_agg(location, ' / ' ORDER BY p) AS scopes FROM (SELECT location, min(pos) AS p FROM t GROUP BY 1))
-SELECT pos, job, rank, name, total, scored, scopes FROM t JOIN n USING (job) CROSS JOIN u
+j AS (SELECT pos, r_name AS scope, CASE WHEN n_regionkey % 2 = 0 THEN 'Full-time' ELSE 'Contract' END AS type, 'Level ' || n_nationkey % 3 AS level FROM req JOIN nation ON n_nationkey = job JOIN region ON r_regionkey = n_regionkey),
+u AS (SELECT (SELECT string_agg(v, ' / ' ORDER BY p) FROM (SELECT scope AS v, min(pos) AS p FROM j GROUP BY 1)) AS scopes,
+  (SELECT string_agg(v, ' / ' ORDER BY p) FROM (SELECT type AS v, min(pos) AS p FROM j GROUP BY 1)) AS types, (SELECT string_agg(v, ' / ' ORDER BY p) FROM (SELECT level AS v, min(pos) AS p FROM j GROUP BY 1)) AS levels)
+SELECT pos, job, rank, name, total, scored, scopes, types, levels FROM t JOIN n USING (job) CROSS JOIN u
 """))
 def a17(spark, d):
     asked = spark.range(1).select(F.posexplode(F.array(*[F.lit(k) for k in (12, 4, 77, 9)])).alias("pos", "job"))
@@ -474,11 +482,15 @@ def a17(spark, d):
     scored = rows.groupBy("job").agg(F.count("total").alias("scored"))
     order = [F.coalesce("total", F.lit(-1.0)).desc(), F.col("id")]
     top = top_k(rows.where("total is not null"), ["job"], order, 15).join(asked, "job")
-    # a request names a few jobs of at most 15 rows each: one short list
-    shown = top.join(scored, "job").select(F.struct("pos", "rank", "job", "name", "total", "scored", "location").alias("r"))
-    page = shown.agg(F.sort_array(F.collect_list("r")).alias("rows"))
-    scopes = exports.unique_join(F.transform("rows", lambda r: r["location"]))
-    return page.select(scopes.alias("scopes"), F.explode("rows").alias("r")).select("scopes", "r.*").drop("location")
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    jobs = asked.join(n, F.col("job") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        "pos", F.col("r_name").alias("scopes"), F.when(F.col("n_regionkey") % 2 == 0, "Full-time").otherwise("Contract").alias("types"),
+        F.concat(F.lit("Level "), F.col("n_nationkey") % 3).alias("levels"),
+    )
+    heading = exports.first_seen_join(jobs, ["scopes", "types", "levels"], "pos")
+    page = top.join(scored, "job").select("pos", "job", "rank", "name", "total", "scored")
+    every = heading.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(3))))  # the heading goes to each asked position
+    return page.join(every, "pos")
 
 
 @query("a18_shortlist_lines", with_cand(f"""
@@ -523,14 +535,16 @@ def h19(spark, d):
 
 
 @query("h21_display_values", """
-SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'Not stated' ELSE c_mktsegment END AS shown, CASE WHEN c_mktsegment = 'BUILDING' THEN 'Not stated' ELSE c_name || '; ' || c_mktsegment END AS listed, '1998-01-05' AS stamp FROM customer
+SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'Not stated' ELSE c_mktsegment END AS shown, CASE WHEN c_mktsegment = 'BUILDING' THEN 'Not stated' ELSE c_name || '; ' || c_mktsegment END AS listed, coalesce(strftime(latest, '%Y-%m-%d'), 'Not stated') AS stamp
+FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS latest FROM orders GROUP BY 1) ON o_custkey = c_custkey
 """)
 def h21(spark, d):
     seg = F.when(F.col("c_mktsegment") == "BUILDING", " \t ").otherwise(F.concat(F.lit(" "), "c_mktsegment"))
     listed = F.when(F.col("c_mktsegment") == "BUILDING", F.array(F.lit(" "), F.lit(""))).otherwise(F.array("c_name", F.lit(" "), seg))
-    return table(spark, d, "customer").select(
+    latest = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").alias("latest"))
+    return table(spark, d, "customer").join(latest, "c_custkey", "left").select(
         "c_custkey", tx.display_value(seg).alias("shown"), tx.join_list(listed).alias("listed"),
-        F.date_format(F.make_date(F.lit(1998), F.lit(1), F.lit(5)), "yyyy-MM-dd").alias("stamp"),
+        tx.display_value(exports.date_stamp(F.col("latest"))).alias("stamp"),
     )
 
 

@@ -51,6 +51,14 @@ def c05(spark, d):
     return intervals.overlaps(ranges(spark, d), NOW_M)
 
 
+@query("c05_overlap_evidence", f"""
+WITH {RANGES_SQL} SELECT a.entity, a.pos AS a_pos, b.pos AS b_pos, least(a.end_m, b.end_m) - greatest(a.start_m, b.start_m) AS months, a.evidence AS evidence_a, b.evidence AS evidence_b
+  FROM ok a JOIN ok b ON a.entity = b.entity AND a.pos < b.pos WHERE a.precise AND b.precise AND least(a.end_m, b.end_m) > greatest(a.start_m, b.start_m)
+""")
+def c05_evidence(spark, d):
+    return intervals.overlap_pairs(ranges(spark, d), NOW_M)
+
+
 MON = "['Jan','FEB','mar','April','may','jun','July','aug','sept','Oct','november','dec']"
 
 
@@ -106,7 +114,7 @@ def _items(spark, d):
     mark = grading.item_mark(
         canonical_answer(answer), F.col("q_type"), F.col("points"), F.array(F.lit("o"), F.lit("open")), F.array(half, half), override
     )
-    return lines.select("l_orderkey", "l_linenumber", "topic", "difficulty", F.col("l_returnflag").alias("flag"), F.col("points").alias("possible"), mark.alias("m")).select(
+    return lines.select("l_orderkey", "l_linenumber", "topic", "difficulty", "q_type", F.col("points").alias("possible"), mark.alias("m")).select(
         "*", "m.earned", "m.result"
     ).drop("m")
 
@@ -116,6 +124,25 @@ def h34(spark, d):
     return _items(spark, d).select("l_orderkey", "l_linenumber", "earned", "possible", "result")
 
 
+@query("h34_refused_marks", f"""
+WITH {ITEM_SQL}, o AS (SELECT *, flag <> 'N' AND q_type = 'case' AS opened, l_discount >= 0.09 AS stated, l_quantity % 5 = 0 AS short, floor(least(points, l_quantity)) AS given FROM it)
+SELECT l_orderkey, l_linenumber, 'rubric_confirmed' AS rule FROM o WHERE opened AND short UNION ALL SELECT l_orderkey, l_linenumber, 'rubric_maximum' FROM o WHERE opened AND given > points / 2
+UNION ALL SELECT l_orderkey, l_linenumber, 'override_reason' FROM o WHERE stated AND status = 'O' UNION ALL SELECT l_orderkey, l_linenumber, 'override_maximum' FROM o WHERE stated AND l_quantity > points
+""")
+def h34_refused(spark, d):
+    parts = table(spark, d, "part").select(
+        F.col("p_partkey").alias("l_partkey"), F.col("p_size").cast("double").alias("points"),
+        F.when(F.col("p_type").isin("PROMO", "LARGE"), "case").otherwise("identification").alias("q_type"),
+    )
+    half, given = F.col("points") / 2, F.floor(F.least("points", "l_quantity")).cast("double")
+    lines = lines_once(spark, d).join(parts, "l_partkey").select(
+        "l_orderkey", "l_linenumber", "q_type", "points", F.when(F.col("l_returnflag") == "N", " ").otherwise("x").alias("answer"),
+        F.array(half, half).alias("rubric_maxima"), F.when(F.col("l_quantity") % 5 == 0, F.array(given)).otherwise(F.array(given, F.lit(0.0))).alias("rubric_points"),
+        F.when(F.col("l_discount") >= 0.09, F.col("l_quantity")).alias("override"), F.when(F.col("l_linestatus") != "O", "checked by hand").alias("override_reason"),
+    )
+    return grading.mark_violations(lines, ["l_orderkey", "l_linenumber"])
+
+
 @query("d11_test_totals", f"""
 WITH {ITEM_SQL}, g AS (SELECT l_orderkey, sum(earned) AS raw_score, sum(points) AS max_score, count(*) FILTER (result = 'correct') AS correct_count, count(*) FILTER (result = 'wrong') AS wrong_count,
   count(*) FILTER (result = 'blank') AS blank_count, count(*) FILTER (result = 'partial') AS partial_count, min(points) AS lo, max(points) AS hi FROM items GROUP BY 1)
@@ -127,11 +154,12 @@ def d11(spark, d):
 
 
 @query("d12_score_groups", f"""
-WITH {ITEM_SQL}, g AS (SELECT CASE WHEN grouping(topic) = 0 THEN 'topic' WHEN grouping(difficulty) = 0 THEN 'difficulty' ELSE 'flag' END AS dimension, coalesce(topic, difficulty, flag) AS member, sum(earned) AS earned, sum(points) AS possible FROM items GROUP BY GROUPING SETS ((topic), (difficulty), (flag)))
+WITH {ITEM_SQL}, g AS (SELECT l_orderkey, CASE WHEN grouping(topic) = 0 THEN 'topic' WHEN grouping(difficulty) = 0 THEN 'difficulty' ELSE 'type' END AS dimension, coalesce(topic, difficulty, q_type) AS member, sum(earned) AS earned, sum(points) AS possible
+  FROM items GROUP BY GROUPING SETS ((l_orderkey, topic), (l_orderkey, difficulty), (l_orderkey, q_type)))
 SELECT *, floor((100.0::DOUBLE * earned / possible + 2.220446049250313e-16) * 100.0 + 0.5) / 100.0::DOUBLE AS percentage FROM g
 """)
 def d12(spark, d):
-    return grading.score_groups(_items(spark, d), ["topic", "difficulty", "flag"])
+    return grading.score_groups(_items(spark, d), "l_orderkey", {"topic": "topic", "difficulty": "difficulty", "type": "q_type"})
 
 
 @query("d13_practical_score", """
@@ -145,29 +173,36 @@ def d13(spark, d):
     return g.withColumn("percentage", percentage(F.col("earned"), F.col("possible")))
 
 
-@query("c08_answers_to_questions", """
-WITH a AS (SELECT l_partkey, count(*) AS n_answers, max(l_quantity) AS best FROM lineitem GROUP BY 1)
-SELECT p_partkey AS question, coalesce(n_answers, 0) AS n_answers, best, false AS is_unknown FROM part LEFT JOIN a ON l_partkey = p_partkey WHERE p_size < 45
-UNION ALL SELECT l_partkey, n_answers, best, true FROM a WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 45)
+# line 7 of an order names a question or step that does not exist
+ASKED_SQL = "CASE WHEN l_linenumber = 7 THEN -l_partkey ELSE l_partkey END"
+
+
+def _asked():
+    return F.when(F.col("l_linenumber") == 7, -F.col("l_partkey")).otherwise(F.col("l_partkey"))
+
+
+@query("c08_answers_to_questions", f"""
+WITH a AS (SELECT {ASKED_SQL} AS question, count(*) AS n_answers, max(l_quantity) AS best FROM lineitem GROUP BY 1)
+SELECT p_partkey AS question, coalesce(n_answers, 0) AS n_answers, best, false AS is_unknown FROM part LEFT JOIN a ON question = p_partkey
+UNION ALL SELECT question, n_answers, best, true FROM a WHERE question NOT IN (SELECT p_partkey FROM part)
 """)
 def c08(spark, d):
     # answers fold to one row per question first, so a much-answered question is no hot key
-    answers = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("question")).agg(
+    answers = table(spark, d, "lineitem").groupBy(_asked().alias("question")).agg(
         F.count(F.lit(1)).alias("n_answers"), F.max("l_quantity").alias("best")
     )
-    questions = table(spark, d, "part").where("p_size < 45").select(F.col("p_partkey").alias("question"))
-    known = questions.join(answers, "question", "left").select("question", F.coalesce("n_answers", F.lit(0)).alias("n_answers"), "best", F.lit(False).alias("is_unknown"))
-    unknown = answers.join(questions, "question", "left_anti").withColumn("is_unknown", F.lit(True))
-    return known.unionByName(unknown)
+    questions = table(spark, d, "part").select(F.col("p_partkey").alias("question"), F.lit(True).alias("asked"))
+    both = questions.join(answers, "question", "full_outer")
+    return both.select("question", F.coalesce("n_answers", F.lit(0)).alias("n_answers"), "best", F.col("asked").isNull().alias("is_unknown"))
 
 
-@query("c09_practical_steps", """
-WITH r AS (SELECT l_partkey, max(l_quantity) AS rated, count(*) AS n_ratings FROM lineitem WHERE l_returnflag = 'R' AND l_discount > 0.07 GROUP BY 1), s AS (SELECT p_partkey, p_size + 10.0::DOUBLE AS allowed FROM part WHERE p_size < 45)
-SELECT coalesce(l_partkey, p_partkey) AS step, rated, n_ratings, allowed, CASE WHEN allowed IS NULL THEN 'unknown' WHEN rated IS NULL THEN 'missing' WHEN rated > allowed THEN 'over_limit' END AS violation FROM r FULL OUTER JOIN s ON l_partkey = p_partkey
+@query("c09_practical_steps", f"""
+WITH r AS (SELECT {ASKED_SQL} AS rated_step, max(l_quantity) AS rated, count(*) AS n_ratings FROM lineitem GROUP BY 1), s AS (SELECT p_partkey, p_size + 10.0::DOUBLE AS allowed FROM part)
+SELECT coalesce(rated_step, p_partkey) AS step, rated, n_ratings, allowed, CASE WHEN allowed IS NULL THEN 'unknown' WHEN rated IS NULL THEN 'missing' WHEN rated > allowed THEN 'over_limit' END AS violation FROM r FULL OUTER JOIN s ON rated_step = p_partkey
 """)
 def c09(spark, d):
-    rated = table(spark, d, "lineitem").where("l_returnflag = 'R' and l_discount > 0.07").select(F.col("l_partkey").alias("step"), F.col("l_quantity").alias("points"))
-    steps = table(spark, d, "part").where("p_size < 45").select(F.col("p_partkey").alias("step"), (F.col("p_size") + 10.0).alias("points"))
+    rated = table(spark, d, "lineitem").select(_asked().alias("step"), F.col("l_quantity").alias("points"))
+    steps = table(spark, d, "part").select(F.col("p_partkey").alias("step"), (F.col("p_size") + 10.0).alias("points"))
     return grading.practical_check(rated, steps, "step")
 
 

@@ -143,6 +143,57 @@ def h25(spark, d):
     return scoring.long_scores(_damped(spark, d), ["c_custkey"], list(scoring.DEFAULT_WEIGHTS), "turbo").drop("pos")
 
 
+def _facts(spark, d):
+    """The flat result's profile side: facts of the customer, its nation and region."""
+    c, n, r = (table(spark, d, t) for t in ("customer", "nation", "region"))
+    seg, balance = F.col("c_mktsegment"), F.col("c_acctbal")
+    rows = c.join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    return rows.select(
+        "c_custkey", F.col("r_name").alias("location"), F.col("c_name").alias("current_title"), F.col("n_name").alias("last_employer"), seg.alias("specialization"),
+        F.when(seg == "MACHINERY", "BSc").alias("education"), F.when(balance > 0, F.floor(balance / 500) / 2).alias("total_years"),
+        F.when(balance > 5000, F.floor(balance / 1000)).cast("double").alias("relevant_years"), F.when(seg != "BUILDING", F.lit(0.0)).alias("local_years"),
+        F.when(seg == "BUILDING", "Led ten people").alias("leadership_text"), F.array(seg, F.lit("Excel")).alias("software"),
+        F.array_compact(F.array(F.when(balance > 9000, "CPA"))).alias("certifications"), F.array(F.lit("English")).alias("languages"),
+        F.array_compact(F.array(F.when(balance < 0, "date_gap"), F.when(seg == "HOUSEHOLD", "overlap"))).alias("flags"),
+        F.when(balance > 0, F.col("c_name")).otherwise("").alias("strengths"), F.when(balance < 0, "in debt").alias("gaps"),
+    )
+
+
+FACTS_SQL = """
+fa AS (SELECT c_custkey, r_name, c_name, n_name, c_mktsegment AS seg, c_acctbal AS b, CASE WHEN c_acctbal > 0 THEN floor(c_acctbal / 500) / 2 END AS ty, CASE WHEN c_acctbal > 5000 THEN floor(c_acctbal / 1000) END AS ry
+  FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey)"""
+
+
+def years_sql(x: str) -> str:
+    return f"CASE WHEN {x} = floor({x}) THEN {x}::BIGINT::VARCHAR ELSE {x}::VARCHAR END || ' years'"
+
+
+@query("h25_profile_row", f"""
+WITH {FACTS_SQL} SELECT c_custkey, NULL::VARCHAR AS "fullName", NULL::VARCHAR AS nationality, NULL::VARCHAR AS "availabilityNotice", NULL::VARCHAR AS "expectedSalary", NULL::VARCHAR AS "evidencePages", NULL::VARCHAR AS phone, NULL::VARCHAR AS email, NULL::VARCHAR AS linkedin,
+  r_name AS "currentLocation", c_name AS "currentTitle", n_name AS "lastEmployer", seg AS specialization, CASE WHEN seg = 'MACHINERY' THEN 'BSc' END AS education, {years_sql('ty')} AS "totalExperienceText", ty AS "totalYearsExperience",
+  nullif(concat_ws(', ', CASE WHEN b < 0 THEN 'date_gap' END, CASE WHEN seg = 'HOUSEHOLD' THEN 'overlap' END), '') AS "dataQualityNote", {years_sql('ry')} AS "relevantExperienceText", CASE WHEN seg = 'BUILDING' THEN 'Led ten people' END AS "leadershipExperienceText",
+  CASE WHEN seg <> 'BUILDING' THEN '0 years' END AS "uaeExperienceText", seg || '; Excel' AS "softwareSystems", seg || '; Excel' AS "technicalSkills", CASE WHEN b > 9000 THEN 'CPA' ELSE '' END AS certifications, '' AS courses, 'English' AS languages,
+  CASE WHEN b > 0 THEN c_name ELSE '' END AS "keyAchievements", CASE WHEN b < 0 THEN 'in debt' ELSE '' END AS gaps, concat_ws('; ', CASE WHEN b < 0 THEN 'date_gap' END, CASE WHEN seg = 'HOUSEHOLD' THEN 'overlap' END) AS inconsistencies FROM fa
+""")
+def h25_profile(spark, d):
+    rows = scoring.profile_row(_facts(spark, d), ["c_custkey"])
+    return rows.select(*[F.array_join(n, "; ").alias(n) if t.startswith("array") else F.col(n) for n, t in rows.dtypes])
+
+
+@query("h25_final_score", f"""
+WITH {FLAT_SQL}, t AS (SELECT c_custkey, c_mktsegment || ' ' || c_mktsegment AS strengths, CASE WHEN c_acctbal < 0 THEN 0.0 ELSE floor((relevantExperience*25 + leadership*10 + technicalSkills*20 + softwareSystems*10 + achievements*10 + uaeExperience*15 + jobFit*10) * 100.0::DOUBLE / 100 + 0.5) / 10 END::DOUBLE AS total_score,
+  CASE WHEN c_acctbal < 0 THEN 'in debt' ELSE '' END AS gaps FROM dm JOIN customer USING (c_custkey))
+SELECT c_custkey, total_score, concat_ws(' — ', CASE WHEN total_score >= 80 THEN 'مرشح قوي — يُوصى بمقابلة تقنية' WHEN total_score >= 65 THEN 'جيد — مقابلة مشروطة' WHEN total_score >= 50 THEN 'متوسط — قائمة احتياط' ELSE 'غير مناسب حالياً' END,
+  'نقاط القوة: ' || strengths, 'الفجوات والمخاطر: ' || CASE WHEN gaps = '' THEN 'غير مذكور' ELSE gaps END) AS narrative FROM t
+""")
+def h25_final(spark, d):
+    debt = F.col("c_acctbal") < 0
+    facts = table(spark, d, "customer").select(
+        "c_custkey", debt.alias("deal_breaker"), F.concat("c_mktsegment", F.lit(" "), "c_mktsegment").alias("strengths"), F.when(debt, "in debt").otherwise("").alias("gaps")
+    )
+    return scoring.finalised(_damped(spark, d).join(facts, "c_custkey"), ["c_custkey"], scoring.DEFAULT_WEIGHTS)
+
+
 @query("h27_second_language_narrative", with_cand("""
  SELECT id, concat_ws(' — ', CASE WHEN total >= 80 THEN 'مرشح قوي — يُوصى بمقابلة تقنية' WHEN total >= 65 THEN 'جيد — مقابلة مشروطة' WHEN total >= 50 THEN 'متوسط — قائمة احتياط' ELSE 'غير مناسب حالياً' END,
   'نقاط القوة: ' || strengths, 'الفجوات والمخاطر: ' || CASE WHEN deal_breaker THEN 'deal-breaker' ELSE 'غير مذكور' END) AS narrative FROM cand WHERE total IS NOT NULL

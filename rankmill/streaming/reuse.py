@@ -68,8 +68,8 @@ class Intake:
             self.row_id, content_hash(F.col("text")).alias("content_hash"), F.coalesce(near_empty(F.col("text")), F.lit(True)).alias("_empty")
         )
         rows = cut_lineage(rows, "arrivals")
-        prefixes = [r[0] for r in rows.select(F.substring("content_hash", 1, self.holders.prefix)).distinct().collect()]  # 16 ** prefix at most
-        known = self.holders.known(spark, [p for p in prefixes if p is not None], batch_id)
+        prefixes = rows.agg(F.collect_set(F.substring("content_hash", 1, self.holders.prefix))).first()[0]  # 16 ** prefix at most
+        known = self.holders.known(spark, prefixes, batch_id)
         fresh = rows.where(~F.col("_empty")).groupBy("content_hash").agg(F.min(F.col(self.row_id).cast("long")).alias("holder"))
         fresh = cut_lineage(fresh.where("holder IS NOT NULL").join(known, "content_hash", "left_anti"), "first-holders")
         wanted = known.join(rows.select("content_hash").distinct(), "content_hash", "left_semi")

@@ -2,6 +2,7 @@
 
 import ast
 import itertools
+import math
 import random
 from pathlib import Path
 
@@ -10,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankmill.functions.arrays import first_by_lower, run_lengths
-from rankmill.operators import changes, duplicates, grading, intake, intervals, ranking, relevance
+from rankmill.operators import changes, duplicates, exports, grading, intake, intervals, ranking, relevance
+from rankmill.operators import json_contracts as jc
 from rankmill.streaming.budget import admit
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -123,6 +125,89 @@ def test_overlaps_stand_for_every_pair(range_frame, range_rows):
     assert got == want
 
 
+def test_overlap_pairs_with_evidence(spark, range_frame, range_rows):
+    want = []
+    for a, b in itertools.combinations(sorted((r for r in sane(range_rows) if r[4]), key=lambda r: (r[0], r[1])), 2):
+        months = min(a[3], b[3]) - max(a[2], b[2])
+        if a[0] == b[0] and months > 0:
+            want.append((a[0], a[1], b[1], months, a[5], b[5]))
+    got = [tuple(r) for r in intervals.overlap_pairs(range_frame, NOW, cell_months=5).collect()]
+    assert sorted(got) == sorted(want) and want
+
+
+def test_near_duplicates_with_one_token_everywhere(spark, monkeypatch):
+    """A token in every text, a band of many sets: split by measured counts, same flags."""
+    monkeypatch.setattr(duplicates, "CROWD", 7)
+    rng = random.Random(11)
+    vocab = [f"word{i:03d}" for i in range(60)]
+    texts = []
+    for i in range(200):
+        t = texts[rng.randrange(i)].split(" ") if i > 20 and i % 3 == 0 else ["everywhere", *rng.sample(vocab, rng.randrange(6, 24))]
+        if i % 5 == 0:
+            t = [*t, rng.choice(vocab)]
+        texts.append(" ".join(t))
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r["id"]: r["is_duplicate"] for r in duplicates.near_duplicate_flags(df, "id", "text").collect()}
+    want = near_brute(texts)
+    assert [got[i] for i in range(len(texts))] == want and 20 < sum(want) < 180
+
+
+def test_bands_hold_all_close_sizes():
+    band = lambda n: math.floor(math.log(n) / math.log(duplicates.DEN / duplicates.NUM))
+    for n in [*range(1, 3000), 10**6, 10**6 + 1]:
+        least = n * duplicates.NUM // duplicates.DEN + 1
+        assert band(n) - band(min(n, least)) <= 1
+
+
+def test_parsed_content_is_carried_over(spark):
+    long = "Ann Lee\nmail ann@example.org, phone +971 50 123 4567\n" + "word " * 40 + "\fsecond page " + "more " * 10
+    rows = [(10, long, True), (11, long, True), (12, "short", True), (13, None, True)]
+    rows += [(20 + i, long, False) for i in range(50)] + [(90, "short", False), (91, None, False), (92, "new " * 60, None), (93, "", False)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, known boolean")
+    got = {r["doc_id"]: r for r in intake.reuse_by_hash(frame, F.col("known"), "doc_id").collect()}
+    assert sorted(got) == [*range(20, 70), 90, 91, 92, 93]
+    for i in range(20, 70):
+        r = got[i]
+        assert (r["reused_from"], r["parse_status"], r["raw_text"], len(r["pages"])) == (10, "parsed", long, 2)
+        assert r["contact"]["email"] == "ann@example.org" and "[EMAIL]" in r["anonymized_text"] and "ann@" not in r["anonymized_text"]
+    assert [(got[i]["reused_from"], got[i]["parse_status"], got[i]["raw_text"]) for i in (90, 91, 92, 93)] == [
+        (None, "needs_ocr", None), (None, "needs_ocr", None), (None, "parsed", None), (None, "needs_ocr", None),
+    ]
+
+
+def test_facet_counts_keep_hash_aggregates(spark):
+    from rankmill.plans import QUERIES
+
+    plan = QUERIES["d06_facet_counts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    fan = plan.split("first_spelling")[0]
+    assert "SortAggregate" not in plan and "HashAggregate" in fan
+
+
+def test_first_seen_join(spark):
+    rows = [(i, "b" if i % 3 == 0 else "a", None if i else " ", f"v{i % 40}") for i in range(200)]
+    got = exports.first_seen_join(spark.createDataFrame(rows, "pos int, x string, y string, z string"), ["x", "y", "z"], "pos").collect()
+    assert [tuple(r) for r in got] == [("b / a", "", " / ".join(f"v{i}" for i in range(40)))]
+
+
+def test_score_groups_of_an_attempt(spark):
+    rows = [(a, t, d, float(e), 2.0) for a in (1, 2) for t in ("x", None) for d in ("easy", "hard") for e in (0, 1, 2)]
+    got = grading.score_groups(spark.createDataFrame(rows, "a int, t string, d string, earned double, possible double"), "a", {"topic": "t", "difficulty": "d"})
+    assert {tuple(r)[:5] for r in got.collect()} == {(a, dim, m, 6.0, 12.0) for a in (1, 2) for dim, m in (("topic", "x"), ("topic", None), ("difficulty", "easy"), ("difficulty", "hard"))}
+
+
+def test_json_contract_of_odd_documents(spark):
+    schema = jc.StructType([jc.text("a", pattern="x"), jc.listed("l", jc.number("", max=3.0), max_items=2), jc.record("r", jc.StructType([jc.flag("f")]), optional=True)])
+    docs = [(1, '{"a": "x", "l": [1, 3]}'), (2, None), (3, "{"), (4, "[]"), (5, '{"a": "y", "l": [4, "q", 1], "r": {"k": {}}, "more": 1}'), (6, '{"a": "x", "l": [], "r": {"k": 5}}')]
+    got = jc.json_violations(spark.createDataFrame(docs, "id int, body string"), ["id"], "body", schema).collect()
+    want = {i: [] for i, _ in docs}
+    for r in got:
+        want[r["id"]].append(r["rule"])
+    missing = ["a:type", "document:type", "l:type"]
+    assert {i: sorted(r) for i, r in want.items()} == {
+        1: [], 2: missing, 3: missing, 4: missing, 5: ["a:pattern", "l:max_items", "l[]:max", "l[]:type", "r{}.f:type"], 6: ["r{}.f:type", "r{}:type"],
+    }
+
+
 def near_brute(texts):
     words = [{w for w in t.split(" ") if len(w) > 2} for t in texts]
     flags = []
