@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankmill.llm.tokens import TextTokenizer
+from rankmill.llm.tokens import worker_tokenizer
 
 TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 16 * 2048
@@ -161,11 +161,12 @@ def pack(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = TextTokenizer(tokenizer), end_id.to_bytes(4, "little")
+        encoder, end = worker_tokenizer(tokenizer), end_id.to_bytes(4, "little")
         packer = Packer(TaskContext.get().partitionId(), tiers, step_tokens)
         for batch in batches:
-            for doc_id, text in zip(batch["doc"], batch["text"], strict=True):
-                packer.add(doc_id.as_py(), encoder.encode(text.as_py()) + end)
+            texts = (text.as_py() for text in batch["text"])
+            for doc_id, ids in zip(batch["doc"].to_pylist(), encoder.encode_all(texts), strict=True):
+                packer.add(doc_id, ids + end)
                 if packer.tokens >= BUFFER:
                     yield packer.flush(False)
         yield packer.flush(True)
