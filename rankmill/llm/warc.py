@@ -27,9 +27,11 @@ from rankmill.session import cut_lineage, shared_folder
 
 CHUNK = 1 << 20
 ARCHIVE_BYTES = 256 << 20  # payload bytes after which a new archive begins
+READ_BYTES = 64 << 20  # packed bytes that one task reads
 WARC_DATE = "2020-01-01T00:00:00Z"  # fixed value: record date, so that equal input gives equal archives
 BREAK = b"\r\n"
 FILES = "archive string, records long"
+RECORDS = ("page_id", "url", "payload", "size", "digest", "first")
 INDEX = "archive string, number long, offset long, length long, record_id string, record_type string"
 RECORD = (
     "page_id long, target_uri string, record_type string, payload_digest string, payload_bytes long, refers_to long, "
@@ -50,10 +52,10 @@ def record_id(page_id: int | None) -> str | None:
     return None if page_id is None else f"<urn:page:{page_id}>"
 
 
-def make_record(page_id: int | None, url: str | None, payload: bytes, digest: str, first: int | None) -> bytes:
-    """A response record, or a revisit (headers only) of the record of page ``first``."""
-    http = _head([("Content-Type", "text/html; charset=utf-8"), ("Content-Length", len(payload))], "HTTP/1.1 200 OK")
-    block = http if first is not None else http + payload
+def make_record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, first: int | None) -> bytes:
+    """A response record, or a revisit (headers only, no payload needed) of the record of page ``first``."""
+    http = _head([("Content-Type", "text/html; charset=utf-8"), ("Content-Length", size)], "HTTP/1.1 200 OK")
+    block = http if first is not None else http + (payload or b"")
     return (
         _head(
             [
@@ -90,39 +92,45 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def with_revisits(pages: DataFrame, min_bytes: int, id_col: str, url_col: str, text_col: str) -> DataFrame:
-    """(page_id, url, payload, digest, first): ``first`` is the smallest page with the same payload, null for that page itself.
+    """(page_id, url, payload, size, digest, first): ``first`` is the smallest page with the same payload, null for that page itself.
 
-    Payloads below ``min_bytes`` and rows without an id are responses. Only ids and digests are shuffled to find the
-    first pages; the digest's aggregate combines before its shuffle, so a payload of a third of all pages is one row per task.
+    Payloads below ``min_bytes`` and rows without an id are responses. First pages are found from ids and digests alone; the digest's
+    aggregate combines before its shuffle, so a payload of a third of all pages is one row per task. Only responses carry their
+    payload, and they meet their digest by (digest, id): copies never gather in one task.
     """
     payload = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     given = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"),
-        F.sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("size"),
+        F.octet_length(payload).cast("long").alias("size"), F.sha1(payload).alias("digest"),
     )
-    long = given.where((F.col("size") >= min_bytes) & F.col("page_id").isNotNull())
-    firsts = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
+    alone = (F.col("size") < min_bytes) | F.col("page_id").isNull()
+    headers = cut_lineage(given.where(~alone).select("page_id", "url", "size", "digest"), "headers")
+    firsts = headers.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
+    none = F.lit(None)
+    own = firsts.select(F.col("first").alias("page_id"), "digest")
+    responses = given.where(~alone).join(own, ["page_id", "digest"], "left_semi").unionByName(given.where(alone))
     repeated = firsts.where("first != last").select("digest", "first")
-    first = F.when((F.col("size") >= min_bytes) & (F.col("page_id") != F.col("first")), F.col("first"))
-    return given.join(repeated, "digest", "left").select("page_id", "url", "payload", first.alias("first"))
+    revisits = headers.join(repeated, "digest").where("page_id != first").withColumn("payload", none.cast("binary"))
+    columns = ["page_id", "url", "payload", "size", "digest", "first"]
+    return responses.withColumn("first", none.cast("long")).select(columns).unionByName(revisits.select(columns))
 
 
 def write_archives(records: DataFrame, folder: str) -> DataFrame:
-    """Records of (page_id, url, payload, first) into archives of one gzip stream each; (archive, records) of the finished ones."""
+    """Records of ``with_revisits`` into archives of one gzip stream each; (archive, records) of the finished ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = path = stream = None
         count = size = 0
         for batch in batches:
-            for page_id, url, payload, first in zip(*(batch[c] for c in ("page_id", "url", "payload", "first")), strict=True):
+            for page_id, url, payload, length, digest, first in zip(*(batch[c] for c in RECORDS), strict=True):
                 if out is None:
                     path = f"{folder}/{uuid.uuid4().hex}.warc.gz"
                     system, name = _place(path)
                     system.create_dir(name.rpartition("/")[0], recursive=True)
                     out, stream, count, size = system.open_output_stream(name, compression=None), zlib.compressobj(6, zlib.DEFLATED, 31), 0, 0
-                body = payload.as_py()
-                out.write(stream.compress(make_record(page_id.as_py(), url.as_py(), body, base32_sha1(body), first.as_py())))
-                count, size = count + 1, size + len(body)
+                body, digest32 = payload.as_py(), base64.b32encode(bytes.fromhex(digest.as_py())).decode()
+                out.write(stream.compress(make_record(page_id.as_py(), url.as_py(), body, length.as_py(), digest32, first.as_py())))
+                count, size = count + 1, size + len(body or b"")
                 if size >= ARCHIVE_BYTES:
                     out.write(stream.flush())
                     out.close()
@@ -204,7 +212,8 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                             rows = []
                 yield _batch(rows, INDEX)
 
-    one_each = archives.select("archive").repartition("archive")
+    # as many tasks as archives; the number is given, so adaptive execution does not fold these tiny rows into one task
+    one_each = archives.select("archive").repartitionByRange(max(1, archives.count()), "archive")
     return cut_lineage(one_each.mapInArrow(run, INDEX), "index")
 
 
@@ -249,7 +258,10 @@ def read_records(index: DataFrame) -> DataFrame:
         if source is not None:
             source.close()
 
-    ranged = index.repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    # index rows are small and stand for many bytes: tasks by the bytes, and no fewer than archives
+    size = index.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.count_distinct("archive").alias("archives")).first()
+    tasks = max(1, size["archives"], -(-size["bytes"] // READ_BYTES))
+    ranged = index.repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset")
     return ranged.mapInArrow(run, RECORD)
 
 
