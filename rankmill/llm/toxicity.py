@@ -1,12 +1,12 @@
 """Toxicity by weak supervision.
 
-Voters are lexicon terms (words, and stems of four to seven letters, by count) and text patterns
-(shouting, exclamation runs, repeated words, very short and long texts). Which terms vote is chosen from the labelled sample. A
-generative label model then explains the votes: each voter fires with one probability on toxic
-texts and with another on clean ones; expectation maximisation estimates these, and the correlation left
+Voters are lexicon terms (words, and stems of four to seven letters, by count), a voter for texts in which no
+term votes, and text patterns (shouting, exclamation runs, repeated words, very short and long texts). Labels have one use: the terms
+that vote are those that stand almost only in texts labelled toxic. From there on the votes decide. A generative label model
+explains them: each voter fires with one probability on toxic texts and with another on clean ones; expectation
+maximisation starts at the share of votes and estimates both, and the correlation that is left
 between voters given the class reduces the weight of voters that repeat one another. The posterior
-of that model, not the label itself, trains a logistic regression over term presence and patterns, which
-scores every text.
+of that model trains a logistic regression over term presence and patterns, which scores every text.
 
 The sample has at most ``SAMPLE`` labelled documents (a bounded, documented sample; its ids are
 the only rows broadcast). Everything else is one pass over the scan in Arrow batches, without a shuffle.
@@ -28,10 +28,10 @@ from rankmill.llm.sampling import is_held_out, labelled_sample
 from rankmill.session import cut_lineage
 
 SAMPLE = 12_000  # labelled documents fitted on
-VOTERS = 96  # lexicon voters
+VOTERS = 192  # lexicon voters
+PRECISION, SUPPORT = 0.8, 5  # of a voter: share of toxic texts among those that hold it, and how many do
 TERMS = 768  # terms of the linear classifier
 STEMS = (4, 5, 6, 7)
-GIVEN = 0.95  # how far a label is trusted beside the voters
 THRESHOLD = 0.3
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -68,40 +68,45 @@ def patterns_of(text: str | None) -> list[bool]:
     ]
 
 
+def all_votes(lexicon: np.ndarray, marked: np.ndarray) -> np.ndarray:
+    """Lexicon votes, the vote of silence (no term votes), and pattern votes."""
+    return np.hstack([lexicon, (lexicon.sum(axis=1) == 0)[:, None], marked])
+
+
 class LabelModel:
-    """Two-class generative model of voters that fire or abstain, by expectation maximisation.
+    """Two-class generative model of voters that fire or abstain, by expectation maximisation on the votes alone.
 
-    A voter that abstains says nothing. The given label is one more voter, of fixed accuracy ``GIVEN``.
+    A voter that abstains says nothing; the first ``lexicon`` voters speak for the toxic class at the start.
     """
 
-    def fit(self, votes: np.ndarray, given: np.ndarray, rounds: int = 25) -> LabelModel:
-        post = np.where(given == 1, GIVEN, 1 - GIVEN)
+    def fit(self, votes: np.ndarray, lexicon: int, rounds: int = 60) -> LabelModel:
+        spoken = votes[:, :lexicon].sum(axis=1)
+        post = 0.01 + 0.98 * spoken / (spoken + 0.25)
         for _ in range(rounds):
             self.prior = float(np.clip(post.mean(), 1e-4, 1 - 1e-4))
             on, off = post.sum(), (1 - post).sum()
             fire = np.stack([(votes.T @ (1 - post) + 0.5) / (off + 1), (votes.T @ post + 0.5) / (on + 1)])
-            self.fire = np.clip(fire, 1e-6, 1 - 1e-6)
+            self.fire = np.clip(fire, 1e-4, 1 - 1e-4)
             self.weight = self._independence(votes, post)
-            new = self.posterior(votes, given)
+            new = self.posterior(votes)
             if np.abs(new - post).max() < 1e-6:
                 break
             post = new
         return self
 
     def _independence(self, votes: np.ndarray, post: np.ndarray) -> np.ndarray:
-        """1 / (1 + squared correlations with the other voters, given the class)."""
+        """1 / (1 + squared positive correlations with the other voters, given the class)."""
         total = np.zeros((votes.shape[1],) * 2)
         for c, p in enumerate((1 - post, post)):
             centred = (votes - self.fire[c]) * np.sqrt(p)[:, None]
             total += centred.T @ centred
         scale = np.sqrt(np.maximum(np.diag(total), 1e-9))
-        r = total / scale[:, None] / scale
+        r = np.maximum(total / scale[:, None] / scale, 0)
         np.fill_diagonal(r, 0)
         return 1 / (1 + (r * r).sum(axis=1))
 
-    def posterior(self, votes: np.ndarray, given: np.ndarray) -> np.ndarray:
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
         score = math.log(self.prior / (1 - self.prior)) + votes @ (self.weight * np.log(self.fire[1] / self.fire[0]))
-        score = score + np.where(given == 1, 1, -1) * math.log(GIVEN / (1 - GIVEN))
         return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
 
 
@@ -122,21 +127,22 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
 
 
-def fit(lexicon: list[str], has: list[list[str]], marks: list[list[bool]], y: np.ndarray) -> Scorer:
-    """Label model over the first ``VOTERS`` terms and the patterns, then the classifier on its posterior.
+def constant(share: float) -> Scorer:
+    """Where there is nothing to tell apart every text scores the share of toxic rows."""
+    p = min(max(share, 1e-3), 1 - 1e-3)
+    return Scorer([], np.zeros(len(patterns_of(""))), math.log(p / (1 - p)))
 
-    Without both classes there is nothing to tell apart: every text scores the share of toxic rows.
-    """
-    if not len(y) or y.min() == y.max():
-        p = min(max(float(y.mean()) if len(y) else 0.0, 1e-3), 1 - 1e-3)
-        return Scorer([], np.zeros(len(patterns_of(""))), math.log(p / (1 - p)))
-    marked = np.array(marks, float).reshape(len(y), -1)
+
+def fit(voters: list[str], others: list[str], has: list[list[str]], marks: list[list[bool]]) -> Scorer:
+    """Label model over the voters and the patterns, then the classifier over all terms on its posterior; no labels."""
+    lexicon = [*voters, *others]
+    marked = np.array(marks, float).reshape(len(has), -1)
     place = {t: i for i, t in enumerate(lexicon)}
-    x = np.zeros((len(y), len(lexicon)))
+    x = np.zeros((len(has), len(lexicon)))
     for row, terms in enumerate(has):
         x[row, [place[t] for t in terms]] = 1
-    votes = np.hstack([x[:, :VOTERS], marked])
-    post = LabelModel().fit(votes, y).posterior(votes, y)
+    votes = all_votes(x[:, : len(voters)], marked)
+    post = LabelModel().fit(votes, len(voters)).posterior(votes)
     weights, bias = _logistic(np.hstack([x, marked]), post)
     return Scorer(lexicon, weights, bias)
 
@@ -180,16 +186,20 @@ def fit_on(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     counts = rows.select("y", F.explode("terms").alias("term")).groupBy("term").agg(
         F.sum("y").alias("k1"), F.sum(1 - F.col("y")).alias("k0")
     )
-    odds = F.log((F.col("k1") + 0.5) / (n1 + 1)) - F.log((F.col("k0") + 0.5) / (n0 + 1))
-    best = counts.where("k1 >= 3").withColumn("odds", odds).where("odds > 1.5")
-    lexicon = [r["term"] for r in best.orderBy((-F.col("odds") * F.col("k1")), "term").limit(TERMS).collect()]
-    known = F.array(*map(F.lit, lexicon)).cast("array<string>")
-    small = rows.select("doc", F.array_intersect("terms", known).alias("terms"), "marks", "y")
+    k1, k0 = F.col("k1"), F.col("k0")
+    odds = F.log((k1 + 0.5) / (n1 + 1)) - F.log((k0 + 0.5) / (n0 + 1))
+    precise = (k1 >= SUPPORT) & ((k1 + 0.5) / (k1 + k0 + 1) >= PRECISION)
+    kept = counts.where("k1 >= 3").withColumn("odds", odds).where("odds > 1.5")
+    best = cut_lineage(kept.withColumn("precise", precise), "lexicon")
+    voters = [r["term"] for r in best.where("precise").orderBy(F.desc("k1"), "term").limit(VOTERS).collect()]
+    if not voters or not n0:
+        return constant(n1 / (n1 + n0) if n1 + n0 else 0.0)
+    rest = best.where(~F.col("term").isin(voters)).orderBy((-F.col("odds") * F.col("k1")), "term").limit(TERMS - len(voters))
+    others = [r["term"] for r in rest.collect()]
+    known = F.array(*map(F.lit, [*voters, *others])).cast("array<string>")
+    small = rows.select("doc", F.array_intersect("terms", known).alias("terms"), "marks")
     sample_rows = sorted(small.toLocalIterator(), key=lambda r: (r["doc"], r["terms"]))
-    return fit(
-        lexicon, [r["terms"] for r in sample_rows], [r["marks"] for r in sample_rows],
-        np.array([r["y"] for r in sample_rows], int),
-    )
+    return fit(voters, others, [r["terms"] for r in sample_rows], [r["marks"] for r in sample_rows])
 
 
 def scored(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
