@@ -4,10 +4,12 @@ Native. The patterns mark their matches in the text with a control character; sp
 pieces whose lengths give code-point places. Patterns use possessive quantifiers and look-behinds, so a run of a
 million characters costs one pass and no stack.
 
-Beyond the patterns, the corpus itself tells which terms disclose a protected value. For a value e and a term t of its line,
-``PMI(t; e) = log2(P(t, e) / (P(t) P(e)))`` is estimated from document counts, and compared with the
-information ``IC(e) = -log2 P(e)`` of the value: at 1 the term gives e away completely. With
-fewer than ``CONTEXTS`` different lines as evidence the estimate is smoothed: PMI counts ``n / (n + 1)``, n the documents that hold both.
+Beyond the patterns, the corpus itself tells which terms disclose a protected entity. An entity is a value, and what a value
+gives away of its holder: the name and the host of an address, the area of a number, the network of an IP, the issuer of a card. For an
+entity e and a term t of its line, ``PMI(t; e) = log2(P(t, e) / (P(t) P(e)))`` is estimated from document counts, and compared with the
+information ``IC(e) = -log2 P(e)`` of the entity: at 1 the term gives e away completely. With
+fewer than ``CONTEXTS`` different lines as evidence the estimate is smoothed by a prior: PMI counts ``n / (n + PRIOR)``, n the documents
+that hold both, so one co-occurrence proves nothing and two can.
 Terms with ``PMI >= ALPHA * IC`` are spans of kind ``term`` in every document that holds them;
 ``sanitised`` generalises pattern spans to their kind and removes terms. All counts cover all documents; they are
 aggregated before each shuffle, so a value or word of a third of all documents is a row per task.
@@ -26,6 +28,7 @@ from rankmill.session import cut_lineage
 MARK, OTHER = "\x01", "\x02"
 ALPHA = 0.8
 CONTEXTS = 3
+PRIOR = 1 / 3  # documents' worth of doubt
 EPSILON = 1e-9
 KINDS = ("email", "ip", "card", "phone")
 # fixed values: the patterns of the contract, made linear. \G lets a match begin where the last one ended.
@@ -104,6 +107,22 @@ def _without_values(line: Column) -> Column:
     return line
 
 
+def entities(span: Column) -> Column:
+    """What a pattern span protects: its value, and the parts that point at its holder."""
+    kind, value = span["kind"], F.lower(span["value"])
+
+    def part(of: str, label: str, pattern: str) -> Column:
+        found = F.regexp_extract(value, pattern, 0)
+        return F.when((kind == of) & (found != ""), F.concat(F.lit(f"{label}:"), found))
+
+    return F.array_compact(
+        F.array(
+            F.concat(kind, F.lit(":"), value), part("email", "host", r"(?<=@).+$"), part("email", "name", r"^[a-z]{3,}"),
+            part("phone", "area", r"^\+[0-9]+[^0-9]+[0-9]+"), part("ip", "net", r"^[0-9]+\.[0-9]+"), part("card", "issuer", r"^(?:[0-9][\x20-]?){6}"),
+        )
+    )
+
+
 def disclosing_terms(docs: DataFrame, alpha: float = ALPHA, contexts: int = CONTEXTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``_doc, _of, terms``: for each document that holds terms which give a protected value away, these terms."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -111,7 +130,7 @@ def disclosing_terms(docs: DataFrame, alpha: float = ALPHA, contexts: int = CONT
     lines = lines.where(F.regexp_like("line", F.lit("@|[0-9]")))
     mentions = lines.select(
         "_doc", "_of", F.xxhash64("line").alias("context"), _words(_without_values(F.col("line"))).alias("words"),
-        F.explode(F.array_distinct(F.transform(base_spans(F.col("line")), lambda s: s["value"]))).alias("value"),
+        F.explode(F.array_distinct(F.flatten(F.transform(base_spans(F.col("line")), entities)))).alias("value"),
     )
     mentions = cut_lineage(mentions, "mentions")
     held = mentions.select("value", "_doc").distinct().groupBy("value").agg(F.count("*").alias("n_e"))
@@ -119,14 +138,14 @@ def disclosing_terms(docs: DataFrame, alpha: float = ALPHA, contexts: int = CONT
     seen = pairs.select("value", "term", "context").distinct().groupBy("value", "term").agg(F.count("*").alias("lines"))
     together = pairs.select("value", "term", "_doc").distinct().groupBy("value", "term").agg(F.count("*").alias("n_te"))
     # PMI is at most the value's information, so fewer documents cannot reach it
-    enough = (F.col("lines") >= contexts) | (F.col("n_te") >= alpha / (1 - alpha) - EPSILON)
+    enough = (F.col("lines") >= contexts) | (F.col("n_te") >= PRIOR * alpha / (1 - alpha) - EPSILON)
     evidence = cut_lineage(seen.join(together, ["value", "term"]).where(enough), "evidence")
     # how many documents hold each candidate, over all documents
     count = docs.select(F.explode(_words(text)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     count = count.join(evidence.select("term").distinct(), "term", "left_semi")
     total = F.lit(docs.count())
     scored = evidence.join(count, "term").join(held, "value")
-    sure = F.when(F.col("lines") >= contexts, 1.0).otherwise(F.col("n_te") / (F.col("n_te") + 1))
+    sure = F.when(F.col("lines") >= contexts, 1.0).otherwise(F.col("n_te") / (F.col("n_te") + PRIOR))
     pmi = F.log2(F.col("n_te") * total / (F.col("n_t") * F.col("n_e")))
     content = F.log2(total / F.col("n_e"))
     risky = cut_lineage(scored.where((content > 0) & (sure * pmi >= alpha * content - EPSILON)).select("term").distinct(), "risky")
