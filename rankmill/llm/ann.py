@@ -152,7 +152,7 @@ def nearest(
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest by cosine found for each row that ``queries`` marks.
 
-    Rows without id, and vectors that are null, empty, zero, of another length than the first, or hold
+    Rows without id, and vectors that are null, empty, zero, of another length than most (of equally frequent ones the longest), or hold
     null or non-finite components, take no part. A repeated id is one candidate per different vector, and no
     candidate of itself. With at most k other rows, all are returned; an empty table gives no rows.
     """
@@ -160,8 +160,8 @@ def nearest(
     given = given.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(
         F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), "_query"
     )
-    first = given.agg(F.min_by(F.size("vector"), "vec_id")).first()[0]
-    dim = first or 1
+    usual = given.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
+    dim = usual["d"] if usual else 1
     given = given.where(F.size("vector") == dim)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -46,7 +46,9 @@ def dropped_lines(
     ``keep_first`` its first occurrence (smallest document, then position) stays. A null or empty text is one empty line
     and loses nothing; rows without an id are documents of their own; repeated rows share a bitmap.
     """
-    lines = docs.select(*row_key(id_col, text_col), F.posexplode(lines_of(F.col(text_col))).alias("_pos", "_line"))
+    # keys first: beside the generator they would be computed again for every line
+    whole = docs.select(*row_key(id_col, text_col), lines_of(F.col(text_col)).alias("_lines"))
+    lines = whole.select("_doc", "_of", F.posexplode("_lines").alias("_pos", "_line"))
     lines = lines.withColumn("_line", line_key(F.col("_line"))).where("_line != ''")
     # 128 bits: two seeds
     hashed = lines.select(
@@ -71,25 +73,38 @@ def dropped_lines(
     return words.groupBy("_doc", "_of").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("_dropped"))
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, with underscores added until no column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = f"_{name}"
+    return name
+
+
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows of ``docs`` with their bitmap in ``_dropped`` (null: nothing is dropped)."""
+    """All rows and columns of ``docs`` with their bitmap in ``fresh("_dropped", docs.columns)`` (null: nothing is dropped)."""
+    names = {c: fresh(c, docs.columns) for c in ("_doc", "_of", "_dropped")}
     doc, of = row_key(id_col, text_col)
-    return docs.withColumn("_doc", doc).withColumn("_of", of).join(bitmaps, ["_doc", "_of"], "left").drop("_doc", "_of")
+    found = bitmaps.select(*[F.col(c).alias(n) for c, n in names.items()])
+    keys = [names["_doc"], names["_of"]]
+    return docs.withColumn(keys[0], doc).withColumn(keys[1], of).join(found, keys, "left").drop(*keys)
 
 
-def kept_text(text_col: str = "text") -> Column:
-    """The text without its dropped lines."""
-    text = F.col(text_col)
-    dense = (
-        f"transform(sequence(0, (size(split({text_col}, '\\n', -1)) - 1) div {WORD}), "
-        "w -> coalesce(element_at(map_from_entries(_dropped), cast(w AS int)), 0L))"
-    )
-    keep = F.expr(
-        f"array_join(transform(array({dense}), m -> array_join(filter(split({text_col}, '\\n', -1), "
-        f"(x, i) -> bit_get(m[i div {WORD}], cast(i % {WORD} AS int)) = 0), '\\n')), '')"
-    )
-    return F.when(F.col("_dropped").isNull(), F.coalesce(text, F.lit(""))).otherwise(keep)
+def kept_text(text_col: str = "text", dropped: str = "_dropped") -> Column:
+    """The text without its dropped lines; the sorted words become one dense array, so the work is linear in the lines."""
+    words, text = F.col(dropped), F.col(text_col)
+
+    def run(word: Column, i: Column) -> Column:
+        before = F.coalesce(F.get(words, i - 1)["word"], F.lit(-1))
+        return F.concat(F.array_repeat(F.lit(0).cast("long"), word["word"] - before - 1), F.array(word["bits"]))
+
+    def kept(dense: Column) -> Column:
+        bits = lambda i: F.coalesce(F.get(dense, F.floor(i / WORD).cast("int")), F.lit(0).cast("long"))
+        return F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: F.getbit(bits(i), i % WORD) == 0), "\n")
+
+    dense = F.flatten(F.transform(words, run))
+    keep = F.get(F.transform(F.array(dense), kept), F.lit(0))  # a lambda's argument is computed once
+    return F.when(words.isNull(), F.coalesce(text, F.lit(""))).otherwise(keep)
 
 
-def n_dropped() -> Column:
-    return F.expr("coalesce(aggregate(_dropped, 0L, (n, w) -> n + bit_count(w.bits)), 0L)")
+def n_dropped(dropped: str = "_dropped") -> Column:
+    return F.expr(f"coalesce(aggregate({dropped}, 0L, (n, w) -> n + bit_count(w.bits)), 0L)")

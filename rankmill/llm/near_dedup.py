@@ -241,6 +241,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     usable = sketches.where("doc IS NOT NULL AND same IS NOT NULL")
     same = usable.groupBy("same").agg(F.min("doc").alias("rep"))
+    placed_rows = cut_lineage(sketches.join(same, "same", "left").select("doc", "n", "rep"), "reps")
     # one row for each distinct set: its smallest document
     sets = cut_lineage(usable.groupBy("same").agg(F.min_by(F.struct("doc", "sig"), "doc").alias("x")).select("x.*"), "sets")
 
@@ -309,10 +310,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows.join(full, "doc").repartition("host", "salt").sortWithinPartitions("host", "salt", "partner", "doc")
         .mapInPandas(_links(percent), "a long, b long")
     )
-    joined = components(links, "a", "b")
+    # an id of several texts is one node: its sets are linked
+    held_by = placed_rows.where("doc IS NOT NULL AND rep IS NOT NULL").groupBy("doc").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
+    several = held_by.where("a != b").select("doc", "a")
+    own = placed_rows.join(several, "doc").where("rep != a").select("a", F.col("rep").alias("b")).distinct()
+    joined = components(links.unionByName(own), "a", "b")
     label = F.when(F.col("doc").isNotNull(), F.coalesce("component", "rep", "doc"))
     return (
-        sketches.join(same, "same", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
+        placed_rows.join(joined.withColumnRenamed("node", "rep"), "rep", "left")
         .select(
             F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), label.alias("component_id"),
             (F.col("doc").isNull() | (F.col("doc") == label)).alias("kept"),

@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankmill.llm.line_dedup import lines_of, row_key
+from rankmill.llm.line_dedup import fresh, lines_of, row_key
 from rankmill.session import cut_lineage
 
 MARK, OTHER = "\x01", "\x02"
@@ -102,7 +102,8 @@ def _words(text: Column) -> Column:
 
 
 def _without_values(line: Column) -> Column:
-    for pattern in PATTERNS.values():
+    long_runs = CARD.replace(")++", "){12,}+")  # shorter runs of digits are words or parts of words
+    for pattern in (PATTERNS | {"card": long_runs}).values():
         line = F.regexp_replace(line, pattern, " ")
     return line
 
@@ -126,7 +127,8 @@ def entities(span: Column) -> Column:
 def disclosing_terms(docs: DataFrame, alpha: float = ALPHA, contexts: int = CONTEXTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``_doc, _of, terms``: for each document that holds terms which give a protected value away, these terms."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = docs.select(*row_key(id_col, text_col), F.explode(lines_of(text)).alias("line"))
+    # keys first: beside a generator they would be computed again for every line or word
+    lines = docs.select(*row_key(id_col, text_col), lines_of(text).alias("lines")).select("_doc", "_of", F.explode("lines").alias("line"))
     lines = lines.where(F.regexp_like("line", F.lit("@|[0-9]")))
     mentions = lines.select(
         "_doc", "_of", F.xxhash64("line").alias("context"), _words(_without_values(F.col("line"))).alias("words"),
@@ -149,24 +151,27 @@ def disclosing_terms(docs: DataFrame, alpha: float = ALPHA, contexts: int = CONT
     pmi = F.log2(F.col("n_te") * total / (F.col("n_t") * F.col("n_e")))
     content = F.log2(total / F.col("n_e"))
     risky = cut_lineage(scored.where((content > 0) & (sure * pmi >= alpha * content - EPSILON)).select("term").distinct(), "risky")
-    holding = docs.select(*row_key(id_col, text_col), F.explode(_words(text)).alias("term")).join(risky, "term", "left_semi")
+    words = docs.select(*row_key(id_col, text_col), _words(text).alias("words"))
+    holding = words.select("_doc", "_of", F.explode("words").alias("term")).join(risky, "term", "left_semi")
     return holding.groupBy("_doc", "_of").agg(F.array_sort(F.collect_set("term")).alias("_terms"))
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` with ``_base`` and ``_spans``: arrays of (kind, start, end, value).
+    """All rows and columns of ``docs`` with ``_base`` and ``_spans``: arrays of (kind, start, end, value), which replace columns of these names.
 
     A null or empty text has none; a null id is a document of its own; repeated rows have equal spans; an empty table gives
     no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     doc, of = row_key(id_col, text_col)
-    keyed = docs.withColumn("_doc", doc).withColumn("_of", of)
-    out = keyed.join(disclosing_terms(docs, id_col=id_col, text_col=text_col), ["_doc", "_of"], "left")
-    out = out.withColumn("_base", base_spans(text))
-    found = _placed(_pieces(text, TERM), "term", lambda x: F.array_contains("_terms", F.lower(x)))
-    terms = F.when(F.col("_terms").isNotNull(), found)
-    return out.withColumn("_spans", F.when(terms.isNull(), F.col("_base")).otherwise(F.concat("_base", terms))).drop("_doc", "_of", "_terms")
+    names = {c: fresh(c, docs.columns) for c in ("_doc", "_of", "_terms")}
+    known = names["_terms"]
+    found = disclosing_terms(docs, id_col=id_col, text_col=text_col).select(*[F.col(c).alias(n) for c, n in names.items()])
+    keyed = docs.withColumn(names["_doc"], doc).withColumn(names["_of"], of)
+    out = keyed.join(found, [names["_doc"], names["_of"]], "left").withColumn("_base", base_spans(text))
+    placed = _placed(_pieces(text, TERM), "term", lambda x: F.array_contains(known, F.lower(x)))
+    terms = F.when(F.col(known).isNotNull(), placed)
+    return out.withColumn("_spans", F.when(terms.isNull(), F.col("_base")).otherwise(F.concat("_base", terms))).drop(*names.values())
 
 
 def listed(spans: Column) -> Column:
