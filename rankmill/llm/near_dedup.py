@@ -12,6 +12,9 @@ Nothing is emitted per pair of a group:
 * equal sets fold into one document before anything is joined;
 * per key only its first holder is linked with the others. Documents within the distance of
   a first holder form a family, and families are cut into blocks of about ``BLOCK``;
+* the blocks of a large family first work by themselves, each beside the same ``HEADS`` members of the
+  family. Two documents that each join the first of these are one group; only documents that do
+  not join it meet the other blocks;
 * keys that span families are tested inside tasks (tiles of bounded size, two bits per
   symbol), and give (block, partner) rows only;
 * blocks and partners meet once more with full signatures and full sets; a union-find per
@@ -38,6 +41,7 @@ SYMBOLS = CHUNKS * WIDTH
 DISTANCE = 2 * CHUNKS - 1  # one error a chunk allowed
 BLOCK = 256  # documents of a block, on average
 TILE = 1024  # holders of one key tested against as many at a time
+HEADS = 16  # members of a large family that go to each of its blocks
 PARTNERS = 2048  # partners of a block in one group of rows
 PAIRS = 1 << 16  # pairs compared by one numpy call at most
 
@@ -167,7 +171,7 @@ class _Block:
     def __init__(self, percent: int):
         self.percent = percent
         self.docs: list[int] = []
-        self.sigs: list[np.ndarray] = []
+        self.sigs = np.empty((BLOCK, SYMBOLS), np.uint16)
         self.sets: list[np.ndarray] = []
         self.up: list[int] = []
 
@@ -181,7 +185,7 @@ class _Block:
         """Confirmed links of a document to the members, one for each group it joins."""
         n, links = len(self.docs), []
         if n:
-            apart = (np.stack(self.sigs) != sig).sum(axis=1)
+            apart = (self.sigs[:n] != sig).sum(axis=1)
             done: set[int] = set()
             for i in np.argsort(apart, kind="stable"):
                 if apart[i] > DISTANCE:
@@ -195,8 +199,10 @@ class _Block:
                         links.append((self.docs[i], doc))
                         done.add(r)
         if stay:
+            if n == len(self.sigs):
+                self.sigs = np.concatenate([self.sigs, np.empty_like(self.sigs)])
             self.docs.append(doc)
-            self.sigs.append(sig)
+            self.sigs[n] = sig
             self.sets.append(shingles)
             self.up.append(n)
             for r in (done if n else ()):
@@ -227,6 +233,21 @@ def _links(percent: int):
     return run
 
 
+def _settled(percent: int):
+    """Links inside each block of a large family, and ``(document, null)`` for members that do not join the first head."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _groups(batches, ["host"]):
+            block, links, ids = _Block(percent), [], set(group["doc"][group["own"]])
+            for doc, sig, shingles in group[["doc", "sig", "shingles"]].itertuples(index=False, name=None):
+                links += block.add(doc, np.frombuffer(sig, np.uint16), np.frombuffer(shingles, np.uint64), stay=True)
+            joined = {doc for i, doc in enumerate(block.docs) if block.root(i) == block.root(0)}
+            rows = [*links, *((doc, None) for doc in sorted(ids - joined))]
+            yield pd.DataFrame({"a": pd.array([a for a, _ in rows], "Int64"), "b": pd.array([b for _, b in rows], "Int64")})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
@@ -262,14 +283,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = blocks.withColumn("block", F.concat_ws(":", "family", "part"))
     size = blocks.groupBy("block").agg(F.count("*").alias("size"))
     blocks = cut_lineage(blocks.join(size, "block"), "blocks")
-    # all blocks of a family meet: each document goes to the family's later blocks
-    later = blocks.where(F.col("part") < F.col("parts") - 1).select(
-        "doc", "family", F.explode(F.sequence(F.col("part") + 1, F.col("parts") - 1)).alias("part")
+
+    def full_sets(ids: DataFrame) -> DataFrame:
+        return (
+            given.join(ids.select("doc").distinct(), "doc", "left_semi")
+            .mapInPandas(_sets(words), "doc long, shingles binary").join(sets, "doc")
+        )
+
+    # large families: each block with the heads, which come first; the first head is the family's smallest document
+    large = blocks.where("parts > 1")
+    heads = large.groupBy("family").agg(F.sort_array(F.collect_set(F.when(F.col("part") == 0, F.col("doc")))).alias("some"), F.min("doc").alias("least"))
+    heads = heads.select("family", F.explode(F.array_distinct(F.concat(F.array("least"), F.slice("some", 1, HEADS - 1)))).alias("doc"))
+    inside = large.select(F.col("block").alias("host"), "family", "doc").withColumn("own", F.lit(True))
+    beside = large.select("family", F.col("block").alias("host")).distinct().join(heads, "family").withColumn("own", F.lit(False))
+    inside = inside.unionByName(beside).groupBy("host", "family", "doc").agg(F.max("own").alias("own"), F.min("own").alias("alone"))
+    inside = inside.join(heads.groupBy("family").agg(F.min("doc").alias("least")), "family").select(
+        "host", "doc", "own", F.when(F.col("doc") == F.col("least"), 0).when(~F.col("alone"), 1).otherwise(2).alias("turn")
     )
-    kin = later.select(F.concat_ws(":", "family", "part").alias("host"), "doc")
+    settled = cut_lineage(
+        inside.join(full_sets(inside), "doc").repartition("host").sortWithinPartitions("host", "turn", "doc")
+        .mapInPandas(_settled(percent), "a long, b long"), "settled"
+    )
+    open_docs = settled.where("b IS NULL").select(F.col("a").alias("doc"))
+    # what does not join meets the family's other blocks
+    other = large.join(open_docs, "doc", "left_semi").select(
+        "doc", "family", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("of")
+    )
+    kin = other.where("part != of").select(F.concat_ws(":", "family", "of").alias("host"), "doc")
 
     # keys whose holders lie in several families
-    blocks = blocks.drop("part", "parts")
+    blocks = blocks.drop("part")
     placed = shared.select("key", "doc").join(blocks, "doc")
     spread = (
         placed.groupBy("key")
@@ -292,7 +335,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # blocks with several members or partners, with the partners after the members
     busy = meet.groupBy("host").agg(F.ceil(F.count("*") / PARTNERS).alias("salts"))
     members = (
-        blocks.join(busy.withColumnRenamed("host", "block"), "block", "left").where("size > 1 OR salts IS NOT NULL")
+        blocks.join(busy.withColumnRenamed("host", "block"), "block", "left")
+        .where("size > 1 AND parts = 1 OR salts IS NOT NULL")
         .select(
             F.col("block").alias("host"), "doc",
             F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"),
@@ -302,19 +346,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = cut_lineage(
         members.withColumn("partner", F.lit(0)).unionByName(partners.withColumn("partner", F.lit(1))), "rows"
     )
-    full = (
-        given.join(rows.select("doc").distinct(), "doc", "left_semi")
-        .mapInPandas(_sets(words), "doc long, shingles binary").join(sets, "doc")
-    )
     links = (
-        rows.join(full, "doc").repartition("host", "salt").sortWithinPartitions("host", "salt", "partner", "doc")
+        rows.join(full_sets(rows), "doc").repartition("host", "salt").sortWithinPartitions("host", "salt", "partner", "doc")
         .mapInPandas(_links(percent), "a long, b long")
     )
     # an id of several texts is one node: its sets are linked
     held_by = placed_rows.where("doc IS NOT NULL AND rep IS NOT NULL").groupBy("doc").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
     several = held_by.where("a != b").select("doc", "a")
     own = placed_rows.join(several, "doc").where("rep != a").select("a", F.col("rep").alias("b")).distinct()
-    joined = components(links.unionByName(own), "a", "b")
+    joined = components(links.unionByName(settled.where("b IS NOT NULL")).unionByName(own), "a", "b")
     label = F.when(F.col("doc").isNotNull(), F.coalesce("component", "rep", "doc"))
     return (
         placed_rows.join(joined.withColumnRenamed("node", "rep"), "rep", "left")

@@ -78,6 +78,30 @@ def test_near_duplicates(spark, odd, words):
     assert near_dedup.near_duplicates(frame(spark, []), words=words).count() == 0
 
 
+def test_large_families(spark, monkeypatch):
+    """Families of many blocks: drifting copies, of which some do not join the heads, against brute force."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "HEADS", 2)
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    texts = []
+    for _ in range(60):  # changes of 2 to 6 places of the first text
+        x = list(base)
+        for i in rng.sample(range(120), rng.choice([2, 3, 5, 6])):
+            x[i] = f"v{rng.randrange(10**6)}"
+        texts.append(" ".join(x))
+    x = list(base)
+    for _ in range(40):  # a chain that drifts away from it
+        x[rng.randrange(120)] = f"u{rng.randrange(10**6)}"
+        texts.append(" ".join(x))
+    rng.shuffle(texts)
+    rows = list(enumerate([*texts, *texts[:10]]))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()
+    want = brute_components(rows, 4)
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert len(set(want.values())) > 2
+
+
 def test_signatures_within_the_distance_always_meet():
     rng = np.random.default_rng(0)
     for _ in range(30):
