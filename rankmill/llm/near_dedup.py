@@ -13,8 +13,8 @@ Nothing is emitted per pair of a group:
 * per key only its first holder is linked with the others. Documents within the distance of
   a first holder form a family, and families are cut into blocks of about ``BLOCK``;
 * the blocks of a large family first work by themselves, each beside the same ``HEADS`` members of the
-  family. Two documents that each join the first of these are one group; only documents that do
-  not join it meet the other blocks;
+  family, those that share most keys. Two documents that each join the first of these are one group;
+  only documents that do not join it meet the other blocks;
 * keys that span families are tested inside tasks (tiles of bounded size, two bits per
   symbol), and give (block, partner) rows only;
 * blocks and partners meet once more with full signatures and full sets; a union-find per
@@ -29,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankmill.llm.components import components
@@ -273,13 +273,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = shared.where("doc != first").select("doc", "first").distinct()
     stars = stars.join(sets, "doc").join(sets.select(F.col("doc").alias("first"), F.col("sig").alias("first_sig")), "first")
     near = stars.mapInPandas(_near, "doc long, first long").groupBy("doc").agg(F.min("first").alias("family"))
-    held = shared.select("doc").distinct()
-    family = held.join(near, "doc", "left").select("doc", F.coalesce("family", "doc").alias("family"))
+    held = shared.groupBy("doc").agg(F.count("*").alias("keys"))
+    family = held.join(near, "doc", "left").select("doc", F.coalesce("family", "doc").alias("family"), "keys")
     family = cut_lineage(family, "families")
     count = family.groupBy("family").count()
     parts = F.ceil(F.col("count") / BLOCK)
     part = F.pmod(F.xxhash64("doc"), parts)
-    blocks = family.join(count, "family").select("doc", "family", part.alias("part"), parts.alias("parts"))
+    blocks = family.join(count, "family").select("doc", "family", "keys", part.alias("part"), parts.alias("parts"))
     blocks = blocks.withColumn("block", F.concat_ws(":", "family", "part"))
     size = blocks.groupBy("block").agg(F.count("*").alias("size"))
     blocks = cut_lineage(blocks.join(size, "block"), "blocks")
@@ -290,16 +290,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .mapInPandas(_sets(words), "doc long, shingles binary").join(sets, "doc")
         )
 
-    # large families: each block with the heads, which come first; the first head is the family's smallest document
+    # large families: each block with the heads, the members that share most keys, which come first
     large = blocks.where("parts > 1")
-    heads = large.groupBy("family").agg(F.sort_array(F.collect_set(F.when(F.col("part") == 0, F.col("doc")))).alias("some"), F.min("doc").alias("least"))
-    heads = heads.select("family", F.explode(F.array_distinct(F.concat(F.array("least"), F.slice("some", 1, HEADS - 1)))).alias("doc"))
-    inside = large.select(F.col("block").alias("host"), "family", "doc").withColumn("own", F.lit(True))
-    beside = large.select("family", F.col("block").alias("host")).distinct().join(heads, "family").withColumn("own", F.lit(False))
-    inside = inside.unionByName(beside).groupBy("host", "family", "doc").agg(F.max("own").alias("own"), F.min("own").alias("alone"))
-    inside = inside.join(heads.groupBy("family").agg(F.min("doc").alias("least")), "family").select(
-        "host", "doc", "own", F.when(F.col("doc") == F.col("least"), 0).when(~F.col("alone"), 1).otherwise(2).alias("turn")
-    )
+    place = F.row_number().over(Window.partitionBy("family").orderBy(F.col("keys").desc(), "doc"))
+    heads = large.select("family", "doc", place.alias("turn")).where(F.col("turn") <= HEADS)
+    beside = large.select("family", F.col("block").alias("host")).distinct().join(heads, "family").select("host", "doc", "turn", F.lit(False).alias("own"))
+    members = large.select(F.col("block").alias("host"), "doc", F.lit(HEADS + 1).alias("turn"), F.lit(True).alias("own"))
+    inside = members.unionByName(beside).groupBy("host", "doc").agg(F.min("turn").alias("turn"), F.max("own").alias("own"))
     settled = cut_lineage(
         inside.join(full_sets(inside), "doc").repartition("host").sortWithinPartitions("host", "turn", "doc")
         .mapInPandas(_settled(percent), "a long, b long"), "settled"
@@ -312,7 +309,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kin = other.where("part != of").select(F.concat_ws(":", "family", "of").alias("host"), "doc")
 
     # keys whose holders lie in several families
-    blocks = blocks.drop("part")
+    blocks = blocks.drop("part", "keys")
     placed = shared.select("key", "doc").join(blocks, "doc")
     spread = (
         placed.groupBy("key")
