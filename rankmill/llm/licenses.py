@@ -4,7 +4,8 @@ Native. Lines, and windows of a template's length over all words of a file, what
 templates; so words beside a notice cost nothing and a notice may run over lines. Document frequencies of all words involved
 come from all files (a word counts once a file, combined before the shuffle). A template is looked for only where the text
 holds enough of its weight to reach the threshold, which loses nothing (Cauchy-Schwarz). The best unit of a
-file is its statement. A licence file (one whose path says so, or whose first line with text is a statement as a whole) also
+file is its statement. A file whose path says that it is a licence file is also compared as one vector with whole licence
+texts (a table of the caller; ``TEXTS`` if none is given), and what it is as a whole goes before what its lines say. A licence file (one whose path says so, or whose first line with text is a statement as a whole) also
 covers its directory; files without a statement of their own look up their ancestor directories by
 path joins and take the deepest. The directory side has one row per directory, so a hot directory only
 makes the other side large, which adaptive execution splits.
@@ -38,6 +39,17 @@ TEMPLATES = (
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal"),
     ("proprietary", "All rights reserved"),
 )
+# fixed values: short licences as a whole
+AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+BSD_START = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+TEXTS = (
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + AS_IS),
+    ("BSD-2-Clause", f"{BSD_START} {BSD_END}"),
+    ("BSD-3-Clause", f"{BSD_START} {BSD_THIRD} {BSD_END}"),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+)
 COSINE = 0.75
 LICENSE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
 WORD = r"[a-z0-9]+"
@@ -163,15 +175,61 @@ def statements(files: DataFrame, threshold: float = COSINE, templates: tuple[tup
     )
 
 
-def file_licenses(files: DataFrame, path_col: str = "path", text_col: str = "text", threshold: float = COSINE) -> DataFrame:
+def whole_texts(files: DataFrame, texts: DataFrame | None = None, threshold: float = COSINE) -> DataFrame:
+    """``file, license, score`` of licence files that are, as a whole, like a licence text; ``files``: (file, text).
+
+    ``texts``: (license, text), of any length. Equal texts are compared once. Of equal scores the smallest licence name counts;
+    null and empty texts on either side are like nothing.
+    """
+    spark = files.sparkSession
+    named = files.where(F.regexp_like("file", F.lit(LICENSE_FILE)) & F.col("text").isNotNull())
+    named = cut_lineage(named.select("file", "text", F.sha2("text", 256).alias("unit")), "licence files")
+    if named.isEmpty():
+        return spark.createDataFrame([], "file string, license string, score double")
+    texts = spark.createDataFrame(list(TEXTS), "license string, text string") if texts is None else texts
+    texts = texts.select("license", "text", F.sha2("text", 256).alias("unit")).dropDuplicates(["license", "unit"])
+
+    def counted(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.select(*keys, F.explode(_words(F.col("text"))).alias("term")).groupBy(*keys, "term").agg((1 + F.log(F.count("*"))).alias("tf"))
+
+    ours = cut_lineage(counted(named.dropDuplicates(["unit"]), "unit"), "terms")
+    theirs = counted(texts, "license", "unit").withColumnRenamed("unit", "shape")
+    n = files.count()
+    wanted = ours.select("term").unionByName(theirs.select("term")).distinct()
+    held = files.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    idf = F.log((n + 1) / (F.coalesce("n", F.lit(0)) + 1)) + 1
+    idf = cut_lineage(wanted.join(held, "term", "left").select("term", idf.alias("idf")), "idf")
+
+    def weighed(rows: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+        rows = rows.join(idf, "term").select(*keys, "term", (F.col("tf") * F.col("idf")).alias("w"))
+        return rows, rows.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+
+    (a, a_norm), (b, b_norm) = weighed(ours, "unit"), weighed(theirs, "license", "shape")
+    dots = a.join(b.withColumnRenamed("w", "v"), "term").groupBy("unit", "license", "shape").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    found = dots.join(a_norm, "unit").join(b_norm.withColumnRenamed("norm", "other"), ["license", "shape"])
+    found = found.select("unit", "license", F.round(F.col("dot") / (F.col("norm") * F.col("other")), 9).alias("score"))
+    best = named.join(found.where(F.col("score") >= threshold), "unit").groupBy("file").agg(F.min(F.struct((-F.col("score")).alias("less"), "license")).alias("b"))
+    return best.select("file", F.col("b.license").alias("license"), (-F.col("b.less")).alias("score"))
+
+
+def file_licenses(
+    files: DataFrame, path_col: str = "path", text_col: str = "text", threshold: float = COSINE,
+    templates: tuple[tuple[str, str], ...] = TEMPLATES, texts: DataFrame | None = None,
+) -> DataFrame:
     """``path, license, score, stated, source`` for every distinct path.
 
     ``stated``: the file says it itself; else ``source`` is the licence file of the nearest ancestor directory that has
     one, and all are null where none has. Rows that repeat a path are looked at each, the best counts; rows without a path are left out; null and
-    empty texts state nothing. Of several licence files in a directory the smallest path counts.
+    empty texts state nothing. Of several licence files in a directory the smallest path counts. ``texts`` (license, text) are
+    the whole licences that licence files are compared with.
     """
     given = files.where(F.col(path_col).isNotNull()).select(F.col(path_col).cast("string").alias("file"), F.col(text_col).alias("text"))
-    stated = cut_lineage(statements(given, threshold), "statements")
+    said = statements(given, threshold, templates)
+    whole = whole_texts(given, texts, threshold).select("file", F.struct("license", "score").alias("_whole"))
+    stated = said.join(whole, "file", "full").select(
+        "file", "line", F.coalesce("_whole.license", "license").alias("license"), F.coalesce("_whole.score", "score").alias("score"), "whole"
+    )
+    stated = cut_lineage(stated, "statements")
     first = F.array_position(F.transform(lines_of(F.col("text")), lambda x: F.trim(x) != ""), True) - 1
     heads = given.join(stated, "file").where(F.regexp_like("file", F.lit(LICENSE_FILE)) | ((F.col("line") == first) & (F.col("whole") == first)))
     folder = F.regexp_extract("file", "^(.*)/[^/]*$", 1)

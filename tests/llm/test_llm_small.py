@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -205,6 +206,42 @@ def test_licenses(spark):
     assert licenses.file_licenses(df.limit(0)).count() == 0
 
 
+def test_whole_licence_texts(spark):
+    """Licence files as one vector each, against a plain cosine; a table of long texts; inheritance from them."""
+    texts = dict(licenses.TEXTS)
+    long = " ".join(f"clause{i % 700} shall{i % 13}" for i in range(20_000))
+    files = [
+        ("a/LICENSE", "Copyright (c) 2020, Ann Other\n\n" + texts["BSD-2-Clause"].replace(". ", ".\n")), ("a/src/x.c", "int x;"),
+        ("b/LICENSE.txt", "BSD 3-Clause License\nCopyright 2021 Acme\n" + texts["BSD-3-Clause"]), ("c/COPYING", "MIT License\n" + texts["MIT"]),
+        ("d/LICENSE", texts["ISC"].upper()), ("d/LICENSE", None), ("e/LICENSE", ""), ("f/LICENSE", "nothing of the kind"),
+        ("g/COPYING", long + " and a name"), ("g/y/z.py", None), ("h/notes.txt", texts["ISC"]), ("i/LICENSE", texts["ISC"].upper()),
+    ]
+    df = spark.createDataFrame(files, "path string, text string").withColumn("license", F.lit("x")).withColumn("unit", F.lit(1))
+    table = [*licenses.TEXTS, ("Long", long), ("Empty", ""), ("None", None)]
+    got = {r["path"]: r for r in licenses.file_licenses(df, texts=spark.createDataFrame(table, "license string, text string")).collect()}
+    want = {"a/LICENSE": "BSD-2-Clause", "b/LICENSE.txt": "BSD-3-Clause", "c/COPYING": "MIT", "d/LICENSE": "ISC", "g/COPYING": "Long", "i/LICENSE": "ISC"}
+    assert {p: got[p]["license"] for p in want} == want
+    assert (got["a/src/x.c"]["license"], got["a/src/x.c"]["source"]) == ("BSD-2-Clause", "a/LICENSE") and got["g/y/z.py"]["license"] == "Long"
+    assert got["e/LICENSE"]["license"] is None and got["f/LICENSE"]["license"] is None
+
+    def terms(t):
+        return re.findall("[a-z0-9]+", (t or "").lower())
+
+    def vector(t):
+        ts = terms(t)
+        return {x: (1 + math.log(ts.count(x))) * (math.log((len(files) + 1) / (sum(x in set(terms(u)) for _, u in files) + 1)) + 1) for x in set(ts)}
+
+    for path, text in files:
+        if path in want and text:
+            a = vector(text)
+            scores = {}
+            for name, t in table:
+                b = vector(t)
+                if a and b:
+                    scores[name] = sum(w * b.get(x, 0) for x, w in a.items()) / math.hypot(*a.values()) / math.hypot(*b.values())
+            assert want[path] == max(scores, key=scores.get) and abs(scores[want[path]] - got[path]["score"]) < 1e-8
+
+
 def test_licenses_of_frequent_notices(spark):
     files = [(f"m/{i}.py", "Released under the MIT License.\ncode") for i in range(10)] + [(f"n/{i}.py", "some other text") for i in range(20)]
     got = licenses.file_licenses(spark.createDataFrame(files, "path string, text string")).collect()
