@@ -664,3 +664,30 @@ def a21(spark, d):
         ).alias("system_text"),
     )
     return requests.request_table(_busy_docs(spark, d), jobs, "source", "doc_id")
+
+
+# the wording of a request comes from the caller: system and user text of each kind
+REQUESTS = {
+    "clarify": ("Ask what the posting leaves open.", "Posting {source}, {chars} characters.\n{text}"),
+    "rubric": ("Draft a rubric from the posting.", "Place: {place}\n{text}"),
+    "identity": ("Read name and contact from pages.", "{text}"),
+    "experience": ("Read employers and dates from pages.", "Source {source}\n{text}"),
+    "score": ("Score the text against {source}.", "{text}\nPlace: {place}"),
+}
+RULES = {"en": "Answer in English.", "de": "Answer in German.", "fr": "Answer in French."}
+
+
+@query("a21_request_texts", """
+WITH k AS (SELECT doc_id, ['clarify', 'rubric', 'identity', 'experience', 'score', 'other'][doc_id % 6 + 1] AS kind, coalesce(nullif(source, ''), 'none') AS source,
+  CASE WHEN lang = 'es' OR lang = '' THEN 'none' ELSE coalesce(lang, 'none') END AS place, coalesce(n_chars::VARCHAR, 'none') AS chars, coalesce(nullif(text, ''), 'none') AS text,
+  CASE lang WHEN 'de' THEN 'Answer in German.' WHEN 'fr' THEN 'Answer in French.' ELSE 'Answer in English.' END AS rule FROM documents)
+SELECT doc_id, kind, CASE kind WHEN 'clarify' THEN 'Ask what the posting leaves open.' WHEN 'rubric' THEN 'Draft a rubric from the posting.' WHEN 'identity' THEN 'Read name and contact from pages.'
+    WHEN 'experience' THEN 'Read employers and dates from pages.' WHEN 'score' THEN 'Score the text against ' || source || '.' END || E'\\n' || rule AS system_text,
+  CASE kind WHEN 'clarify' THEN 'Posting ' || source || ', ' || chars || E' characters.\\n' || text WHEN 'rubric' THEN 'Place: ' || place || E'\\n' || text WHEN 'identity' THEN text
+    WHEN 'experience' THEN 'Source ' || source || E'\\n' || text WHEN 'score' THEN text || E'\\nPlace: ' || place END AS user_text FROM k
+""")
+def a21_texts(spark, d):
+    kinds = F.array(*map(F.lit, [*REQUESTS, "other"]))
+    docs = table(spark, d, "documents").withColumn("kind", F.get(kinds, (F.col("doc_id") % 6).cast("int")))
+    values = {"source": F.col("source"), "chars": F.col("n_chars"), "text": F.col("text"), "place": F.when(F.col("lang") != "es", F.col("lang"))}
+    return requests.request_texts(docs, ["doc_id"], "kind", REQUESTS, values, F.col("lang"), RULES, "en")

@@ -239,3 +239,26 @@ def test_scoring_guard(spark):
 def test_contract_null_counts_as_broken(spark):
     df = spark.createDataFrame([(1, None), (2, 5)], "id int, v int")
     assert [tuple(r) for r in contracts.violations(df, ["id"], {"low": F.col("v") < 0}).collect()] == [(1, "low")]
+
+
+def test_request_texts(spark):
+    """Slots, missing values, kinds without a template, language rules and the line on flags."""
+    rows = [(1, "a", "de", "x"), (2, "a", None, None), (3, "b", "??", ""), (4, None, "de", "y"), (5, "z", "en", "y")]
+    df = spark.createDataFrame(rows, "id int, kind string, lang string, v string")
+    templates = {"a": ("Sys {v}", "User {v}{v}"), "b": ("{v}", "plain")}
+    rules = {"en": "English.", "de": "German."}
+    out = requests.request_texts(df, ["id"], "kind", templates, {"v": F.col("v")}, F.col("lang"), rules, "en")
+    got = {r["id"]: (r["system_text"], r["user_text"]) for r in out.collect()}
+    assert got == {
+        1: ("Sys x\nGerman.", "User xx"), 2: ("Sys none\nEnglish.", "User nonenone"), 3: ("none\nEnglish.", "plain"),
+        4: (None, None), 5: (None, None),
+    }
+    with pytest.raises(ValueError, match="w"):
+        requests.filled("{w}", {"v": F.col("v")})
+    ask = spark.createDataFrame([(True,), (False,), (None,)], "f boolean").select(requests.user_text(F.lit("t"), F.col("f")).alias("u"))
+    lines = [r["u"].split("\n\n")[1] for r in ask.collect()]
+    assert lines == [requests.FLAG_LINE, requests.NO_FLAG_LINE, requests.NO_FLAG_LINE]
+    docs = spark.createDataFrame([(1, "j", "some text"), (2, "k", "some text")], "id int, job string, text string")
+    jobs = spark.createDataFrame([("j", "s", True), ("k", "s", False)], "job string, system_text string, ask boolean")
+    made = requests.request_table(docs, jobs, "job", "id", flags=F.col("ask")).collect()
+    assert {r["id"]: r["user_text"].endswith(requests.FLAG_LINE) for r in made} == {1: True, 2: False}
