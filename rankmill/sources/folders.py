@@ -25,6 +25,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(at)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    system, at = _place(spark, path)
+    return system.getFileStatus(at).isDirectory()
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     system, at = _place(spark, path)
     system.delete(at, True)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from rankmill.session import shared_folder
+from rankmill.sources.folders import is_folder
 from rankmill.streaming.keyed_table import KeyedTable
 
 MAX_BATCH = 256 * 1024 * 1024
@@ -23,8 +24,11 @@ def read_new_files(spark: SparkSession, path: str, schema, name: str = "*.parque
 
 
 def read_table_as_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table file of a folder as a stream source; only that table is picked up."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    """A table of a folder as a stream source, one file or a folder of files; only that table is picked up."""
+    path = f"{folder}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    if is_folder(spark, path):
+        return read_new_files(spark, path, schema, "*")
     return read_new_files(spark, folder, schema, f"{name}.parquet")
 
 

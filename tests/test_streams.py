@@ -208,3 +208,12 @@ def test_counters_combine_before_the_shuffle(spark):
         spark.range(10).selectExpr("id % 2 as job", "'parsed' as parse_status", "'scored' as stage_status"), "job"
     )
     assert "partial_count" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_of_several_files(spark, tmp_path):
+    """A table may be a folder of files; the streams read all of them."""
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{FOLDER}/{name}.parquet").repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = {tuple(r) for r in QUERIES["t03_incremental_intake"](spark, str(tmp_path)).collect()}
+    want = {tuple(r) for r in QUERIES["t03_incremental_intake"](spark, FOLDER).collect()}
+    assert got == want and len(want) == spark.read.parquet(f"{FOLDER}/documents.parquet").count()
