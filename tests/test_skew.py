@@ -9,6 +9,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rankmill.functions.arrays import first_by_lower, run_lengths
 from rankmill.operators import changes, duplicates, exports, grading, intake, intervals, ranking, relevance
@@ -384,3 +385,16 @@ def test_library_keeps_work_on_the_cluster():
         for node in ast.walk(ast.parse(path.read_text())):
             if isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute):
                 assert node.func.attr not in banned, f"{path}: {node.func.attr}"
+
+
+def test_contract_reads_every_value_once(spark):
+    """A document six groups deep is read along each path once, not once for every rule and level above it."""
+    schema = StructType([jc.number("n", min=0.0, max=9.0, whole=True)])
+    for level in range(6):
+        schema = StructType([jc.group(f"g{level}", schema)])
+    deep = '{"g5":{"g4":{"g3":{"g2":{"g1":{"g0":{"n":10.5}}}}}}}'
+    df = spark.createDataFrame([(1, deep), (2, deep.replace("10.5", "1"))], "id int, body string")
+    out = jc.json_violations(df, ["id"], "body", schema)
+    found = "g5.g4.g3.g2.g1.g0.n"
+    assert {tuple(r) for r in out.collect()} == {(1, f"{found}:max"), (1, f"{found}:whole")}
+    assert out._jdf.queryExecution().analyzed().toString().count("schema_of_variant") in range(1, 21)
