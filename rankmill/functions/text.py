@@ -27,12 +27,12 @@ EDGE_R = r"(?![A-Za-z0-9_])"
 EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 # Patterns of the scrub and of contact extraction.
-MAIL = r"[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
+MAIL = r"[A-Z0-9._%+-]++@[A-Z0-9.-]+\.[A-Z]{2,}"
 PROFILE_URL = r"(?:https?://)?(?:www\.)?linkedin\.com/(?:in|pub)/[A-Za-z0-9_%.-]+/?"
 PROFILE_URL_HEAD = r"(?:https?://)?(?:www\.)?linkedin\.com/(?:in|pub)/"
 PHONE_LABEL = r"(?:tel|phone|mobile|cell|whatsapp)"
-PHONE_ANY = (
-    rf"(?:{PHONE_LABEL}{WS}*[:\-]?{WS}*)?(?:(?:\+|00)[0-9]{{1,3}}(?:{WS}|[.-])?)?"
+PHONE_ANY = (  # the look-ahead names what a match may begin with, so most places fail at once
+    rf"(?=[tpmcwTPMCW0-9+(])(?:{PHONE_LABEL}{WS}*[:\-]?{WS}*)?(?:(?:\+|00)[0-9]{{1,3}}(?:{WS}|[.-])?)?"
     rf"(?:\(?0?[0-9]{{2,4}}\)?(?:{WS}|[.-])?)?[0-9]{{3,4}}(?:{WS}|[.-])?[0-9]{{3,4}}"
 )
 SECTION_TITLES = (
@@ -189,17 +189,23 @@ def has_raw_pii(text: Column) -> Column:
     return (F.contains(text, F.lit("@")) & text.rlike(rf"(?i){EDGE}{MAIL}{EDGE_R}")) | text.rlike(rf"(?i){PROFILE_URL_HEAD}")
 
 
+def _first_match(text: Column, pattern: str) -> Column:
+    """First match, trimmed, null without one; a list of one value, so that the text is searched once."""
+    found = F.array(trim_ws(F.regexp_extract(text, pattern, 0)))
+    return F.get(F.filter(found, lambda x: F.length(x) > 0), F.lit(0))
+
+
 def first_mail(text: Column) -> Column:
-    return blank_to_null(trim_ws(F.regexp_extract(text, rf"(?i){EDGE}{MAIL}{EDGE_R}", 0)))
+    return F.when(F.contains(text, F.lit("@")), _first_match(text, rf"(?i){EDGE}{MAIL}{EDGE_R}"))
 
 
 def first_profile_url(text: Column) -> Column:
-    return blank_to_null(trim_ws(F.regexp_extract(text, rf"(?i){PROFILE_URL}", 0)))
+    return _first_match(text, rf"(?i)(?=[hwl]){PROFILE_URL}")
 
 
 def first_phone(text: Column, strict: bool = False) -> Column:
     """First phone-like run. ``strict`` refuses spans such as 2018-2021."""
-    found = blank_to_null(trim_ws(F.regexp_extract(text, rf"(?i){PHONE_ANY}{EDGE_R}", 0)))
+    found = _first_match(text, rf"(?i){PHONE_ANY}{EDGE_R}")
     if strict:
         found = F.when(~found.rlike(r"\A(?:19|20)[0-9]{2}\W?(?:19|20)[0-9]{2}\z"), found)
     return found

@@ -273,3 +273,16 @@ def test_small_numbers_as_in_sql(one):
 def test_meta_line_of_few_hours(spark):
     row = spark.createDataFrame([("Junior", "Not stated", "ASIA", 4e-05)], "seniority_shown string, nationality_shown string, location_shown string, years_shown double")
     assert row.select(exports.meta_line(row)).first()[0] == "Junior · ASIA · 4e-05 years"
+
+
+def test_contact_fields_search_a_text_once(spark, one):
+    """One search for each field, also where a text has a match; the patterns find what they found."""
+    df = spark.createDataFrame([("x",)], "text string")
+    for field in (tx.first_mail, tx.first_phone, tx.first_profile_url):
+        plan = df.select(field(F.col("text")).alias("v"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("regexp_extract") == 1
+    assert one(tx.first_mail(F.lit("no..at here, %a.b+c@d-e.co.uk!"))) == "a.b+c@d-e.co.uk"
+    assert one(tx.first_phone(F.lit("Whatsapp: +971 50 123 4567."))) == "Whatsapp: +971 50 123 4567"
+    assert one(tx.first_phone(F.lit("(04) 333-4444"))) == "(04) 333-4444"
+    assert one(tx.first_profile_url(F.lit("see HTTPS://WWW.LinkedIn.com/in/ann-1/ now"))) == "HTTPS://WWW.LinkedIn.com/in/ann-1/"
+    assert one(tx.first_mail(F.lit("none"))) is None and one(tx.first_phone(F.lit("12 34"))) is None
