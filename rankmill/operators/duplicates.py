@@ -12,16 +12,17 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankmill.functions.arrays import bind
 from rankmill.functions.text import ascii_digits, canonical_answer, canonical_hash, scrub
-from rankmill.operators.ranking import top_k
 from rankmill.session import cut_lineage
 
 # Jaccard > 17/20, kept as whole numbers so that no rounding can flip a pair.
 NUM, DEN = 17, 20
-# Earlier sets every set is compared with first, per token. Speed only: sets that
-# match none of them meet all others afterwards.
-LEADERS = 8
-# Holders of one (token, size band) that one task meets; more are dealt out by the earlier set.
+# Sizes within a factor of 4/3 share the number of parts their words are dealt into.
+BAND = math.log(4 / 3)
+# Longs of a parity sketch.
+SKETCH = 4
+# Holders of one part that one task meets; more are dealt out by the earlier set.
 CROWD = 2000
 
 
@@ -56,13 +57,92 @@ def _close(a: str, b: str) -> Column:
     return common * (NUM + DEN) > (F.size(F.col(a)) + F.size(F.col(b))) * NUM
 
 
+def _most_apart(total: Column) -> Column:
+    """Most words that only one of two close sets holds, from the sum of their sizes."""
+    return F.call_function("div", (DEN - NUM) * total - 1, F.lit(NUM + DEN)).cast("int")
+
+
 def _band(n: Column) -> Column:
-    """Sizes whose ratio is above NUM/DEN lie in the same band or in neighbouring ones."""
-    return F.floor(F.log(n.cast("double")) / math.log(DEN / NUM)).cast("int")
+    return F.floor(F.log(n.cast("double")) / BAND).cast("int")
+
+
+def _bands(n: Column) -> Column:
+    """Own band of a size, and the one below where that holds a close size."""
+    return F.sequence(_band(F.floor(n * NUM / DEN) + 1), _band(n))
+
+
+def _hashes(words: Column) -> Column:
+    """63-bit hashes of the words, in order."""
+    return F.sort_array(F.transform(words, lambda w: F.shiftrightunsigned(F.xxhash64(w), 1)))
+
+
+def _sketch(hashes: Column) -> list[Column]:
+    """Parities of the words per hash bit. The sketches of two sets differ in no more bits than the sets do in words."""
+    def flips(word: int) -> Column:
+        def flip(x: Column) -> Column:
+            bit = F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+            return F.when(F.shiftright(x, 6) % SKETCH == word, bit).otherwise(F.lit(0).cast("long"))
+
+        return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(flip(x)))
+
+    return [flips(word).alias(f"sketch{word}") for word in range(SKETCH)]
+
+
+def _part_keys(hashes: Column, n: Column) -> Column:
+    """Keys of the parts by which a set of ``n`` words can meet every close one (see ``near_duplicate_flags``)."""
+    def of_band(band: Column) -> Column:
+        # partners of the own band may be larger, those of the band below are smaller
+        largest = F.when(band == _band(n), F.floor((n * DEN - 1) / NUM)).otherwise(n)
+        keep = _most_apart(n + largest) + 1
+        top = F.exp((band + 1) * BAND) * (1 + DEN / NUM) * (DEN - NUM) / (NUM + DEN)
+        parts = F.ceil(top * 1.1).cast("int") + 3
+        return bind(F.struct(band.alias("band"), keep.alias("keep"), parts.alias("parts")), keys)
+
+    def keys(scheme: Column) -> Column:
+        part = F.transform(hashes, lambda x: F.shiftright(F.shiftright(x, 32) * scheme["parts"], 31))
+        return bind(part, lambda p: bind(filled(p, scheme), lambda f: best(f, p, scheme)))
+
+    def key(scheme: Column, part: Column, held: Column) -> Column:
+        return F.struct((-F.size(held)).alias("size"), F.xxhash64(scheme["band"], part, held).alias("key"))
+
+    def filled(p: Column, scheme: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(p, i) != F.get(p, i - 1)))
+        return bind(
+            starts,
+            lambda st: F.transform(
+                st, lambda i, k: key(scheme, F.get(p, i), F.slice(hashes, i + 1, F.coalesce(F.get(st, k + 1), n) - i))
+            ),
+        )
+
+    def best(f: Column, p: Column, scheme: Column) -> Column:
+        none = F.slice(hashes, 1, 0)
+        every = F.sequence(F.lit(0).cast("long"), scheme["parts"].cast("long") - 1)
+        empty = F.transform(F.array_except(every, p), lambda part: key(scheme, part, none))
+        enough = F.when(F.size(f) < scheme["keep"], F.concat(f, empty)).otherwise(f)
+        return F.transform(F.slice(F.sort_array(enough), F.lit(1), scheme["keep"]), lambda x: x["key"])
+
+    close_sizes = _most_apart(n + F.floor((n * DEN - 1) / NUM)) > 0  # smaller sets are close to equal ones only
+    return F.when(close_sizes, F.flatten(F.transform(_bands(n), of_band))).otherwise(F.array().cast("array<long>"))
 
 
-def _bands_near(n: Column) -> Column:
-    return F.explode(F.sequence(_band(n) - 1, _band(n) + 1))
+def _may_be_close(left: str, right: str) -> Column:
+    """Sizes and sketches of two structs allow a close pair."""
+    n, m = F.col(f"{left}.n"), F.col(f"{right}.n")
+    flips = [F.bit_count(F.col(f"{left}.sketch{i}").bitwiseXOR(F.col(f"{right}.sketch{i}"))) for i in range(SKETCH)]
+    return (F.least(n, m) * DEN > F.greatest(n, m) * NUM) & (sum(flips[1:], flips[0]) <= _most_apart(n + m))
+
+
+def _tested(pairs: DataFrame, words: DataFrame, label: str) -> DataFrame:
+    """``rep`` of the pairs that are close. Only words of sets in a pair are moved."""
+    pairs = cut_lineage(pairs.select("rep", "prior").distinct(), f"{label}-pairs")
+    ids = cut_lineage(pairs.select(F.explode(F.array("rep", "prior")).alias("id")).distinct(), f"{label}-ids")
+    held = cut_lineage(words.join(ids, "id", "left_semi"), f"{label}-words")
+    close = (
+        pairs.join(held.select(F.col("id").alias("rep"), "words"), "rep")
+        .join(held.select(F.col("id").alias("prior"), F.col("words").alias("other")), "prior")
+        .where(_close("words", "other"))
+    )
+    return cut_lineage(close.select("rep").distinct(), f"{label}-sets")
 
 
 def near_duplicate_flags(docs: DataFrame, row_id: str, text: str) -> DataFrame:
@@ -70,91 +150,59 @@ def near_duplicate_flags(docs: DataFrame, row_id: str, text: str) -> DataFrame:
 
     1. Copies fold to one row per distinct word set (the smallest id); every
        further copy is a duplicate at once. This removes hot groups of copies.
-    2. Two sets with Jaccard > 0.85 share a token among their rarest
-       ``n - ceil(0.85 n) + 1`` ones (prefix filter), so sets meet by those tokens.
-    3. Each set first meets a few of the earliest sets of each of its tokens. In a
-       cluster of near copies this settles almost all of them in linear work.
-    4. Sets still open meet all earlier sets of their tokens with a fitting size,
-       and the exact test decides. The index is keyed by (token, size band): sizes of a
-       close pair differ by less than one band, so a set looks into three. Bands of a token
-       that more than ``CROWD`` sets hold, by measured count, are dealt out by the earlier set's id.
+    2. Two sets with Jaccard > 0.85 differ in at most d = (3 (n + m) - 1) div 37 words. The words of a
+       set are dealt into k > d parts by hash, k by size band; so at least k - d parts of a close pair are equal.
+       A set keeps the d + 1 parts that hold most words (ties by hash): of the equal parts the
+       one that comes first in this order is kept by both sets. It lies among the rows of one key.
+    3. Each row of a key first meets the earliest set of that key. In a
+       cluster of near copies this settles almost all sets in linear work.
+    4. Sets still open meet the other earlier sets of their keys. Keys that more than ``CROWD`` sets
+       hold are dealt out by the earlier set's id.
+
+    Sizes and sketches (see ``_sketch``) drop pairs inside the join; the exact test on the words decides the rest.
     """
     normal = docs.select(row_id, canonical_answer(F.col(text)).alias("normal"))
     sets = normal.select(row_id, word_set(F.col("normal")).alias("words"), F.sha2("normal", 256).alias("h"))
     # texts without words compare by their normalised form only
     key = F.when(F.size("words") > 0, F.sha2(F.array_join("words", " "), 256)).otherwise(F.col("h"))
-    keyed = cut_lineage(sets.select(row_id, "words", key.alias("set_key")), "word-sets")
-
-    first = keyed.groupBy("set_key").agg(F.min(row_id).alias("rep"))
-    reps = keyed.join(
-        first, (keyed["set_key"] == first["set_key"]) & (keyed[row_id] == first["rep"]), "left_semi"
-    ).select(F.col(row_id).alias("rep"), "words").where(F.size("words") > 0)
-
-    freq = reps.select(F.explode("words").alias("token")).groupBy("token").agg(
-        F.count(F.lit(1)).alias("df")
-    )
     n = F.size("words")
-    keep = n - F.ceil(n * NUM / DEN).cast("int") + 1
-    # rank tokens inside each set: the set is exploded and joined to its counts
-    ranked = (
-        reps.select("rep", n.alias("n"), keep.alias("keep"), F.explode("words").alias("token"))
-        .join(freq, "token")
-        .withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("df", "token")))
-        # a token of one set only can match nothing
-        .where("r <= keep and df > 1")
-        .select("rep", "n", "token", "r")
+    hashed = bind(_hashes(F.col("words")), lambda h: F.struct(*_sketch(h), _part_keys(h, n).alias("keys")))
+    keyed = cut_lineage(
+        sets.select(row_id, "words", key.alias("set_key"), n.alias("n"), F.when(n > 0, hashed).alias("p")).select(
+            row_id, "words", "set_key", "n", "p.*"
+        ),
+        "word-sets",
     )
-    prefix = cut_lineage(ranked, "prefix-tokens")
 
-    # a close pair passes both bounds at the first token it shares: the sizes fit,
-    # and enough tokens are left behind the shared one on both sides
-    fits = (
-        f"least(n, m) * {DEN} > greatest(n, m) * {NUM}"
-        f" and (1 + least(n - r, m - q)) * {NUM + DEN} > (n + m) * {NUM}"
-    )
-    # leaders: the earliest holders of a token and band that keep enough tokens behind it to
-    # be close to a set of their own size
-    prefix = prefix.withColumn("band", _band(F.col("n")))
-    central = prefix.where(f"(1 + n - r) * {NUM + DEN} > n * {2 * NUM}")
-    leaders = top_k(central, ["token", "band"], [F.col("rep")], LEADERS).select(
-        "token", "band", F.col("rep").alias("leader"), F.col("n").alias("m"), F.col("r").alias("q")
-    )
-    led = (
-        prefix.drop("band").withColumn("band", _bands_near(F.col("n"))).join(leaders, ["token", "band"])
-        .where(f"leader < rep and {fits}").select("rep", "leader").distinct()
-    )
-    words = reps.select("rep", "words")
-    settled = cut_lineage(
-        led.join(words, "rep")
-        .join(words.select(F.col("rep").alias("leader"), F.col("words").alias("other")), "leader")
-        .where(_close("words", "other"))
-        .select("rep").distinct(),
-        "settled-sets",
-    )
-    open_sets = prefix.join(settled, "rep", "left_anti")
-    crowds = prefix.groupBy("token", "band").agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("parts"))
-    crowds = crowds.where("parts > 1")  # few: the others have one part
-    one = F.coalesce("parts", F.lit(1))
-    earlier = prefix.join(crowds, ["token", "band"], "left").select(
-        "token", "band", F.pmod(F.xxhash64("rep"), one).cast("int").alias("part"), F.col("rep").alias("prior"), F.col("n").alias("m"), F.col("r").alias("q")
+    first = keyed.groupBy("set_key").agg(F.min(row_id).alias("rep"))
+    light = keyed.drop("words").where("n > 0")
+    reps = light.join(first, (light["set_key"] == first["set_key"]) & (light[row_id] == first["rep"]), "left_semi")
+    held = reps.select(
+        F.struct(F.col(row_id).alias("rep"), "n", *(f"sketch{i}" for i in range(SKETCH))).alias("own"),
+        F.explode("keys").alias("key"),
     )
-    looking = open_sets.drop("band").withColumn("band", _bands_near(F.col("n"))).join(crowds, ["token", "band"], "left")
-    looking = looking.withColumn("part", F.explode(F.sequence(F.lit(0), one - 1)))
-    candidates = (
-        looking.join(earlier, ["token", "band", "part"])
-        .where(f"prior < rep and {fits}")
-        .select("rep", "prior")
-        .distinct()
+    same = Window.partitionBy("key")
+    led = held.withColumns({"holders": F.count(F.lit(1)).over(same), "leader": F.min("own").over(same)})
+    led = led.where("own.rep > leader.rep").withColumn(
+        "prior", F.when(_may_be_close("own", "leader"), F.col("leader.rep"))
     )
-    found = (
-        candidates.join(words, "rep")
-        .join(words.select(F.col("rep").alias("prior"), F.col("words").alias("other")), "prior")
-        .where(_close("words", "other"))
-        .select("rep").distinct()
+    # two holders have met; of more the others are still to meet
+    met = cut_lineage(led.where("prior is not null or holders > 2").drop("leader"), "shared-parts")
+    words = keyed.select(F.col(row_id).alias("id"), "words")
+    settled = _tested(met.where("prior is not null").select("own.rep", "prior"), words, "led")
+
+    parts = F.ceil((F.col("holders") - 1) / CROWD).cast("int")
+    crowd = met.where("holders > 2").select("key", "own", F.col("own.rep").alias("rep"), parts.alias("parts"))
+    earlier = crowd.select("key", F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("part"), F.col("own").alias("other"))
+    looking = crowd.join(settled, "rep", "left_anti").select(
+        "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "own"
     )
+    candidates = looking.join(earlier, ["key", "part"]).where("other.rep < own.rep").where(_may_be_close("own", "other"))
+    found = _tested(candidates.select("own.rep", F.col("other.rep").alias("prior")), words, "open")
+
     close_reps = settled.unionByName(found).withColumn("close", F.lit(True))
     flags = first.join(close_reps, "rep", "left")
-    return keyed.select(row_id, "set_key").join(flags, "set_key").select(
+    return keyed.select(row_id, "set_key").join(flags, "set_key", "left").select(
         row_id,
-        (F.coalesce("close", F.lit(False)) | (F.col(row_id) > F.col("rep"))).alias("is_duplicate"),
+        F.coalesce(F.col("close") | (F.col(row_id) > F.col("rep")), F.col(row_id) > F.col("rep"), F.lit(False)).alias("is_duplicate"),
     )

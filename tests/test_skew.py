@@ -160,6 +160,46 @@ def test_bands_hold_all_close_sizes():
         assert band(n) - band(min(n, least)) <= 1
 
 
+def test_close_sets_share_a_part(spark):
+    """Any two sets close by size and common words keep the key of an equal part."""
+    rng = random.Random(17)
+    rows, i = [], 0
+    for n in [*range(1, 45), 77, 78, 130, 301]:
+        for _ in range(6):
+            base = [f"w{i}x{k}" for k in range(n)]
+            least = n * duplicates.NUM // duplicates.DEN + 1
+            other = rng.sample(base, rng.randrange(least, n + 1))
+            while 37 * len(set(base) & set(other)) > 17 * (n + len(other) + 1):
+                other.append(f"new{i}x{len(other)}")
+            rows.append((i, base, other))
+            i += 1
+    df = spark.createDataFrame(rows, "i long, a array<string>, b array<string>")
+    keys = {x: duplicates._part_keys(duplicates._hashes(F.col(x)), F.size(x)).alias(f"k{x}") for x in "ab"}
+    for r in df.select("a", "b", *keys.values()).collect():
+        common, joint = len({*r["a"]} & {*r["b"]}), len({*r["a"]} | {*r["b"]})
+        assert 20 * common > 17 * joint
+        assert {*r["a"]} == {*r["b"]} or {*r["ka"]} & {*r["kb"]}, (len(r["a"]), len(r["b"]), common)
+
+
+def test_near_duplicates_meet_few_strangers(spark, monkeypatch):
+    """Sets that share rare words without being close are not compared; a null text keeps its row."""
+    met = {}
+
+    def counted(df, label, cut=duplicates.cut_lineage):
+        out = cut(df, label)
+        met[label] = out.count()
+        return out
+
+    monkeypatch.setattr(duplicates, "cut_lineage", counted)
+    rng = random.Random(3)
+    vocab = [f"word{i:03d}" for i in range(90)]
+    texts = [" ".join(rng.sample(vocab, 30)) for _ in range(400)]
+    df = spark.createDataFrame([*enumerate(texts), (400, None), (401, None)], "id long, text string")
+    got = {r["id"]: r["is_duplicate"] for r in duplicates.near_duplicate_flags(df, "id", "text").collect()}
+    assert [got[i] for i in range(402)] == [*near_brute(texts), False, False]
+    assert met["led-pairs"] + met["open-pairs"] < 400
+
+
 def test_parsed_content_is_carried_over(spark):
     long = "Ann Lee\nmail ann@example.org, phone +971 50 123 4567\n" + "word " * 40 + "\fsecond page " + "more " * 10
     rows = [(10, long, True), (11, long, True), (12, "short", True), (13, None, True)]
