@@ -10,6 +10,7 @@ from rankmill.operators import duplicates, intake, relevance, requests, requirem
 from rankmill.operators.ranking import cap_split, ranked, top_k
 from rankmill.plans.bindings import ROWS_SQL, document_rows
 from rankmill.plans.registry import query
+from rankmill.session import cut_lineage
 from rankmill.sources.tables import expected_entries, table
 
 NE = "length(regexp_replace(text, '[^\\p{L}\\p{N}]+', '', 'g'))"
@@ -527,7 +528,7 @@ def d23(spark, d):
 
 @query("e02_rank_by_relevance", f"WITH {REL_SQL} SELECT doc_id, source, relevance, row_number() OVER (PARTITION BY source ORDER BY relevance DESC, doc_id) AS rank FROM rel")
 def e02(spark, d):
-    return ranked(_relevance(spark, d), ["source"], "relevance", "doc_id")
+    return ranked(cut_lineage(_relevance(spark, d), "relevance"), ["source"], "relevance", "doc_id")
 
 
 @query("e04_cap_split", f"""
@@ -538,7 +539,8 @@ FROM k JOIN (SELECT doc_id, stage_status, error FROM drows) USING (doc_id)
 """)
 def e04(spark, d):
     rows = document_rows(spark, d).select("doc_id", "stage_status", "error")
-    split = cap_split(_relevance(spark, d), ["source"], "relevance", "doc_id", 20).join(rows, "doc_id")
+    scored = cut_lineage(_relevance(spark, d), "relevance")
+    split = cap_split(scored, ["source"], "relevance", "doc_id", 20).join(rows, "doc_id")
     out = ~F.col("inside") & F.col("stage_status").isin("pending", "not_screened_time_budget")
     return split.select(
         "doc_id", "source", "inside",

@@ -160,6 +160,15 @@ def test_bands_hold_all_close_sizes():
         assert band(n) - band(min(n, least)) <= 1
 
 
+@pytest.mark.parametrize("name", ["e02_rank_by_relevance", "e04_cap_split"])
+def test_ranked_texts_are_scored_once(spark, name):
+    """Ranks and cuts read a written table of scores, not the texts once more for each pass."""
+    from rankmill.plans import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "must" not in plan and "relevance" in plan
+
+
 def test_close_sets_share_a_part(spark):
     """Any two sets close by size and common words keep the key of an equal part."""
     rng = random.Random(17)
