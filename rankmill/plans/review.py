@@ -10,7 +10,7 @@ from rankmill.functions.text import canonical_answer
 from rankmill.operators import decision, grading, intervals, raters
 from rankmill.plans.bindings import NOW_M, ONCE_SQL, RANGES_SQL, RATINGS_SQL, candidates, lines_once, ranges, ratings, with_cand
 from rankmill.plans.registry import query
-from rankmill.sources.tables import table
+from rankmill.sources.tables import pieces, table
 
 # --- date ranges: entity = customer, one range per order ------------------------------------------
 
@@ -159,7 +159,9 @@ WITH {ITEM_SQL}, g AS (SELECT l_orderkey, CASE WHEN grouping(topic) = 0 THEN 'to
 SELECT *, floor((100.0::DOUBLE * earned / possible + 2.220446049250313e-16) * 100.0 + 0.5) / 100.0::DOUBLE AS percentage FROM g
 """)
 def d12(spark, d):
-    return grading.score_groups(_items(spark, d), "l_orderkey", {"topic": "topic", "difficulty": "difficulty", "type": "q_type"})
+    # every item becomes a row per dimension in the map of the aggregate, so the items of a task are bounded by number
+    items = _items(spark, d).repartition(pieces(spark, d, "lineitem"), "l_orderkey", "l_linenumber")
+    return grading.score_groups(items, "l_orderkey", {"topic": "topic", "difficulty": "difficulty", "type": "q_type"})
 
 
 @query("d13_practical_score", """

@@ -28,6 +28,16 @@ def table(spark: SparkSession, folder: str, name: str, parts: int | None = None)
     return df.repartition(parts) if parts else df
 
 
+def pieces(spark: SparkSession, folder: str, name: str, rows: int = 1_200_000) -> int:
+    """Number of partitions of about ``rows`` rows that a table is worth, one per core at least.
+
+    The count comes from the footers of the files. For steps that need far more memory than their shuffled rows have
+    bytes: Spark joins small partitions up to a size in bytes, which does not bound such a step.
+    """
+    n = spark.read.parquet(f"{folder}/{name}.parquet").count()
+    return max(spark.sparkContext.defaultParallelism, -(-n // rows))
+
+
 def file_listing(spark: SparkSession, folder: str) -> DataFrame:
     """Name and size of files below a folder; contents stay unread unless asked for."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)

@@ -243,6 +243,20 @@ def test_parsed_content_is_carried_over(spark):
     ]
 
 
+def test_score_groups_bound_the_items_of_a_task(spark):
+    """The scan sorts nothing, and items are dealt out by number before each becomes a row per dimension."""
+    from rankmill.plans import QUERIES
+    from rankmill.sources.tables import pieces
+
+    folder = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    assert pieces(spark, folder, "lineitem", rows=100) == math.ceil(n / 100)
+    assert pieces(spark, folder, "lineitem") == spark.sparkContext.defaultParallelism
+    plan = QUERIES["d12_score_groups"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Expand") < plan.index("REPARTITION_BY_NUM") < plan.index("Join")
+    assert plan.rindex("Sort [l_orderkey") < plan.index("REPARTITION_BY_COL") < plan.index("FileScan")
+
+
 def test_facet_counts_keep_hash_aggregates(spark):
     from rankmill.plans import QUERIES
 
