@@ -96,14 +96,11 @@ def is_section_title(c: Column) -> Column:
 
 
 def looks_like_name(c: Column) -> Column:
-    words = F.split(c, rf"{WS}+", -1)
-    shaped = F.forall(words, lambda w: w.rlike(r"\A[\p{L}'’-]+\z"))
+    word = r"[\p{L}'’-]+"
     return (
         (F.length(c) <= 60)
-        & ~c.rlike(r"[0-9@]")
-        & F.size(words).between(2, 5)
+        & c.rlike(rf"\A{word}(?:{WS}+{word}){{1,4}}\z")
         & ~c.rlike(r"\A[a-z ]+\z")
-        & shaped
         & ~is_section_title(c)
         & ~c.rlike(rf"(?iu){EDGE_L}(?:{'|'.join(ROLE_WORDS)}){EDGE_R}")
     )
@@ -126,45 +123,49 @@ def scrub(text: Column) -> Column:
         text,
     )
     tail = rf"{WS}*[:：\-]{WS}*[^\n]*"
-    label = rf"(?:{'|'.join(LABELLED)}){WS}*[:：\-]"
+    # look-aheads name what a match may begin with, so that most places fail at their first character
+    label = rf"(?=[dbncgsm])(?:{'|'.join(LABELLED)}){WS}*[:：\-]"
+    # of a run of line ends only the first begins a match: a run of n costs n, not n squared
+    age = rf"(?:\A|\n(?<!\n\n)){WS}*+age"
+    # the text up to the end of the last line that any step below can change; what follows is not searched again
+    touched = (
+        rf"(?is)\A.*(?:[+(0-9][0-9().\-{WS}]{{6,}}+|{label}{WS}*+|{age}{WS}*+[:\-]?{WS}*+[0-9]|(?=[ph])(?:photo|headshot))[^\n]*+"
+    )
     # (cheap test, steps): most texts fail the test and skip the costly patterns
     groups = (
-        (r"(?i)linkedin\.com/", [(rf"(?i){PROFILE_URL}", "[LINKEDIN]")]),
-        ("@", [(rf"(?i){EDGE}{MAIL}{EDGE_R}", "[EMAIL]")]),
         (
             "[0-9]",
             [
                 # one class and possessive runs: constant stack, one pass
-                (rf"(?i){PHONE_LABEL}{WS}*+[:\-]?{WS}*+[+0-9][0-9().\-{WS}]{{6,}}+", "[PHONE]"),
+                (rf"(?i)(?=[tpmcw]){PHONE_LABEL}{WS}*+[:\-]?{WS}*+[+0-9][0-9().\-{WS}]{{6,}}+", "[PHONE]"),
                 (
-                    rf"(?:\+|00)[0-9]{{1,3}}(?:{WS}|[.-])?\(?[0-9]{{2,4}}\)?(?:{WS}|[.-])?"
+                    rf"(?=[+0])(?:\+|00)[0-9]{{1,3}}(?:{WS}|[.-])?\(?[0-9]{{2,4}}\)?(?:{WS}|[.-])?"
                     rf"[0-9]{{3,4}}(?:{WS}|[.-])?[0-9]{{3,4}}{EDGE_R}",
                     "[PHONE]",
                 ),
-                (rf"\(?[0-9]{{3}}\)?(?:{WS}|[.-])[0-9]{{3}}(?:{WS}|[.-])[0-9]{{4}}{EDGE_R}", "[PHONE]"),
+                (rf"(?=[(0-9])\(?[0-9]{{3}}\)?(?:{WS}|[.-])[0-9]{{3}}(?:{WS}|[.-])[0-9]{{4}}{EDGE_R}", "[PHONE]"),
             ],
         ),
         (
             f"(?i){label}",
-            [(rf"(?i){EDGE_L}(?:date of birth|d\.?o\.?b\.?|born|birthday){tail}", "[DATE OF BIRTH]")],
+            [(rf"(?i)(?=[db]){EDGE_L}(?:date of birth|d\.?o\.?b\.?|born|birthday){tail}", "[DATE OF BIRTH]")],
         ),
         (
-            rf"(?i)(?:\A|\n){WS}*age",
-            [(rf"(?i)(?:\A|\n){WS}*age{WS}*[:\-]?{WS}*[0-9]{{1,2}}{EDGE_R}", "\n[AGE]")],
+            f"(?i){age}",
+            [(rf"(?i){age}{WS}*[:\-]?{WS}*[0-9]{{1,2}}{EDGE_R}", "\n[AGE]")],
         ),
         (
             f"(?i){label}",
             [
-                (rf"(?i){EDGE_L}(?:nationality|citizenship){tail}", "[NATIONALITY]"),
-                (rf"(?i){EDGE_L}(?:gender|sex){EDGE_R}{tail}", "[GENDER]"),
-                (rf"(?i){EDGE_L}marital status{EDGE_R}{tail}", "[MARITAL STATUS]"),
+                (rf"(?i)(?=[nc]){EDGE_L}(?:nationality|citizenship){tail}", "[NATIONALITY]"),
+                (rf"(?i)(?=[gs]){EDGE_L}(?:gender|sex){EDGE_R}{tail}", "[GENDER]"),
+                (rf"(?i)(?=m){EDGE_L}marital status{EDGE_R}{tail}", "[MARITAL STATUS]"),
             ],
         ),
         (
             "(?i)photo|headshot",
-            [(rf"(?i)(?:profile{WS}*)?(?:photo|photograph|headshot|passport photo){EDGE_R}", "[PHOTO]")],
+            [(rf"(?i)(?=[ph])(?:profile{WS}*)?(?:photo|photograph|headshot|passport photo){EDGE_R}", "[PHOTO]")],
         ),
-        ("\n\n\n", [(r"\n{3,}", "\n\n")]),
     )
 
     def guarded(value: Column, test: str, steps: list[tuple[str, str]]) -> Column:
@@ -176,8 +177,31 @@ def scrub(text: Column) -> Column:
 
         return bind(value, apply)
 
-    for test, steps in groups:
-        out = guarded(out, test, steps)
+    def unlinked(line: Column) -> Column:
+        found = F.contains(F.lower(line), F.lit("linkedin.com/"))
+        return F.when(found, F.regexp_replace(line, rf"(?i)(?=[hwl]){PROFILE_URL}", "[LINKEDIN]")).otherwise(line)
+
+    def unmailed(line: Column) -> Column:
+        return F.when(F.contains(line, F.lit("@")), F.regexp_replace(line, rf"(?i){EDGE}{MAIL}{EDGE_R}", "[EMAIL]")).otherwise(line)
+
+    # links and mails never cross a line end, so only the lines that hold one are searched
+    def by_line(t: Column) -> Column:
+        marked = F.contains(F.lower(t), F.lit("linkedin.com/")) | F.contains(t, F.lit("@"))
+        done = F.array_join(F.transform(F.split(t, "\n", -1), lambda x: bind(unlinked(x), unmailed)), "\n")
+        return F.when(marked, done).otherwise(t)
+
+    def marked_up_to(t: Column, head: Column) -> Column:
+        new = head
+        for test, steps in groups:
+            new = guarded(new, test, steps)
+        return F.concat(new, F.substr(t, F.length(head) + 1))
+
+    out = bind(out, by_line)
+    # lengths of invalid UTF-8 are not those of what a pattern sees of it: such a text is searched whole
+    out = bind(out, lambda t: bind(
+        F.when(F.is_valid_utf8(t), F.regexp_extract(t, touched, 0)).otherwise(t), lambda head: marked_up_to(t, head)
+    ))
+    out = bind(out, lambda t: F.when(F.contains(t, F.lit("\n\n\n")), F.regexp_replace(t, r"\n{3,}", "\n\n")).otherwise(t))
     return trim_ws(out)
 
 

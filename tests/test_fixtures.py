@@ -47,6 +47,19 @@ def test_band_in_list_order_with_gaps(one):
     assert one(scoring.salary_for(F.lit(40.0), bands)).startswith("Not set — add salary bands")
 
 
+def test_scrub_searches_a_text_once_per_step(one):
+    """Long runs of line ends cost their length, and steps that meet at a line end still see each other's lines."""
+    import time
+
+    start = time.monotonic()
+    assert one(tx.scrub(F.concat(F.lit("a"), F.repeat(F.lit("\n"), 100_000), F.lit("b")))) == "a\n\nb"
+    assert time.monotonic() - start < 10
+    assert one(tx.scrub(F.lit("x\nAge\n31 y\nplain"))) == "x\n[AGE] y\nplain"
+    assert one(tx.scrub(F.lit("Gender:\n\nphoto of me, tail\nplain 12"))) == "[GENDER]\nplain 12"
+    assert one(tx.scrub(F.lit("plain\nTel\n+971 50 123 4567\nann é@b ann@b.org\nend"))) == "plain\n[PHONE]ann é@b [EMAIL]\nend"
+    assert one(tx.scrub(F.lit("😀 a\nprofile\nphotograph\n😀 end"))) == "😀 a\n[PHOTO]\n😀 end"
+
+
 def test_scrub(one):
     raw = "Ahmed Amer\nahmed@example.com\nMobile: +971 50 123 4567\nhttps://www.linkedin.com/in/ahmed-amer\nNationality: Egyptian\nSkills: Adobe, single source of truth in Essex"
     out = one(tx.scrub(F.lit(raw)))
