@@ -27,12 +27,13 @@ class Holders:
     path: str
     prefix: int = 2
 
-    def known(self, spark: SparkSession, prefixes: list[str], before: int) -> DataFrame:
-        """(content_hash, holder) of these prefixes, from batches before ``before``."""
+    def known(self, spark: SparkSession, prefixes: list[str] | None, before: int) -> DataFrame:
+        """(content_hash, holder) of these prefixes (None: all), from batches before ``before``."""
         if not exists(spark, self.path):
             return spark.createDataFrame([], "content_hash string, holder long")
         rows = spark.read.schema(HOLDERS).parquet(self.path)
-        return rows.where(F.col("prefix").isin(prefixes) & (F.col("batch") < before)).select("content_hash", "holder")
+        wanted = F.lit(True) if prefixes is None else F.col("prefix").isin(prefixes)
+        return rows.where(wanted & (F.col("batch") < before)).select("content_hash", "holder")
 
     def add(self, rows: DataFrame, batch_id: int) -> None:
         """``rows``: (content_hash, holder), none of them known before."""
@@ -83,3 +84,16 @@ class Intake:
 
     def results(self, spark: SparkSession, schema: str) -> DataFrame:
         return spark.read.schema(f"{schema}, batch long").parquet(self.out).drop("batch") if exists(spark, self.out) else spark.createDataFrame([], schema)
+
+    def settled(self, spark: SparkSession, schema: str) -> DataFrame:
+        """``results`` as one intake of all arrivals would give them, in whatever batches and order they came.
+
+        A content belongs to its holder in the history (batches below 0), or else to the smallest id of all batches. As
+        nearly empty contents are held by nobody, the parsed rows are those of the others. Only ids and hashes are read.
+        """
+        rows = self.results(spark, schema)
+        past = self.holders.known(spark, None, 0)
+        first = rows.where("parse_status = 'parsed'").groupBy("content_hash").agg(F.min(F.col(self.row_id).cast("long")).alias("holder"))
+        owners = past.unionByName(first.join(past, "content_hash", "left_anti"))
+        final = rows.drop("reused_from").join(owners, "content_hash", "left")
+        return final.withColumn("reused_from", F.nullif(F.col("holder"), F.col(self.row_id))).select(rows.columns)

@@ -3,12 +3,14 @@
 import datetime as dt
 import random
 import time
+from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from rankmill.operators import tracking
-from rankmill.plans import QUERIES
+from rankmill.plans import ORACLE, QUERIES
 from rankmill.sources.folders import subfolders
 from rankmill.streaming import budget, live, reuse
 from rankmill.streaming.keyed_table import KeyedTable
@@ -229,3 +231,20 @@ def test_tables_of_several_files(spark, tmp_path):
     got = {tuple(r) for r in QUERIES["t03_incremental_intake"](spark, str(tmp_path)).collect()}
     want = {tuple(r) for r in QUERIES["t03_incremental_intake"](spark, FOLDER).collect()}
     assert got == want and len(want) == spark.read.parquet(f"{FOLDER}/documents.parquet").count()
+
+
+def test_intake_of_files_in_any_order(spark, tmp_path, monkeypatch):
+    """Of copies in different batches the smallest id is the first, whichever file comes first; null texts and ids as in the SQL."""
+    long = ["word " * 40 + str(i) for i in range(4)]
+    files = [[(9, long[0]), (8, long[1]), (7, "tiny"), (None, long[0])], [(6, long[0]), (5, None), (4, "tiny"), (3, long[2])], [(2, long[1]), (1, long[0]), (0, long[2])]]
+    for rows in files:
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "documents.parquet"))
+        time.sleep(0.05)
+    spark.createDataFrame([(3,), (4,)], "doc_id long").write.parquet(str(tmp_path / "labels.parquet"))
+    monkeypatch.setattr(live, "MAX_BATCH", 1)  # a file a batch
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = QUERIES["t03_incremental_intake"](spark, str(tmp_path)).select("doc_id", "content_hash", "reused_from", "parse_status")
+    assert Counter(map(tuple, got.collect())) == Counter(con.execute(ORACLE["t03_incremental_intake"]).fetchall())
+    assert {(r["doc_id"], r["reused_from"]) for r in got.collect()} >= {(9, 1), (6, 1), (8, 2), (0, 3), (None, 1)}
