@@ -8,6 +8,7 @@ row, so its size never depends on how many copies a text has.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from rankmill.session import cut_lineage
 NUM, DEN = 17, 20
 # Sizes within a factor of 4/3 share the number of parts their words are dealt into.
 BAND = math.log(4 / 3)
-# Longs of a parity sketch.
+# Longs of the parity sketch that travels with each part of a set.
 SKETCH = 4
 # Holders of one part that one task meets; more are dealt out by the earlier set.
 CROWD = 2000
@@ -76,16 +77,49 @@ def _hashes(words: Column) -> Column:
     return F.sort_array(F.transform(words, lambda w: F.shiftrightunsigned(F.xxhash64(w), 1)))
 
 
-def _sketch(hashes: Column) -> list[Column]:
-    """Parities of the words per hash bit. The sketches of two sets differ in no more bits than the sets do in words."""
-    def flips(word: int) -> Column:
-        def flip(x: Column) -> Column:
-            bit = F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
-            return F.when(F.shiftright(x, 6) % SKETCH == word, bit).otherwise(F.lit(0).cast("long"))
+def _longs(n: Column) -> Column:
+    """Longs of the sketch of ``n`` words: a bit for two words at least, a power of two so that sketches fold."""
+    doubled = F.ceil(F.log2(n / (128 * SKETCH))).cast("int")
+    return F.call_function("shiftleft", F.lit(SKETCH), F.greatest(doubled, F.lit(0)))
 
-        return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(flip(x)))
 
-    return [flips(word).alias(f"sketch{word}") for word in range(SKETCH)]
+def _sketch(hashes: Column, longs: Column) -> Column:
+    """Parities of the words per hash bit. The sketches of two sets differ in no more bits than the sets do in words.
+
+    Each long has an equal range of hashes, so one walk over the sorted hashes fills them in order.
+    """
+    none = F.lit(0).cast("long")
+
+    def step(acc: Column, x: Column) -> Column:
+        at = F.shiftright(F.shiftright(x, 32) * longs, 31).cast("int")
+        flip = F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+        same = at == acc["at"]
+        bits = F.when(same, acc["bits"].bitwiseXOR(flip)).otherwise(flip)
+        done = F.when(same, acc["done"]).otherwise(filled(acc, at))
+        return F.struct(at.alias("at"), bits.alias("bits"), done.alias("done"))
+
+    def filled(acc: Column, end: Column) -> Column:
+        return F.concat(acc["done"], F.array(acc["bits"]), F.array_repeat(none, end - acc["at"] - 1))
+
+    start = F.struct(F.lit(0).alias("at"), none.alias("bits"), F.array().cast("array<long>").alias("done"))
+    return F.aggregate(hashes, start, step, lambda acc: filled(acc, longs))
+
+
+def _folded(sketch: Column, longs: Column) -> Column:
+    """The sketch of the same words in fewer longs."""
+    share = F.call_function("div", F.size(sketch), longs).cast("int")
+    fold = F.transform(
+        F.sequence(F.lit(0), longs - 1),
+        lambda i: F.aggregate(F.slice(sketch, i * share + 1, share), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(x)),
+    )
+    return F.when(share == 1, sketch).otherwise(fold)
+
+
+def _flips(left: Column, right: Column) -> Column:
+    """Bits in which two sketches differ, in the longs of the shorter one."""
+    longs = F.least(F.size(left), F.size(right))
+    differing = F.zip_with(_folded(left, longs), _folded(right, longs), lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    return F.aggregate(differing, F.lit(0), lambda acc, x: acc + x)
 
 
 def _part_keys(hashes: Column, n: Column) -> Column:
@@ -126,22 +160,35 @@ def _part_keys(hashes: Column, n: Column) -> Column:
 
 
 def _may_be_close(left: str, right: str) -> Column:
-    """Sizes and sketches of two structs allow a close pair."""
+    """Sizes and short sketches of two structs allow a close pair."""
     n, m = F.col(f"{left}.n"), F.col(f"{right}.n")
     flips = [F.bit_count(F.col(f"{left}.sketch{i}").bitwiseXOR(F.col(f"{right}.sketch{i}"))) for i in range(SKETCH)]
     return (F.least(n, m) * DEN > F.greatest(n, m) * NUM) & (sum(flips[1:], flips[0]) <= _most_apart(n + m))
 
 
-def _tested(pairs: DataFrame, words: DataFrame, label: str) -> DataFrame:
-    """``rep`` of the pairs that are close. Only words of sets in a pair are moved."""
-    pairs = cut_lineage(pairs.select("rep", "prior").distinct(), f"{label}-pairs")
+def _still_close(left: str, right: str) -> Column:
+    """Whole sketches of two structs allow a close pair."""
+    flips = _flips(F.col(f"{left}.sketch"), F.col(f"{right}.sketch"))
+    return flips <= _most_apart(F.col(f"{left}.n") + F.col(f"{right}.n"))
+
+
+def _passing(pairs: DataFrame, values: DataFrame, test: Callable[[str, str], Column], label: str) -> DataFrame:
+    """The pairs (rep, prior) whose ``values`` (id, value) pass. Only values of sets in a pair are moved."""
     ids = cut_lineage(pairs.select(F.explode(F.array("rep", "prior")).alias("id")).distinct(), f"{label}-ids")
-    held = cut_lineage(words.join(ids, "id", "left_semi"), f"{label}-words")
-    close = (
-        pairs.join(held.select(F.col("id").alias("rep"), "words"), "rep")
-        .join(held.select(F.col("id").alias("prior"), F.col("words").alias("other")), "prior")
-        .where(_close("words", "other"))
+    held = cut_lineage(values.join(ids, "id", "left_semi"), label)
+    return (
+        pairs.join(held.select(F.col("id").alias("rep"), F.col("value").alias("own")), "rep")
+        .join(held.select(F.col("id").alias("prior"), F.col("value").alias("other")), "prior")
+        .where(test("own", "other")).select("rep", "prior")
     )
+
+
+def _tested(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
+    """``rep`` of the pairs that are close. Words are moved only for pairs that the whole sketches leave."""
+    pairs = cut_lineage(pairs.select("rep", "prior").distinct(), f"{label}-pairs")
+    sketches = sets.select("id", F.struct("n", "sketch").alias("value"))
+    left = cut_lineage(_passing(pairs, sketches, _still_close, f"{label}-sketches"), f"{label}-left")
+    close = _passing(left, sets.select("id", F.col("words").alias("value")), _close, f"{label}-words")
     return cut_lineage(close.select("rep").distinct(), f"{label}-sets")
 
 
@@ -159,26 +206,36 @@ def near_duplicate_flags(docs: DataFrame, row_id: str, text: str) -> DataFrame:
     4. Sets still open meet the other earlier sets of their keys. Keys that more than ``CROWD`` sets
        hold are dealt out by the earlier set's id.
 
-    Sizes and sketches (see ``_sketch``) drop pairs inside the join; the exact test on the words decides the rest.
+    Sizes and short sketches (see ``_sketch``) drop pairs inside the join; they tell sets of some hundred words apart. The
+    pairs left meet the whole sketches, which grow with the sets; the exact test on the words decides the rest.
     """
     normal = docs.select(row_id, canonical_answer(F.col(text)).alias("normal"))
     sets = normal.select(row_id, word_set(F.col("normal")).alias("words"), F.sha2("normal", 256).alias("h"))
     # texts without words compare by their normalised form only
     key = F.when(F.size("words") > 0, F.sha2(F.array_join("words", " "), 256)).otherwise(F.col("h"))
     n = F.size("words")
-    hashed = bind(_hashes(F.col("words")), lambda h: F.struct(*_sketch(h), _part_keys(h, n).alias("keys")))
+    short = [f"sketch{i}" for i in range(SKETCH)]
+
+    def sketches(sketch: Column) -> Column:
+        folded = bind(_folded(sketch, F.lit(SKETCH)), lambda f: F.struct(*(F.get(f, F.lit(i)).alias(c) for i, c in enumerate(short))))
+        return F.struct(sketch.alias("whole"), folded.alias("short"))
+
+    def hashed(h: Column) -> Column:
+        whole = bind(_longs(n), lambda longs: _sketch(h, longs))
+        return F.struct(bind(whole, sketches).alias("sketches"), _part_keys(h, n).alias("keys"))
+
     keyed = cut_lineage(
-        sets.select(row_id, "words", key.alias("set_key"), n.alias("n"), F.when(n > 0, hashed).alias("p")).select(
-            row_id, "words", "set_key", "n", "p.*"
+        sets.select(row_id, "words", key.alias("set_key"), n.alias("n"), F.when(n > 0, bind(_hashes(F.col("words")), hashed)).alias("p")).select(
+            row_id, "words", "set_key", "n", F.col("p.sketches.whole").alias("sketch"), "p.sketches.short.*", "p.keys"
         ),
         "word-sets",
     )
 
     first = keyed.groupBy("set_key").agg(F.min(row_id).alias("rep"))
-    light = keyed.drop("words").where("n > 0")
+    light = keyed.drop("words", "sketch").where("n > 0")
     reps = light.join(first, (light["set_key"] == first["set_key"]) & (light[row_id] == first["rep"]), "left_semi")
     held = reps.select(
-        F.struct(F.col(row_id).alias("rep"), "n", *(f"sketch{i}" for i in range(SKETCH))).alias("own"),
+        F.struct(F.col(row_id).alias("rep"), "n", *short).alias("own"),
         F.explode("keys").alias("key"),
     )
     same = Window.partitionBy("key")
@@ -188,8 +245,8 @@ def near_duplicate_flags(docs: DataFrame, row_id: str, text: str) -> DataFrame:
     )
     # two holders have met; of more the others are still to meet
     met = cut_lineage(led.where("prior is not null or holders > 2").drop("leader"), "shared-parts")
-    words = keyed.select(F.col(row_id).alias("id"), "words")
-    settled = _tested(met.where("prior is not null").select("own.rep", "prior"), words, "led")
+    whole = keyed.select(F.col(row_id).alias("id"), "n", "sketch", "words")
+    settled = _tested(met.where("prior is not null").select("own.rep", "prior"), whole, "led")
 
     parts = F.ceil((F.col("holders") - 1) / CROWD).cast("int")
     crowd = met.where("holders > 2").select("key", "own", F.col("own.rep").alias("rep"), parts.alias("parts"))
@@ -198,7 +255,7 @@ def near_duplicate_flags(docs: DataFrame, row_id: str, text: str) -> DataFrame:
         "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "own"
     )
     candidates = looking.join(earlier, ["key", "part"]).where("other.rep < own.rep").where(_may_be_close("own", "other"))
-    found = _tested(candidates.select("own.rep", F.col("other.rep").alias("prior")), words, "open")
+    found = _tested(candidates.select("own.rep", F.col("other.rep").alias("prior")), whole, "open")
 
     close_reps = settled.unionByName(found).withColumn("close", F.lit(True))
     flags = first.join(close_reps, "rep", "left")

@@ -227,6 +227,42 @@ def test_near_duplicates_meet_few_strangers(spark, monkeypatch):
     assert met["led-pairs"] + met["open-pairs"] < 400
 
 
+def test_near_duplicates_move_few_words_of_long_texts(spark, monkeypatch):
+    """Long sets that share parts without being close are told apart by their whole sketches."""
+    met = {}
+
+    def counted(df, label, cut=duplicates.cut_lineage):
+        out = cut(df, label)
+        met[label] = out.count()
+        return out
+
+    monkeypatch.setattr(duplicates, "cut_lineage", counted)
+    rng = random.Random(23)
+    vocab = [f"word{i:04d}" for i in range(2400)]
+    texts = [" ".join(rng.sample(vocab, 1500)) for _ in range(30)]
+    texts += [" ".join([*texts[i].split(" ")[40 * i :], f"more{i}"]) for i in range(8)]
+    df = spark.createDataFrame([*enumerate(texts)], "id long, text string")
+    got = {r["id"]: r["is_duplicate"] for r in duplicates.near_duplicate_flags(df, "id", "text").collect()}
+    want = near_brute(texts)
+    assert [got[i] for i in range(len(texts))] == want and sum(want) == 6
+    assert met["led-pairs"] + met["open-pairs"] > 100 and met["led-words"] + met["open-words"] < 20
+
+
+def test_whole_sketches_flip_no_more_than_sets_differ(spark):
+    rng = random.Random(29)
+    rows = []
+    for n in (1, 2, 40, 511, 512, 513, 1024, 1025, 2100):
+        for share in (1.0, 0.9, 0.3, 0.0):
+            a = [f"a{n}x{k}" for k in range(n)]
+            rows.append((a, rng.sample(a, int(n * share)) + [f"b{n}x{k}" for k in range(n // 9 + 1)]))
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>")
+    a, b = (duplicates._sketch(duplicates._hashes(F.col(x)), duplicates._longs(F.size(x))) for x in "ab")
+    for r in df.select("a", "b", a.alias("x"), b.alias("y"), duplicates._flips(a, b).alias("flips")).collect():
+        apart = len({*r["a"]} ^ {*r["b"]})
+        assert r["flips"] <= apart and r["flips"] % 2 == apart % 2
+        assert len(r["x"]) >= duplicates.SKETCH and len(r["a"]) <= 128 * len(r["x"])
+
+
 def test_parsed_content_is_carried_over(spark):
     long = "Ann Lee\nmail ann@example.org, phone +971 50 123 4567\n" + "word " * 40 + "\fsecond page " + "more " * 10
     rows = [(10, long, True), (11, long, True), (12, "short", True), (13, None, True)]
