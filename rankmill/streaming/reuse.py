@@ -44,9 +44,14 @@ class Holders:
         )
 
 
-def first_holders(history: DataFrame, row_id: str) -> DataFrame:
-    """(content_hash, holder) of earlier parsed rows: the smallest id of each content."""
+def first_holders(history: DataFrame, row_id: str, among: DataFrame | None = None) -> DataFrame:
+    """(content_hash, holder) of earlier parsed rows: the smallest id of each content.
+
+    ``among``: ids of the rows that count (default: all). They meet hashes, so no text is shuffled.
+    """
     held = history.where(~near_empty(F.col("text"))).select(content_hash(F.col("text")).alias("content_hash"), F.col(row_id).cast("long").alias("_id"))
+    if among is not None:
+        held = held.join(among.select(F.col(row_id).cast("long").alias("_id")), "_id", "left_semi")
     return held.groupBy("content_hash").agg(F.min("_id").alias("holder"))
 
 

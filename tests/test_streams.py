@@ -248,3 +248,13 @@ def test_intake_of_files_in_any_order(spark, tmp_path, monkeypatch):
     got = QUERIES["t03_incremental_intake"](spark, str(tmp_path)).select("doc_id", "content_hash", "reused_from", "parse_status")
     assert Counter(map(tuple, got.collect())) == Counter(con.execute(ORACLE["t03_incremental_intake"]).fetchall())
     assert {(r["doc_id"], r["reused_from"]) for r in got.collect()} >= {(9, 1), (6, 1), (8, 2), (0, 3), (None, 1)}
+
+
+def test_history_shuffles_hashes_only(spark):
+    """Marked rows are found by hash and id; their texts stay in the scan."""
+    docs, marked = (spark.read.parquet(f"{FOLDER}/{name}.parquet") for name in ("documents", "labels"))
+    held = reuse.first_holders(docs, "doc_id", marked)
+    text = held._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("Join LeftSemi") < text.index("sha2(")
+    want = reuse.first_holders(docs.join(marked.select("doc_id"), "doc_id", "left_semi"), "doc_id")
+    assert {tuple(r) for r in held.collect()} == {tuple(r) for r in want.collect()} and held.count()
